@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, ngram_join, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,27 +19,58 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_digest(table(spark, sf_dir, "documents"), width=13)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_byte_bpe)}
+    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op5_substring_dedup)
+    return {f.__name__: f for f in found}
 
 
 #: Texts are folded by A-Z only, so translate() stands where lower() would also fold other letters.
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD = r"'[^\x20\x09-\x0D]+'"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": f"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLD}, {WORD}) AS words FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                         ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+            link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+            both AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+            reach AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+            least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+            SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id
+            FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l ON l.a = d.doc_id""",
         "op2_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {FOLD} AS folded FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(folded) AS text_sha256
             FROM t WINDOW w AS (PARTITION BY folded)""",
+        "op5_substring_dedup": f"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS words FROM documents),
+            win AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, array_to_string(words[i:i + 12], ' ') AS win FROM w),
+            again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM win) WHERE least < doc_id),
+            gone AS (SELECT doc_id, list(DISTINCT i + k) AS at FROM again, range(0, 13) r(k) GROUP BY doc_id),
+            kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(at), 0) AS n_removed,
+                            list_transform(list_filter(range(1, len(words) + 1), lambda p: at IS NULL OR NOT list_contains(at, p)), lambda p: words[p]) AS stay
+                     FROM w LEFT JOIN gone USING (doc_id))
+            SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(stay, ' '), '')) AS kept_sha256 FROM kept""",
     }
