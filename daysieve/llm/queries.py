@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ngram_join, substring_dedup
+from . import bpe, exact_dedup, language, ngram_join, quality, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranker = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scores(docs, ranker).withColumn("held_out", quality.is_held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digest(table(spark, sf_dir, "documents"), width=13)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).withColumn("held_out", quality.is_held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op5_substring_dedup)
+    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_substring_dedup, op6_language)
     return {f.__name__: f for f in found}
 
 
@@ -54,8 +65,8 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
             common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
             link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
-            both AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
-            reach AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+            ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+            reach AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
             least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
             SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id
             FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l ON l.a = d.doc_id""",
