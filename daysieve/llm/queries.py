@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, licenses, mixing, ngram_join, quality, substring_dedup
+from . import ann, bpe, exact_dedup, language, licenses, mixing, ngram_join, quality, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows.where("vec_id % 20 = 0"), rows, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_substring_dedup, op6_language, op7_mixing, op8_licenses)
+    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_substring_dedup, op6_language, op7_mixing, op8_licenses, op9_permutation_index)
     return {f.__name__: f for f in found}
 
 
