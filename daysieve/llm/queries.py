@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, language, licenses, mixing, ngram_join, quality, substring_dedup
+from . import ann, bpe, exact_dedup, html_text, language, licenses, mixing, ngram_join, quality, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,12 @@ def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows.where("vec_id % 20 = 0"), rows, k=20)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_substring_dedup, op6_language, op7_mixing, op8_licenses, op9_permutation_index)
+    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_substring_dedup, op6_language, op7_mixing, op8_licenses, op9_permutation_index, op10_html_text)
     return {f.__name__: f for f in found}
 
 
