@@ -24,6 +24,12 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
+    """docs but the rows whose id is in gone (doc_id); the ids are broadcast if few."""
+    gone = cut(gone.where("doc_id IS NOT NULL").distinct().withColumnRenamed("doc_id", "__gone"))
+    return docs.join(small_side(gone, gone.count()), F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .cluster import without
 
 #: A cut falls after about so many bytes (a power of two), and at the latest after LONGEST.
 MEAN_BYTES = 2048
@@ -101,6 +102,5 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(doc_id).cast("long") == F.col("__kept"), "left_semi")
+    """The rows of docs that stay, with all their columns; rows without a doc_id, which can't be named, all do."""
+    return without(docs, exact_groups(docs, text, doc_id).where("NOT kept").select("doc_id"), doc_id)

@@ -93,10 +93,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """The rows of the mix with all columns of docs: a document stands in it as often as it is taken, the last time with its first words if only those are."""
+    """The rows of the mix with all columns of docs: a document stands in it as often as it is taken, the last time with its first words, joined by a space, if only those are.
+
+    Rows need a doc_id of their own; those without one are left out.
+    """
     taken = mix(docs, text=text, doc_id=doc_id, source=source, **how).where("taken > 0").groupBy("doc_id").agg(F.first("size").alias("__size"), F.first("taken").alias("__taken"))
     rows = docs.join(taken.withColumnRenamed("doc_id", "__doc"), F.col(doc_id).cast("long") == F.col("__doc"))
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")))))
     words = F.col("__taken") - F.col("__copy") * F.col("__size")
-    head = F.expr(f"regexp_extract(`{text}`, concat('^[ \\\\t-\\\\r]*(?:[^ \\\\t-\\\\r]+[ \\\\t-\\\\r]+){{', __taken - __copy * __size - 1, '}}[^ \\\\t-\\\\r]+'), 0)")
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
     return rows.withColumn(text, F.when(words >= F.col("__size"), F.col(text)).otherwise(head)).select(*docs.columns)
