@@ -361,7 +361,7 @@ def topk01_highlights(spark, d):
 
 
 @query("""WITH v AS (SELECT e.event_id, e.ts, p.url, e.value FROM events e JOIN pages p ON p.page_id = e.user_id % 50 WHERE e.event_id % 10 NOT IN (3, 4, 8) AND p.page_id % 7 <> 0)
-    SELECT event_id, epoch_ms(ts) AS ms, url, floor(value)::BIGINT AS secs FROM v""")
+    SELECT event_id, epoch_us(ts) // 1000 AS ms, url, floor(value)::BIGINT AS secs FROM v""")
 def src15_history(spark, d):
     """A Chromium history of events and pages: microseconds from 1601, transitions, hidden addresses."""
     ev = table(spark, d, "events")
