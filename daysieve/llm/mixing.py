@@ -54,7 +54,7 @@ def apportion(parties: DataFrame, by: list[str], weight: str, seats: str, order:
     Rounded shares are a few seats off in sum; only quotients near them are ranked.
     """
     group = Window.partitionBy(*by)
-    rows = parties.withColumn("__share", F.col(weight) / F.sum(weight).over(group)).withColumn("__round", F.coalesce(F.round(F.col("__share") * F.col(seats)), F.lit(0)).cast("long"))
+    rows = parties.withColumn("__share", F.try_divide(F.col(weight), F.sum(weight).over(group))).withColumn("__round", F.coalesce(F.round(F.col("__share") * F.col(seats)), F.lit(0)).cast("long"))
     rows = rows.withColumn("__off", F.abs(F.col(seats) - F.sum("__round").over(group)))
     reach = F.ceil(F.coalesce(F.col("__off") * F.col("__share"), F.lit(0.0))) + 2
     rows = rows.withColumn("__reach", reach).withColumn("__base", F.greatest(F.lit(0).cast("long"), F.col("__round") - F.col("__reach")))

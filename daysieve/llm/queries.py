@@ -73,8 +73,63 @@ FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 WORD = r"'[^\x20\x09-\x0D]+'"
 
 
+def _mixing_sql() -> str:
+    """Every quotient that can win a seat is ranked, where the operator ranks those near the rounded shares."""
+    return f"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS code FROM documents),
+        t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2::DOUBLE * source_size AS cap FROM t),
+        r AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k,
+                     (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS rate
+              FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT *, cap <= rate * w AS filled FROM r),
+        g AS (SELECT source, source_size, filled, CASE WHEN filled THEN cap ELSE (SELECT rate FROM f WHERE NOT filled ORDER BY k LIMIT 1) * w END AS target FROM f),
+        seats AS (SELECT round(sum(target) / {mixing.BLOCK_TOKENS})::BIGINT AS n FROM g),
+        quotients AS (SELECT source, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, source NULLS LAST, j) AS place
+                      FROM (SELECT source, target, unnest(range(0, (target / {mixing.BLOCK_TOKENS})::BIGINT + 40)) AS j FROM g)),
+        blocks AS (SELECT source, count(*) FILTER (place <= n) AS blocks FROM quotients, seats GROUP BY source),
+        s AS (SELECT g.*, coalesce(blocks, 0) AS blocks, greatest(1, ceil(g.source_size / {mixing.SHARD_TOKENS}))::BIGINT AS shards FROM g LEFT JOIN blocks b ON g.source IS NOT DISTINCT FROM b.source),
+        rows AS (SELECT d.*, source_size, target, filled, blocks, ('0x' || substr(code, 1, 8))::BIGINT % shards AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+        shards AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(blocks) AS blocks, any_value(filled) AS filled, any_value(source_size) AS source_size FROM rows GROUP BY source, shard),
+        shard_quotients AS (SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * j + 1) DESC, shard, j) AS place
+                            FROM (SELECT *, unnest(range(0, (blocks * shard_size / source_size)::BIGINT + 40)) AS j FROM shards WHERE shard_size > 0)),
+        won AS (SELECT source, shard, count(*) FILTER (place <= blocks) AS quota FROM shard_quotients GROUP BY source, shard),
+        quotas AS (SELECT a.source, a.shard, shard_size, CASE WHEN filled THEN 2 * shard_size ELSE least(coalesce(quota, 0) * {mixing.BLOCK_TOKENS}, 2 * shard_size) END AS quota
+                   FROM shards a LEFT JOIN won b ON a.source IS NOT DISTINCT FROM b.source AND a.shard = b.shard),
+        laid AS (SELECT r.*, shard_size, quota, coalesce(sum(size) OVER (PARTITION BY r.source, r.shard ORDER BY code, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+                 FROM rows r JOIN quotas q ON r.source IS NOT DISTINCT FROM q.source AND r.shard = q.shard)
+        SELECT doc_id, size, source_size, target, (greatest(0, least(size, quota - before)) + greatest(0, least(size, quota - shard_size - before)))::BIGINT AS taken FROM laid"""
+
+
+def _licenses_sql() -> str:
+    """Base phrases and template words by joins over numbered words."""
+    notices = ", ".join(f"('{label}', '{notice}', '{key}')" for label, (notice, key) in licenses.TEMPLATES.items())
+    phrases = ", ".join(f"('{label}', '{p}', {len(p.split())})" for p, label in licenses.BASE.items())
+    return f"""
+        WITH notices(label, notice, key) AS (VALUES {notices}), phrases(label, phrase, n) AS (VALUES {phrases}),
+        post AS (SELECT label, unnest(string_split(notice, ' ')) AS word, unnest(range(0, len(string_split(notice, ' ')))) AS at_ FROM notices),
+        d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+        w AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM d),
+        hits AS (SELECT d.doc_id, label, i FROM d, phrases, unnest(range(0, len(words))) r(i) WHERE list_contains(words, string_split(phrase, ' ')[1]) AND array_to_string(words[i + 1:i + n], ' ') = phrase),
+        base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS base_list FROM hits GROUP BY doc_id),
+        df AS (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word IN (SELECT word FROM post) GROUP BY word),
+        rare AS (SELECT word, df FROM df WHERE ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) > 0.05),
+        chosen AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY df, word) AS n FROM (SELECT DISTINCT doc_id, word FROM w) JOIN rare USING (word)) WHERE n <= {licenses.RAREST}),
+        begins AS (SELECT doc_id, label, i - at_ AS b, count(*) AS n FROM w JOIN chosen USING (doc_id, word) JOIN post USING (word) GROUP BY ALL HAVING count(*) >= {licenses.AGREE}),
+        aligned AS (SELECT doc_id, label, sum(n - {licenses.AGREE - 1})::BIGINT AS strength FROM begins GROUP BY ALL),
+        verified AS (SELECT a.doc_id, a.label FROM aligned a JOIN notices USING (label) JOIN d USING (doc_id) WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' ' || key || ' ')),
+        own AS (SELECT doc_id, list(label) AS own_list FROM verified GROUP BY doc_id),
+        power AS (SELECT doc_id, sum(strength)::BIGINT AS strength FROM aligned GROUP BY doc_id),
+        x AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+                     list_sort(list_distinct(list_concat(coalesce(base_list, []), coalesce(own_list, [])))) AS all_labels, coalesce(n_base, 0) + CASE WHEN own_list IS NOT NULL THEN strength ELSE 0 END AS weight
+              FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN power USING (doc_id))
+        SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, array_to_string(all_labels, ',') AS labels, weight / (weight + 1)::DOUBLE AS score FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_mixing": _mixing_sql(),
+        "op8_licenses": _licenses_sql(),
         "op1_ngram_join": f"""
             WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLD}, {WORD}) AS words FROM documents),
             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
@@ -96,9 +151,9 @@ def oracle_sql() -> dict[str, str]:
             WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS words FROM documents),
             win AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, array_to_string(words[i:i + 12], ' ') AS win FROM w),
             again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM win) WHERE least < doc_id),
-            gone AS (SELECT doc_id, list(DISTINCT i + k) AS at FROM again, range(0, 13) r(k) GROUP BY doc_id),
-            kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(at), 0) AS n_removed,
-                            list_transform(list_filter(range(1, len(words) + 1), lambda p: at IS NULL OR NOT list_contains(at, p)), lambda p: words[p]) AS stay
+            gone AS (SELECT doc_id, list(DISTINCT i + k) AS spots FROM again, range(0, 13) r(k) GROUP BY doc_id),
+            kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(spots), 0) AS n_removed,
+                            list_transform(list_filter(range(1, len(words) + 1), lambda p: spots IS NULL OR NOT list_contains(spots, p)), lambda p: words[p]) AS stay
                      FROM w LEFT JOIN gone USING (doc_id))
             SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(stay, ' '), '')) AS kept_sha256 FROM kept""",
     }
