@@ -98,7 +98,9 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         # sha-256 takes the place of identifiers where one of those is in doubt
         rows = rows.withColumn("recipe", F.when(doubtful, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring("text_sha256", i * 16 + 1, F.lit(16)), 16, -10).cast("long"))).otherwise(F.col("recipe")))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
+    # a second key makes the join shuffle both sides anew, so a large group's rows can be split over tasks
+    code = F.xxhash64("recipe")
+    return rows.withColumn("code", code).join(groups.withColumn("code", code), ["code", "recipe"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
