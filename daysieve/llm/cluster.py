@@ -45,14 +45,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut(e)
     before = None
+    # a second key makes each join shuffle both sides anew, so the edges of a hub can be split over tasks
+    code = F.xxhash64("u").alias("code")
     for _ in range(most_rounds):
         # large star: each u's larger neighbours go to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.where("v > u").select(code, "u", "v").join(least.select(code, "u", "m"), ["code", "u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each u's smaller neighbours, and u, go to the smallest of them
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = e.select(code, "u", "v").join(least.select(code, "u", "m"), ["code", "u"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         e = e.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = cut(e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
