@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import names, redact, texts, times, urls
 from .operators import attribution as a
 from .operators import evidence as e
+from .operators import extras
 from .operators import sessions as s
 from .operators import turns as t
 from .operators import web
@@ -390,3 +391,28 @@ def str02_live_sessions(spark, d):
 def agg12_headline(spark, d):
     rows = day.work_modules(items(spark, d)).where("NOT key LIKE 'misc@%'")
     return rows.agg(F.unix_micros(F.min("start_ts")).alias("first_us"), F.unix_micros(F.max("end_ts")).alias("last_us"), F.count("*").alias("modules"), F.sum("items").alias("items"))
+
+
+@query("SELECT (event_id % 30)::BIGINT AS local_date, count(*) AS calls, sum(user_id)::BIGINT AS input, sum(floor(value))::BIGINT AS output FROM events WHERE event_type <> 'error' GROUP BY ALL")
+def agg09_usage(spark, d):
+    runs = table(spark, d, "events").select((F.col("event_id") % 30).alias("local_date"), F.col("user_id").alias("input_tokens"), F.floor("value").alias("output_tokens"), (F.col("event_type") != "error").alias("ok"))
+    return extras.usage(runs)
+
+
+@query("SELECT coalesce(o.k, c.c_custkey) AS id, coalesce(o.name, c.c_name) AS name FROM customer c FULL JOIN (SELECT DISTINCT o_custkey AS k, 'own' AS name FROM orders WHERE o_orderkey % 7 = 0) o ON o.k = c.c_custkey")
+def join15_override(spark, d):
+    builtin = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    custom = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id"), F.lit("own").alias("name")).distinct()
+    return extras.override(builtin, custom)
+
+
+@query(f"WITH {PATHS}, p AS (SELECT regexp_replace(path, '/[^/]*$', '') AS path, count(*) AS n FROM paths GROUP BY ALL ORDER BY n DESC, path LIMIT 6) SELECT path, max(weight) AS weight FROM (SELECT path, n + 100 AS weight FROM p UNION ALL SELECT root, 50 FROM roots) GROUP BY path")
+def src23_candidate_roots(spark, d):
+    fixed = roots(spark, d).select(F.col("root").alias("path"), F.lit(50).alias("weight"))
+    return extras.candidate_roots(paths(spark, d).select(F.col("path").alias("cwd")), fixed, "/home/me")
+
+
+@query(_with(ITEMS, BLOCKS, KEPT, STATS) + ", h AS (SELECT project, unnest(generate_series(date_trunc('hour', start_ts - INTERVAL 30 MINUTE), date_trunc('hour', end_ts + INTERVAL 30 MINUTE - INTERVAL 1 MICROSECOND), INTERVAL 1 HOUR)) AS hour FROM modules) SELECT project, epoch_us(hour) AS hour_us, count(*) AS modules FROM h GROUP BY ALL")
+def ses14_board_hours(spark, d):
+    rows = s.describe(day.blocks(items(spark, d)))
+    return extras.board_hours(rows).select("project", *_us("hour"), "modules")

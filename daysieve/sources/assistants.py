@@ -144,3 +144,86 @@ def read_sessions(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame
         report[provider] = "ok"
         found = rows if found is None else found.unionByName(rows)
     return found, report
+
+
+def history_and_chat(histories: DataFrame, chats: DataFrame) -> DataFrame:
+    """Prompt histories (dir, text: `# time` and `+line`) with the first answer to each prompt's first line in chats (dir, text: `#### prompt`, then its answer)."""
+    from pyspark.sql import Window
+
+    def numbered(rows: DataFrame, is_head: Column) -> DataFrame:
+        lines = rows.select("dir", F.posexplode(F.split("text", r"\r?\n")).alias("i", "line")).withColumn("head", is_head)
+        return lines.withColumn("n", F.sum(F.col("head").cast("int")).over(Window.partitionBy("dir").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).where("n > 0")
+
+    join = lambda when, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("i", value.alias("v"))))), lambda x: x["v"]), "\n")
+    stamp = r"^# (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})(?:\.\d+)?\s*$"
+    asked = numbered(histories, F.col("line").rlike(stamp)).groupBy("dir", "n").agg(F.try_to_timestamp(F.regexp_extract(F.min_by("line", "i"), stamp, 1)).alias("ts"), join(F.col("line").startswith("+"), F.substring("line", 2, 1_000_000)).alias("prompt"))
+    asked = asked.where("ts IS NOT NULL AND prompt <> ''").withColumn("first", F.trim(F.element_at(F.split("prompt", "\n"), 1)))
+    said = numbered(chats.withColumn("text", F.regexp_replace("text", r"(?m)^# aider chat started at .*$", "> ")), F.col("line").startswith("#### "))
+    said = said.groupBy("dir", "n").agg(F.trim(F.substring(F.min_by("line", "i"), 6, 1_000_000)).alias("first"), F.regexp_replace(join(~F.col("head") & ~F.col("line").startswith("> "), F.col("line")), r"^\s+|\s+$", "").alias("reply")).where("reply <> ''")
+    said = said.groupBy("dir", "first").agg(F.min_by("reply", "n").alias("reply"))
+    rows = asked.join(said, ["dir", "first"], "left")
+    ask, tell = rows.withColumns({"role": F.lit("user"), "said": F.col("prompt"), "part": F.lit(0)}), rows.withColumns({"role": F.lit("assistant"), "said": F.col("reply"), "part": F.lit(1)})
+    return _finish(ask.unionByName(tell), F.col("role"), F.col("said"), F.col("ts"), F.col("dir"), F.struct("n", "part"), cwd=F.col("dir"))
+
+
+_MODEL_IO = "sessionId string, turnId string, startedAt string, completedAt string, request struct<messages: array<struct<role: string, content: string>>>, response struct<text: string>"
+
+
+def model_io_lines(spark: SparkSession, path: str, noise: tuple[str, ...] = ("<", "[Request interrupted")) -> DataFrame:
+    """JSON lines of a model's requests and responses: of a turn the first request's last user message and the last response."""
+    rows = _lines(spark, path, _MODEL_IO).where("size(request.messages) > 0")
+    of = lambda role: F.filter("request.messages", lambda m: m["role"] == role)
+    rows = rows.where(~F.exists(of("system"), lambda m: m["content"].rlike("(?i)^Generate a concise title")))
+    bad = lambda m: F.trim(m["content"]).rlike("^(?:" + "|".join(x.replace("[", r"\[") for x in noise) + ")") | (F.trim(m["content"]) == "")
+    asked = F.try_element_at(F.filter(of("user"), lambda m: ~bad(m)), F.lit(-1))["content"]
+    rows = rows.withColumns({"s": F.coalesce("sessionId", "file"), "turn": F.coalesce("turnId", F.col("__order").cast("string")), "asked": asked, "told": F.nullif(F.trim("response.text"), F.lit(""))})
+    has = lambda c: F.when(F.col(c).isNotNull(), F.col("__order"))
+    turns = rows.groupBy("s", "turn").agg(F.min("__order").alias("o"), F.min_by("asked", has("asked")).alias("asked"), F.min_by("startedAt", has("asked")).alias("at"), F.max_by("told", has("told")).alias("told"), F.max_by(F.coalesce("completedAt", "startedAt"), has("told")).alias("done"))
+    ask, tell = turns.withColumns({"role": F.lit("user"), "said": F.col("asked"), "t": F.col("at"), "part": F.lit(0)}), turns.withColumns({"role": F.lit("assistant"), "said": F.col("told"), "t": F.col("done"), "part": F.lit(1)})
+    return _finish(ask.unionByName(tell), F.col("role"), F.col("said"), to_instant(F.col("t")), F.col("s"), F.struct("o", "part"))
+
+
+def bubble_table(kv: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:
+    """A table (key, value) of `composerData:<id>` headers and `bubbleId:<id>:<bubble>` messages, in the headers' order; a message without a time has that of the one before. workspaces (session_id, cwd) is optional."""
+    from pyspark.sql import Window
+
+    head = F.from_json("value", "composerId string, createdAt long, fullConversationHeadersOnly array<struct<bubbleId: string>>")
+    heads = kv.where(F.col("key").startswith("composerData:")).select(head.alias("h"), F.substring("key", len("composerData:") + 1, 1000).alias("k"))
+    heads = heads.select(F.coalesce("h.composerId", "k").alias("id"), F.col("h.createdAt").alias("created"), F.posexplode("h.fullConversationHeadersOnly").alias("i", "b"))
+    body = kv.where(F.col("key").startswith("bubbleId:")).select("key", F.from_json("value", "type int, text string, createdAt string").alias("m"))
+    rows = heads.withColumn("key", F.concat_ws(":", F.lit("bubbleId"), "id", "b.bubbleId")).join(body, "key")
+    so_far = Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ts = F.coalesce(F.last(to_instant(F.col("m.createdAt")), ignorenulls=True).over(so_far), F.timestamp_millis("created"))
+    rows = rows.withColumn("ts", ts)
+    rows = rows.withColumn("cwd", F.lit(None).cast("string")) if workspaces is None else rows.join(workspaces.select(F.col("session_id").alias("id"), "cwd"), "id", "left")
+    return _finish(rows, F.when(F.col("m.type") == 1, "user").when(F.col("m.type") == 2, "assistant"), F.col("m.text"), F.col("ts"), F.col("id"), F.col("i"), cwd=F.col("cwd"))
+
+
+# Names of roles and of keys that hold times.
+_USER, _ASSISTANT = ["user", "human"], ["assistant", "ai", "bot", "model", "agent"]
+_TIMES = ["timestamp", "createdAt", "created_at", "time", "ts", "date", "created"]
+
+
+def any_messages(files: DataFrame, depth: int = 6) -> DataFrame:
+    """Messages in JSON of any shape: files (file, text, mtime), whole documents or lines. What has a role and a text is a message and is not looked into; up to depth levels are."""
+    spark = files.sparkSession
+    whole = F.when(~F.contains("text", F.lit("\n{")), F.try_parse_json(F.trim("text")))  # else lines of their own
+    docs = files.select("file", "mtime", whole.alias("v"), F.array(F.lit(0)).alias("o")).where("v IS NOT NULL")
+    lines = files.where(whole.isNull()).select("file", "mtime", F.posexplode(F.split("text", r"\r?\n")).alias("i", "line"))
+    level = docs.unionByName(lines.select("file", "mtime", F.try_parse_json("line").alias("v"), F.array("i").alias("o")).where("v IS NOT NULL"))
+    get = lambda *keys: F.coalesce(*[F.try_variant_get("v", f"$.{k}", "string") for k in keys])
+    role = F.lower(get("role", "type", "author", "sender"))
+    text = get("content", "text", "message.content", "message")
+    found = None
+    for _ in range(depth):
+        level = level.withColumns({"role": F.when(F.schema_of_variant("v").startswith("OBJECT"), F.when(role.isin(_USER), "user").when(role.isin(_ASSISTANT), "assistant")), "said": F.when(F.schema_of_variant("v").startswith("OBJECT"), text)})
+        hit = F.col("role").isNotNull() & F.coalesce(F.trim("said") != "", F.lit(False))
+        here = level.where(hit).select("file", "mtime", "o", "role", "said", get(*_TIMES).alias("at"))
+        found = here if found is None else found.unionByName(here)
+        nested = level.where(~hit & (F.schema_of_variant("v").startswith("OBJECT") | F.schema_of_variant("v").startswith("ARRAY"))).select("file", "mtime", "v", "o")
+        level = spark.sql("SELECT n.file, n.mtime, e.value AS v, array_append(n.o, e.pos) AS o FROM {n} AS n, LATERAL variant_explode(n.v) AS e", n=nested)
+    from pyspark.sql import Window
+
+    so_far = Window.partitionBy("file").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    rows = found.withColumn("ts", F.coalesce(F.last(to_instant(F.col("at")), ignorenulls=True).over(so_far), F.col("mtime")))
+    return _finish(rows, F.col("role"), F.col("said"), F.col("ts"), F.col("file"), F.col("o"))
