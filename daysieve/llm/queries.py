@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,11 @@ from . import ann, bpe, exact_dedup, html_text, language, licenses, mixing, ngra
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. Python workers that start from now on find this package also where it isn't installed but lies beside its caller."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, *paths) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
