@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only up to so many rows of a few numbers each.
@@ -30,6 +30,15 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
     return docs.join(small_side(gone, gone.count()), F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
 
 
+def least_of_each(rows: DataFrame, key: str, order: list, n: int, salts: int = 64) -> DataFrame:
+    """The first n rows of each key by order, which must be total. They are ranked in salted parts first, so no task takes in what all tasks have of one key."""
+    part = F.pmod(F.xxhash64(*order), F.lit(salts)).alias("__part")
+    rows = rows.select("*", part)
+    for by in ([key, "__part"], [key]):
+        rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__place") <= n).drop("__place")
+    return rows.drop("__part")
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

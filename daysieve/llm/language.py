@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, vec
+from .cluster import least_of_each
 
 DIMENSIONS = 2048
 #: At most so many rows of each language are learned from, those of the least hashes, and so many languages.
@@ -123,8 +124,8 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
 
     known = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL").where(~is_held_out("id"))
     names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= sample_rows)
-    chosen = ranked.where(F.col("lang").isin(names)).select("id", "lang").distinct()
+    known = known.where(F.col("lang").isin(names)).distinct().withColumn("code", F.xxhash64("id"))
+    chosen = least_of_each(known, "lang", ["code", "id"], sample_rows).select("id", "lang")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # sample_rows for each language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
