@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only up to so many rows of a few numbers each.
 BROADCAST_ROWS = 200_000
+#: Counters by which crowded keys are found; fewer than an eighth of them can be crowded, which bounds what is broadcast.
+COUNTERS = 1 << 20
+#: A key with no more rows is never crowded.
+CROWD = 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,6 +43,19 @@ def least_of_each(rows: DataFrame, key: str, order: list, n: int, salts: int = 6
     return rows.drop("__part")
 
 
+def split_crowded(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows of keys (hashes) that a task can take in whole, and rows of the others, whose groups must be split.
+
+    Keys are counted by their remainders, so the counts are of bounded size whatever the rows. Those that have more than
+    CROWD rows and eight times the mean are crowded; a key that shares a crowded one's remainder goes with it.
+    """
+    counter = F.pmod(F.col(key), F.lit(COUNTERS))
+    counts = cut(rows.groupBy(counter.alias("__counter")).agg(F.count("*").alias("__rows")))
+    total = counts.agg(F.sum("__rows")).first()[0] or 0
+    crowded = F.broadcast(counts.where(F.col("__rows") > max(CROWD, 8 * total // COUNTERS)).select("__counter"))
+    return rows.join(crowded, counter == F.col("__counter"), "left_anti"), rows.join(crowded, counter == F.col("__counter"), "left_semi")
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
