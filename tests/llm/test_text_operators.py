@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import tiktoken
 
-from daysieve.llm import bpe, exact_dedup, ngram_join, queries, substring_dedup
+from daysieve.llm import bpe, cluster, exact_dedup, ngram_join, queries, substring_dedup
 
 from .helpers import SCHEMA, components, fold, frame, odd_documents, words
 
@@ -18,6 +18,13 @@ def test_near_groups_against_all_pairs(spark, seed, k, num):
     assert got == components(rows, k, num, 100)
 
 
+def test_near_groups_of_crowded_tokens(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "CROWD", 2)
+    rows = odd_documents(seed=5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame(spark, rows), 4, 85, 100).collect()}
+    assert got == components(rows, 4, 85, 100)
+
+
 def test_near_groups_in_pieces_of_families(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
     rows = odd_documents(seed=2)
@@ -81,8 +88,9 @@ def test_chunks_are_cut_by_content():
     assert max(np.diff(exact_dedup.chunk_bounds(np.full(300_000, 97, np.uint8), np.array([0, 300_000])))) <= exact_dedup.LONGEST
 
 
-@pytest.mark.parametrize("width", [5, 13])
-def test_repeats_against_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "crowd"), [(5, 4096), (13, 4096), (5, 1), (13, 3)])
+def test_repeats_against_brute_force(spark, monkeypatch, width, crowd):
+    monkeypatch.setattr(cluster, "CROWD", crowd)
     rows = odd_documents(seed=5) + [(800, "w1 " * 40, "en", "a"), (801, "w1 " * 30, "en", "a")]
     first = {}
     for d, t, *_ in rows:
