@@ -43,17 +43,19 @@ def least_of_each(rows: DataFrame, key: str, order: list, n: int, salts: int = 6
     return rows.drop("__part")
 
 
-def split_crowded(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """rows of keys (hashes) that a task can take in whole, and rows of the others, whose groups must be split.
+def dealt(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with crowd (null, or about how many rows of its key there are, if these are too many for a task) and part, which deals those rows by another column; 0 for all others.
 
-    Keys are counted by their remainders, so the counts are of bounded size whatever the rows. Those that have more than
-    CROWD rows and eight times the mean are crowded; a key that shares a crowded one's remainder goes with it.
+    Keys, which are hashes, are counted by their remainders, so the counts are of bounded size whatever the rows. Those
+    that have more than CROWD rows and eight times the mean are crowded; a key that shares a crowded one's remainder
+    goes with it.
     """
     counter = F.pmod(F.col(key), F.lit(COUNTERS))
-    counts = cut(rows.groupBy(counter.alias("__counter")).agg(F.count("*").alias("__rows")))
-    total = counts.agg(F.sum("__rows")).first()[0] or 0
-    crowded = F.broadcast(counts.where(F.col("__rows") > max(CROWD, 8 * total // COUNTERS)).select("__counter"))
-    return rows.join(crowded, counter == F.col("__counter"), "left_anti"), rows.join(crowded, counter == F.col("__counter"), "left_semi")
+    counts = cut(rows.groupBy(counter.alias("__counter")).agg(F.count("*").alias("crowd")))
+    total = counts.agg(F.sum("crowd")).first()[0] or 0
+    crowded = F.broadcast(counts.where(F.col("crowd") > max(CROWD, 8 * total // COUNTERS)))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.ceil(F.col("crowd") / CROWD)), F.lit(0).cast("long"))
+    return rows.join(crowded, counter == F.col("__counter"), "left").withColumn("part", part).drop("__counter")
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

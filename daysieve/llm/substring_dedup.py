@@ -4,10 +4,10 @@ A window of `width` words is an edge of the de Bruijn graph on runs of width - 1
 whose least hashed `anchor`-word gram is the same stay together as one path, so a text becomes paths of several edges
 each and only paths are shuffled, by the gram that they hang on: equal windows have equal grams and meet. Paths on a
 gram of a single text are nonbranching and unrepeated and are dropped whole. The edges of the rest are joined by
-128 bits of hash with the smallest doc_id that they start in, which decides what goes. Of grams that crowd, as those of
-a passage in a third of all texts, the smallest doc_ids are aggregated before the shuffle and joined to the edges, so no
-task takes in all that hangs on one. What is returned are source coordinates: merged spans of words, by which the text
-itself is read again and cut.
+128 bits of hash with the smallest doc_id that they start in, which decides what goes. Grams that crowd, as those of
+a passage in a third of all texts, are dealt to parts: edges with a smaller doc_id in their part are decided there, and
+the few others meet once more, so no task takes in all that hangs on a gram. What is returned are source coordinates:
+merged spans of words, by which the text itself is read again and cut.
 
 Defined results: a null or short text has no windows and keeps its words; rows of one doc_id are one document; rows
 with a null doc_id keep all and count for nothing; other columns are ignored; an empty table gives an empty result.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .cluster import cut, small_side, split_crowded
+from .cluster import cut, dealt, small_side
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,19 +65,15 @@ def paths(docs: DataFrame, width: int, anchor: int, text: str, doc_id: str) -> D
 
 def repeated_edges(docs: DataFrame, width: int, anchor: int, text: str, doc_id: str) -> DataFrame:
     """(doc_id, place): where windows start that also start in a document with a smaller id."""
-    few, many = split_crowded(paths(docs, width, anchor, text, doc_id), "gram")
-    on_gram = Window.partitionBy("gram")
-    shared = few.withColumn("low", F.min("doc_id").over(on_gram)).withColumn("high", F.max("doc_id").over(on_gram)).where("low < high")
-    edges = shared.where("low < high").select("gram", "doc_id", "start", F.posexplode("edges").alias("i", "edge"))
-    again = edges.withColumn("least", F.min("doc_id").over(Window.partitionBy("gram", "edge")))
-    # a second key makes the join shuffle both sides anew, so a crowded edge can be split over tasks
-    code = F.xxhash64("edge", "gram").alias("code")
-    edges = many.select("gram", "doc_id", "start", F.posexplode("edges").alias("i", "edge"))
-    least = edges.groupBy("gram", "edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    least = cut(least.select(code, "gram", "edge", "least"))
-    crowded = edges.select(code, "gram", "edge", "doc_id", "start", "i").join(small_side(least, least.count()), ["code", "gram", "edge"])
-    columns = ("doc_id", (F.col("start") + F.col("i")).cast("int").alias("place"))
-    return again.where("least < doc_id").select(*columns).unionByName(crowded.where("least < doc_id").select(*columns))
+    rows = dealt(paths(docs, width, anchor, text, doc_id), "gram", "doc_id")
+    on_gram = Window.partitionBy("gram", "part")
+    rows = rows.withColumn("low", F.min("doc_id").over(on_gram)).withColumn("high", F.max("doc_id").over(on_gram)).where("low < high OR crowd IS NOT NULL")
+    edges = rows.where("low < high OR crowd IS NOT NULL").select("gram", "part", "crowd", "doc_id", "start", F.posexplode("edges").alias("i", "edge"))
+    edges = edges.withColumn("least", F.min("doc_id").over(Window.partitionBy("gram", "part", "edge"))).where("least < doc_id OR crowd IS NOT NULL")
+    edges = edges.select("gram", "edge", "doc_id", (F.col("start") + F.col("i")).cast("int").alias("place"), "least")
+    # both branches read one shuffle
+    rest = edges.where("least = doc_id").select("gram", "edge", "doc_id", "place").withColumn("least", F.min("doc_id").over(Window.partitionBy("gram", "edge")))
+    return edges.unionByName(rest.select(*edges.columns)).where("least < doc_id").select("doc_id", "place")
 
 
 def repeated_spans(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
