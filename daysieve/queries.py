@@ -278,11 +278,15 @@ def scal16_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", texts.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))::INT AS emails, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[邮箱]', 'g')) AS digest FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '\d{7}|(\d{1,3}\.){3}\d')""")
+_EMAIL = redact.PERSONAL["email"][0]
+
+
+@query(f"""WITH e AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_EMAIL}'))::INT AS emails, regexp_replace(coalesce(text, ''), '{_EMAIL}', '[邮箱]', 'g') AS t FROM documents)
+    SELECT doc_id, emails, len(list_filter(regexp_extract_all(t, '[0-9]+'), lambda r: regexp_full_match(r, '1[3-9][0-9]{{9}}')))::INT AS phones FROM e""")
 def scal14_personal(spark, d):
-    """Where no phone, id or address stands, whose rules look behind, only addresses of mail are replaced."""
-    rows = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"\d{7}|(\d{1,3}\.){3}\d"))
-    return rows.select("doc_id", redact.personal_counts(F.col("text"))["email"].alias("emails"), F.md5(redact.redact_personal(F.col("text")).cast("binary")).alias("digest"))
+    """Addresses of mail, and phone numbers in what is left; what replaces them is a unit test's."""
+    found = redact.personal_counts(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", found["email"].alias("emails"), found["cn-phone"].alias("phones"))
 
 
 _SECRETS_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for k, p in redact.SECRETS.items())
@@ -416,3 +420,78 @@ def src23_candidate_roots(spark, d):
 def ses14_board_hours(spark, d):
     rows = s.describe(day.blocks(items(spark, d)))
     return extras.board_hours(rows).select("project", *_us("hour"), "modules")
+
+
+@query(_with(ITEMS, BLOCKS, KEPT, STATS) + " SELECT project, block, score, low FROM modules")
+def agg04_score(spark, d):
+    """AGG-04 and FLT-10: the weight of each block and whether it is low signal."""
+    return s.describe(day.blocks(items(spark, d))).select("project", "block", "score", s.low_signal(F.col("document_work")).alias("low"))
+
+
+@query("SELECT event_id, event_type AS source_type, event_id::VARCHAR AS source_ref, (ts - INTERVAL 4 HOUR)::DATE AS local_date, CASE WHEN length(props) > 8 THEN substr(props, 1, 8) || '…' ELSE props END AS excerpt FROM events")
+def evd01_evidence(spark, d):
+    """Events as rows of the evidence table."""
+    rows = table(spark, d, "events").withColumn("project", F.col("user_id").cast("string"))
+    found = e.evidence(rows, F.col("event_type"), F.col("event_id"), F.col("ts"), F.col("props"), n=8)
+    return found.select(F.col("source_ref").cast("long").alias("event_id"), "source_type", "source_ref", "local_date", "excerpt")
+
+
+@query("SELECT event_id, event_type AS source_type, 'a:' || event_id AS source_ref FROM events")
+def evd07_source_ids(spark, d):
+    rows = table(spark, d, "events").select("event_id", e.source_id(F.col("event_type"), F.concat(F.lit("a:"), "event_id")).alias("id"))
+    return rows.select("event_id", *[c.alias(k) for k, c in e.parse_source_id(F.col("id")).items()])
+
+
+@query("SELECT user_id AS url_id, arg_max(json_extract_string(props, '$.k'), event_id) AS term FROM events GROUP BY user_id")
+def join11_last_term(spark, d):
+    terms = table(spark, d, "events").select(F.col("user_id").alias("url_id"), F.col("event_id").alias("rowid"), F.get_json_object("props", "$.k").alias("term"))
+    return web.last_term(terms)
+
+
+@query("SELECT '/c/' || c_custkey AS root, CASE WHEN c_custkey % 3 = 0 THEN 'kept-' || c_custkey ELSE 'new-' || c_custkey END AS project FROM customer")
+def join09_reconcile(spark, d):
+    """Roots that are stored keep their ids."""
+    c = table(spark, d, "customer")
+    new = c.select(F.concat(F.lit("/c/"), "c_custkey", F.lit("/")).alias("root"), F.concat(F.lit("new-"), "c_custkey").alias("project"))
+    stored = c.where("c_custkey % 3 = 0").select(F.concat(F.lit("/c/"), "c_custkey").alias("root"), F.concat(F.lit("kept-"), "c_custkey").alias("project"))
+    return a.reconcile(new, stored).select("root", "project")
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'unverified' ELSE 'confirmed' END AS confidence, count(*) AS n FROM orders GROUP BY ALL")
+def agg10_confidence(spark, d):
+    rows = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, "unverified").otherwise("confirmed").alias("confidence"))
+    return journal.confidence_counts(rows)
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%H:%M') AS hhmm, 'UTC+08:00' AS label FROM events")
+def scal02_hhmm(spark, d):
+    """SCAL-02 and SCAL-03."""
+    return table(spark, d, "events").select("event_id", times.hhmm(F.col("ts"), "Asia/Shanghai").alias("hhmm"), times.utc_offset_label(F.col("ts"), "Asia/Shanghai").alias("label"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 60 THEN '停留约 ' || floor(value / 60 + 0.5)::INT || ' 分钟' ELSE '' END AS stay FROM events")
+def scal12_stay(spark, d):
+    return table(spark, d, "events").select("event_id", texts.stay_words(F.col("value")).alias("stay"))
+
+
+@query(r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(coalesce(text, ''), '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[\r\n]+', ' ', 'g')) AS digest FROM conversations")
+def scal17_defused(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(texts.defuse_markdown(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT event_id, repeat('*', length(props) - 2) || right(props, 2) AS masked FROM events")
+def scal29_masked(spark, d):
+    return table(spark, d, "events").select("event_id", extras.mask_key(F.col("props"), 2).alias("masked"))
+
+
+@query("SELECT doc_id, regexp_extract(name, '[^/]+$') AS base, d AS dir, lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS ext FROM (SELECT doc_id, 'x/' || source || '/' || doc_id || '.TXT' AS name, coalesce(source, '') AS d FROM documents WHERE source IS NOT NULL)".replace("\\\\", "\\"))
+def scal06_names(spark, d):
+    path = F.concat(F.lit("x/"), "source", F.lit("/"), "doc_id", F.lit(".TXT"))
+    return table(spark, d, "documents").where("source IS NOT NULL").select("doc_id", texts.base_name(path).alias("base"), texts.dir_name(path).alias("dir"), texts.extension(texts.base_name(path)).alias("ext"))
+
+
+@query("SELECT o_orderkey, o_orderdate + to_days((o_custkey % 5)::INT) >= TIMESTAMP '1995-01-01' AND o_orderdate + to_days((o_custkey % 5)::INT) < TIMESTAMP '1996-01-01' OR o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' OR o_orderdate < TIMESTAMP '1995-01-01' AND o_orderdate + to_days((o_custkey % 5)::INT) >= TIMESTAMP '1996-01-01' AS touched FROM orders")
+def turn10_overlaps(spark, d):
+    until = F.timestamp_add("DAY", (F.col("o_custkey") % 5).cast("int"), F.col("o_orderdate"))
+    start, end = (F.lit(f"{y}-01-01").cast("timestamp") for y in (1995, 1996))
+    return table(spark, d, "orders").select("o_orderkey", t.overlaps(until, F.col("o_orderdate"), start, end).alias("touched"))

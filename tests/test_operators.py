@@ -1,3 +1,4 @@
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -189,6 +190,13 @@ def test_secrets_and_personal_data(spark):
         assert text not in one(spark, f"see {text} here", redact.scrub_secrets) and one(spark, text, redact.has_secret)
     assert one(spark, "plain tokenizer text", redact.scan_secrets) == []
     assert one(spark, "a@b.co 13812345678 10.0.0.1 11010119900307123X", redact.redact_personal) == "[邮箱] [手机号] [IP] [身份证号]"
+    texts = ["a@b.co c@d.org 113812345678 13812345678 999.1.2.33.4", "", "x110101199003071234", "mail a.b+c@x-y.io, 10.0.0.1:80 13912345678", "13812345678@q.com"]
+    for text in texts:
+        want, counts = text, {}
+        for kind, (pattern, mark) in redact.PERSONAL.items():
+            want, counts[kind] = re.subn(pattern, mark, want, flags=re.ASCII)
+        assert one(spark, text, redact.redact_personal) == want
+        assert {k: one(spark, text, lambda c, k=k: redact.personal_counts(c)[k]) for k in counts} == counts
     assert one(spark, "/home/me/x", lambda c: redact.redact_home(c, "/home/me")) == "~/x"
     assert one(spark, "mysql -psecret1 db", redact.is_credential_command) and not one(spark, "git push", redact.is_credential_command)
 
