@@ -122,9 +122,9 @@ def light_edges(classes: DataFrame, boundary: int, num: int, den: int) -> DataFr
                 yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, sizes, reps, ns)], ["key", "c", "rep", "n"])
 
     rows = classes.where(F.col("n").between(1, boundary)).select("rep", "n", "first").mapInArrow(run, "key long, c long, rep long, n long")
-    # of one subset, in order of size: if neighbours don't link, none across them do, as the overlap needed grows with size
-    w = Window.partitionBy("key", "c").orderBy("n", "rep")
-    pairs = rows.select("rep", "n", "c", F.lag("rep").over(w).alias("b"), F.lag("n").over(w).alias("m")).where(F.col("b").isNotNull())
+    # of one subset, the smallest class stands for all: if any two link by it, the smallest links with both, as the overlap needed grows with size
+    w = Window.partitionBy("key", "c").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = rows.select("rep", "n", "c", F.first("rep").over(w).alias("b"), F.first("n").over(w).alias("m")).where("rep <> b")
     return pairs.where((num + den) * F.col("c") >= num * (F.col("n") + F.col("m"))).select(F.col("rep").alias("a"), "b").distinct()
 
 

@@ -18,6 +18,17 @@ def test_near_groups_against_all_pairs(spark, seed, k, num):
     assert got == components(rows, k, num, 100)
 
 
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_near_groups_of_a_short_text_and_its_extensions(spark, k, num):
+    # the extensions link with the short text only: not with each other
+    short = " ".join(f"w{i}" for i in range(k + 5))
+    rows = [(1, short, "en", "a"), (2, f"{short} x", "en", "a"), (3, f"{short} y", "en", "a"), (4, f"z {short}", "en", "a")]
+    want = components(rows, k, num, 100)
+    assert {c for _, c in want.values()} == {1} and components(rows[1:], k, num, 100)[3][1] == 3
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame(spark, rows), k, num, 100).collect()}
+    assert got == want
+
+
 def test_near_groups_of_crowded_tokens(spark, monkeypatch):
     monkeypatch.setattr(cluster, "CROWD", 2)
     rows = odd_documents(seed=5)
