@@ -1,9 +1,11 @@
 """License scans by a positional index of rare tokens; DataFrame functions only.
 
 Base labels are phrases whose words stand consecutively. Further labels come from templates, short license notices:
-of the words of all templates, those with the highest IDF over all documents that a text holds are looked up in the
-templates' postings (word -> template, position); a posting at the same distance from its place in the text for
-several rare words is an alignment, and a template that aligns is labelled once its mandatory key phrase is found.
+the words of a text are looked up in the templates' postings (word -> template, position); a posting at the same
+distance from its place in the text for several words is an alignment, and a template that aligns is labelled if its
+mandatory key phrase stands in the text. Key phrases are looked for first, and of the templates whose phrase is there
+all words are looked up, however many notices a text holds and however common their words are. The score counts the
+alignments of the text's RAREST template words with the highest IDF over all documents, each label once at least.
 All this happens within a row, so no text moves; only the document frequencies of the templates' words are gathered,
 a row for each word at most.
 
@@ -34,7 +36,7 @@ TEMPLATES = {
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "released into the public domain"),
 }
-#: Rare words of a text that are looked up, and how many must agree on a place.
+#: Rare words of a text whose alignments the score counts, and how many words must agree on a place.
 RAREST = 8
 AGREE = 2
 
@@ -61,11 +63,6 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, tupl
     idf = word_idf(docs, templates, text)
     # the rarest words first; those that most texts hold place nothing
     rare = [w for w in sorted(idf, key=lambda w: (-idf[w], w)) if idf[w] > 0.05]
-    postings: dict[str, list[tuple[str, int]]] = {}
-    for label, (notice, _) in sorted(templates.items()):
-        for i, w in enumerate(notice.split()):
-            if w in rare:
-                postings.setdefault(w, []).append((label, i))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _words(F.col(text)).alias("words"))
     # a text without any of the rare words and base phrases' words needs no lookup
     keys = sorted({*rare, *(p.split()[0] for p in base)})
@@ -78,21 +75,28 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, tupl
     starts = F.concat(*[F.col(f"hit{j}") for j in range(len(hits))])
     named = F.array_compact(F.array(*[F.when(F.size(f"hit{j}") > 0, F.lit(label)) for j, label in enumerate(base.values())]))
 
-    if postings:
-        # per text: its rarest template words, their places, and where each posting would have its notice start
-        of_text = F.slice(F.array_intersect(_strings(rare), F.col("words")), 1, RAREST)
-        table = F.create_map(*[x for w, p in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(label).alias("label"), F.lit(i).alias("at")) for label, i in p]))])
-        rows = rows.withColumn("chosen", of_text)
-        spots = F.when(F.size("chosen") > 0, F.filter(places, lambda i: F.array_contains("chosen", word(i)))).otherwise(F.expr("cast(array() as array<int>)"))
-        begins = F.flatten(F.transform(spots, lambda i: F.transform(F.element_at(table, word(i)), lambda p: F.struct(p["label"].alias("label"), (i - p["at"]).alias("begin")))))
-        rows = rows.withColumn("begins", F.array_sort(begins))
-        # equal begins are different words of the notice at their places
-        agreed = F.filter("begins", lambda b, i: b == F.get("begins", i + AGREE - 1))
-        rows = rows.withColumn("aligned", F.array_distinct(F.transform(agreed, lambda b: b["label"])))
+    if templates:
+        # the template words that a text holds, rarest first, and the templates whose key phrase stands in it
+        vocabulary = [*sorted(idf, key=lambda w: (-idf[w], w)), *sorted({w for _, key in templates.values() for w in key.split()} - idf.keys())]
+        rows = rows.withColumn("held", F.array_intersect(_strings(vocabulary), F.col("words")))
+        hints = {label: F.forall(_strings(sorted(set(key.split()))), lambda w: F.array_contains("held", w)) for label, (_, key) in sorted(templates.items())}
+        rows = rows.withColumn("hinted", F.array_compact(F.array(*[F.when(h, F.lit(label)) for label, h in hints.items()])))
         joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-        rows = rows.withColumn("joined", F.when(F.size("aligned") > 0, joined))
+        rows = rows.withColumn("joined", F.when(F.size("hinted") > 0, joined))
         phrases = F.create_map(*[x for label, (_, key) in sorted(templates.items()) for x in (F.lit(label), F.lit(f" {key} "))])
-        rows = rows.withColumn("verified", F.filter("aligned", lambda a: F.contains("joined", F.element_at(phrases, a)))).withColumn("strength", F.size(agreed))
+        rows = rows.withColumn("named", F.filter("hinted", lambda a: F.contains("joined", F.element_at(phrases, a))))
+        # all words of those templates, and where each posting would have its notice start
+        every = F.when(F.size("named") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        own = F.filter(_begins(every, _table(templates, set(idf))), lambda b: F.array_contains("named", b["label"]))
+        rows = rows.withColumn("own", F.array_sort(own))
+        rows = rows.withColumn("verified", F.array_distinct(F.transform(_agreed("own"), lambda b: b["label"])))
+        # the score counts the alignments of the rarest words that the text holds
+        chosen = F.slice(F.array_intersect("held", _strings(rare)), 1, RAREST) if rare else F.expr("cast(array() as array<string>)")
+        rows = rows.withColumn("chosen", chosen)
+        spots = F.when(F.size("chosen") > 0, F.filter(places, lambda i: F.array_contains("chosen", word(i)))).otherwise(F.expr("cast(array() as array<int>)"))
+        rows = rows.withColumn("begins", F.array_sort(_begins(spots, _table(templates, set(rare)))) if rare else F.col("own"))
+        strength = F.size(_agreed("begins")) if rare else F.lit(0)
+        rows = rows.withColumn("strength", F.greatest(strength, F.size("verified")))
     else:
         rows = rows.withColumn("verified", F.expr("cast(array() as array<string>)")).withColumn("strength", F.lit(0))
     n_base = F.size(starts).cast("long")
@@ -109,6 +113,27 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, tupl
     )
 
 
+def _table(templates: dict[str, tuple[str, str]], words: set[str]) -> Column:
+    """A map of each of words to its postings (label, at) in the templates."""
+    postings: dict[str, list[tuple[str, int]]] = {}
+    for label, (notice, _) in sorted(templates.items()):
+        for i, w in enumerate(notice.split()):
+            if w in words:
+                postings.setdefault(w, []).append((label, i))
+    return F.create_map(*[x for w, p in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(label).alias("label"), F.lit(i).alias("at")) for label, i in p]))])
+
+
+def _begins(spots: Column, table: Column) -> Column:
+    """(label, begin): where each posting of the words at spots would have its notice start."""
+    none = F.expr("cast(array() as array<struct<label: string, at: int>>)")
+    return F.flatten(F.transform(spots, lambda i: F.transform(F.coalesce(F.try_element_at(table, F.get("words", i)), none), lambda p: F.struct(p["label"].alias("label"), (i - p["at"]).alias("begin")))))
+
+
+def _agreed(begins: str) -> Column:
+    """Equal begins are different words of the notice at their places; of sorted ones, those that AGREE - 1 equal ones follow."""
+    return F.filter(begins, lambda b, i: b == F.get(begins, i + AGREE - 1))
+
+
 def _phrase_at(phrase: list[str]):
     """Whether the words of phrase stand from a place on."""
 

@@ -97,6 +97,17 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_licenses_of_several_notices(spark):
+    names = ["apache-2.0", "bsd", "isc", "mit", "mpl-2.0"]
+    notices = [licenses.TEMPLATES[n][0] for n in names]
+    rows = [(1, ". ".join(notices), "en", "a"), (2, " and more words here ".join(reversed(notices)), "en", "a")] + [(10 + i, "plain words of the day and of the night", "en", "a") for i in range(40)]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got[1].labels == got[2].labels == ",".join(names) and got[1].score < 1 and not got[10].labels
+    # words that all documents hold
+    same = licenses.scan(frame(spark, [(i, f"file {i} {notices[3]}", "en", "a") for i in range(40)])).collect()
+    assert {r.labels for r in same} == {"mit"} and all(r.score > 0 for r in same)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
