@@ -108,27 +108,23 @@ def _mixing_sql() -> str:
 
 
 def _licenses_sql() -> str:
-    """Base phrases and template words by joins over numbered words."""
-    notices = ", ".join(f"('{label}', '{notice}', '{key}')" for label, (notice, key) in licenses.TEMPLATES.items())
+    """Base phrases by their words, and every begin of every notice by joins over numbered words: no lookup is spared, as the operator does by IDF."""
+    notices = ", ".join(f"('{label}', '{notice}', '{key}', {licenses.needed(notice)})" for label, (notice, key) in licenses.TEMPLATES.items())
     phrases = ", ".join(f"('{label}', '{p}', {len(p.split())})" for p, label in licenses.BASE.items())
     return f"""
-        WITH notices(label, notice, key) AS (VALUES {notices}), phrases(label, phrase, n) AS (VALUES {phrases}),
+        WITH notices(label, notice, key, needed) AS (VALUES {notices}), phrases(label, phrase, n) AS (VALUES {phrases}),
         post AS (SELECT label, unnest(string_split(notice, ' ')) AS word, unnest(range(0, len(string_split(notice, ' ')))) AS at_ FROM notices),
-        d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
-        w AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM d),
-        hits AS (SELECT d.doc_id, label, i FROM d, phrases, unnest(range(0, len(words))) r(i) WHERE list_contains(words, string_split(phrase, ' ')[1]) AND array_to_string(words[i + 1:i + n], ' ') = phrase),
-        base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS base_list FROM hits GROUP BY doc_id),
-        df AS (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word IN (SELECT word FROM post) GROUP BY word),
-        rare AS (SELECT word, df FROM df WHERE ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) > 0.05),
-        chosen AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY df, word) AS n FROM (SELECT DISTINCT doc_id, word FROM w) JOIN rare USING (word)) WHERE n <= {licenses.RAREST}),
-        begins AS (SELECT doc_id, label, i - at_ AS b, count(*) AS n FROM w JOIN chosen USING (doc_id, word) JOIN post USING (word) GROUP BY ALL HAVING count(*) >= {licenses.AGREE}),
-        aligned AS (SELECT doc_id, label, sum(n - {licenses.AGREE - 1})::BIGINT AS strength FROM begins GROUP BY ALL),
-        verified AS (SELECT a.doc_id, a.label FROM aligned a JOIN notices USING (label) JOIN d USING (doc_id) WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' ' || key || ' ')),
-        own AS (SELECT doc_id, list(label) AS own_list FROM verified GROUP BY doc_id),
-        power AS (SELECT doc_id, sum(strength)::BIGINT AS strength FROM aligned GROUP BY doc_id),
-        x AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
-                     list_sort(list_distinct(list_concat(coalesce(base_list, []), coalesce(own_list, [])))) AS all_labels, coalesce(n_base, 0) + CASE WHEN own_list IS NOT NULL THEN strength ELSE 0 END AS weight
-              FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN power USING (doc_id))
+        d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+        w AS (SELECT id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM d),
+        hits AS (SELECT d.id, label, i FROM d, phrases, unnest(range(0, len(words))) r(i) WHERE list_contains(words, string_split(phrase, ' ')[1]) AND array_to_string(words[i + 1:i + n], ' ') = phrase),
+        base AS (SELECT id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS base_list FROM hits GROUP BY id),
+        begins AS (SELECT id, label, i - at_ AS b, count(*) AS n FROM w JOIN post USING (word) GROUP BY ALL),
+        aligned AS (SELECT id, label, max(begins.n) AS n FROM begins JOIN notices USING (label) JOIN d USING (id)
+                    WHERE begins.n >= needed AND contains(' ' || array_to_string(words[greatest(b, 0) + 1:b + len(string_split(notice, ' '))], ' ') || ' ', ' ' || key || ' ') GROUP BY id, label),
+        own AS (SELECT id, list(label) AS own_list, sum(n)::BIGINT AS strength FROM aligned GROUP BY id),
+        x AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+                     list_sort(list_distinct(list_concat(coalesce(base_list, []), coalesce(own_list, [])))) AS all_labels, coalesce(n_base, 0) + coalesce(strength, 0) AS weight
+              FROM d LEFT JOIN base USING (id) LEFT JOIN own USING (id))
         SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, array_to_string(all_labels, ',') AS labels, weight / (weight + 1)::DOUBLE AS score FROM x"""
 
 

@@ -98,14 +98,24 @@ def test_licenses(spark):
 
 
 def test_licenses_of_several_notices(spark):
-    names = ["apache-2.0", "bsd", "isc", "mit", "mpl-2.0"]
-    notices = [licenses.TEMPLATES[n][0] for n in names]
-    rows = [(1, ". ".join(notices), "en", "a"), (2, " and more words here ".join(reversed(notices)), "en", "a")] + [(10 + i, "plain words of the day and of the night", "en", "a") for i in range(40)]
-    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
-    assert got[1].labels == got[2].labels == ",".join(names) and got[1].score < 1 and not got[10].labels
+    every = sorted(licenses.TEMPLATES)
+    few = ["apache-2.0", "bsd", "isc", "mit", "mpl-2.0"]
+    notice = {n: licenses.TEMPLATES[n][0] for n in every}
+    plain = [(1000 + i, "plain words of the day and of the night", "en", "a") for i in range(40)]
+    rows = [(1, ". ".join(notice[n] for n in few), "en", "a"), (2, " and more words here ".join(notice[n] for n in reversed(few)), "en", "a"), (3, "\n".join(notice[n].upper() for n in every), "en", "a")]
+    # a key phrase far from its notice, words of a notice out of place, folding of A-Z only
+    rows += [(4, "mit license " + "and so on " * 40 + "permission is hereby granted free of charge to any person", "en", "a"), (5, "license mit the under released", "en", "a"), (6, "released under the M\u0130T licen\u017fe, all rights re\u017ferved \u212a", "en", "a")]
+    rows += [(7, "x " * 20_000 + notice["isc"] + " y" * 20_000, "en", "a"), (8, "of this software is released under the mit", "en", "a"), (9, "the MIT license permission is", None, None), (None, "Released under the MIT License.", "en", "a")]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows + plain)).collect()}
+    base = {n: licenses.BASE[p] for p in licenses.BASE for n in every if p in notice[n]}
+    assert got[1].labels == got[2].labels == ",".join(few) and got[1].score < 1 and not got[1000].labels
+    assert got[3].labels == ",".join(sorted({*every, *base.values()}))
+    assert [got[i].labels for i in (4, 5, 6, 7, 8, 9, None)] == ["", "", "", "isc", "", "mit", "mit"]
     # words that all documents hold
-    same = licenses.scan(frame(spark, [(i, f"file {i} {notices[3]}", "en", "a") for i in range(40)])).collect()
+    same = licenses.scan(frame(spark, [(i, f"file {i} {notice['mit']}", "en", "a") for i in range(40)])).collect()
     assert {r.labels for r in same} == {"mit"} and all(r.score > 0 for r in same)
+    assert {r.labels for r in licenses.scan(frame(spark, rows[:1]), base={}).collect()} == {",".join(few)}
+    assert {r.labels for r in licenses.scan(frame(spark, rows[:1]), templates={}).collect()} == {""}
 
 
 def vectors(spark, rows):
