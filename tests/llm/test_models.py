@@ -123,11 +123,23 @@ def vectors(spark, rows):
 
 
 def brute(rows, k):
-    ok = {i: np.array(v, np.float64) for i, v, _ in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)}
+    """{query: its k nearest as (id, score)}, an id's best vector, a query's least."""
+    ok = [(i, np.array(v, np.float64)) for i, v, _ in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
-    for q in sorted(x for x in ok if x % 20 == 0):
-        s = sorted((-float((v * ok[q]).sum()), i) for i, v in ok.items() if i != q)[:k]
-        out[q] = [(i, -x) for x, i in s]
+    for q in {i for i, _ in ok if i % 20 == 0}:
+        own = np.array(min(v.tolist() for i, v in ok if i == q))
+        best = {}
+        for i, v in ok:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float((v * own).sum()))
+        out[q] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def found(df, k=20, by="vec_id % 20 = 0"):
+    out = {}
+    for r in ann.nearest(df.where(by), df, k).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
     return out
 
 
@@ -136,28 +148,53 @@ def test_neighbours_of_odd_vectors(spark, monkeypatch):
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist(), 0) for i in range(200)]
     rows += [(200 + i, rows[0][1], 0) for i in range(60)]  # a common vector
     rows += [(300, None, 0), (301, [0.0] * 8, 0), (302, [1.0] * 7 + [None], 0), (303, [float("nan")] * 8, 0), (304, [float("inf")] * 8, 0), (None, [1.0] * 8, 0), (305, [1.0], 0), (306, [], 0), rows[3], (307, [-0.0] * 7 + [1.0], 0), (308, [0.0] * 7 + [1.0], 0)]
-    df = vectors(spark, rows)
-    for shard in (8192, 50):
+    rows += [(40, rows[7][1], 0), (41, rows[8][1], 0), (41, rows[9][1], 0)]  # other vectors of one id
+    df, want = vectors(spark, rows), brute(rows, 20)
+    for shard, block in ((8192, 8192), (50, 4)):
         monkeypatch.setattr(ann, "SHARD_VECTORS", shard)
-        got = {}
-        for r in ann.nearest(df.where("vec_id % 20 = 0"), df, 20).orderBy("query_id", "rank").collect():
-            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        want = brute(rows, 20)
-        assert got.keys() == want.keys() and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
-        assert all(np.allclose([s for _, s in got[q]], [s for _, s in want[q]]) for q in want)
+        monkeypatch.setattr(ann, "BLOCK_QUERIES", block)
+        got = found(df)
+        assert got.keys() == want.keys() and all(len(got[q]) == len({i for i, _ in got[q]}) == 20 for q in got)
+        score = {q: dict(brute(rows, 1000)[q]) for q in want}
+        assert all(s == pytest.approx(score[q][i]) for q in got for i, s in got[q])
+        assert all(got[q] == sorted(got[q], key=lambda x: (-x[1], x[0])) for q in got)
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    # with all files and all of the share it is brute force
+    monkeypatch.setattr(ann, "LOOKED", 256)
+    monkeypatch.setattr(ann, "RERANKED", 1.0)
+    got = found(df)
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
     assert ann.nearest(df.limit(0), df.limit(0)).collect() == []
     few = vectors(spark, rows[:5])
     assert ann.nearest(few.where("vec_id = 0"), few).count() == 4
 
 
-def test_recall(spark):
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    got = {}
-    for r in ann.nearest(rows.where("vec_id % 20 = 0"), rows).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    data = {r.vec_id: np.array(r.embedding, np.float64) for r in rows.collect()}
-    hits = [len(got[q] & {i for _, i in sorted((-float((v * data[q]).sum()), i) for i, v in data.items() if i != q)[:20]}) for q in got]
-    assert sum(hits) >= 0.9 * 20 * len(hits)
+def test_queries_that_find_too_few_look_everywhere(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist(), 0) for i in range(100)]
+    monkeypatch.setattr(ann, "LOOKED", 1)
+    monkeypatch.setattr(ann, "POSTED", 1)
+    assert {q: [i for i, _ in x] for q, x in found(vectors(spark, rows)).items()} == {q: [i for i, _ in x] for q, x in brute(rows, 20).items()}
+
+
+@pytest.mark.parametrize(("n", "sigma"), [(1000, 0.0), (50_000, 0.0), (20_000, 0.5)])
+def test_recall(spark, tmp_path, n, sigma):
+    """Against all vectors, with several shards, on vectors without clusters; of equal and of unequal lengths."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.exp(rng.normal(size=(n, 1)) * sigma).astype(np.float32)
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), str(tmp_path / "v.parquet"), row_group_size=5000)
+    got = found(spark.read.parquet(str(tmp_path / "v.parquet")), by=f"vec_id % {max(50, n // 200)} = 0")
+    x = x.astype(np.float64)
+    hits = []
+    for q, pairs in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len({i for i, _ in pairs} & set(np.argpartition(-s, 20)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9, np.mean(hits)
 
 
 def test_quality_on_held_out_rows(spark):
