@@ -1,16 +1,26 @@
 """Substring dedup over a compacted de Bruijn graph.
 
-A window of `width` words is an edge of the de Bruijn graph on runs of width - 1 words. Consecutive windows of a text
-whose least hashed `anchor`-word gram is the same stay together as one path, so a text becomes paths of several edges
-each and only paths are shuffled, by the gram that they hang on: equal windows have equal grams and meet. Paths on a
-gram of a single text are nonbranching and unrepeated and are dropped whole. The edges of the rest are joined by
-128 bits of hash with the smallest doc_id that they start in, which decides what goes. Grams that crowd, as those of
-a passage in a third of all texts, are dealt to parts: edges with a smaller doc_id in their part are decided there, and
-the few others meet once more, so no task takes in all that hangs on a gram. What is returned are source coordinates:
-merged spans of words, by which the text itself is read again and cut.
-
-Defined results: a null or short text has no windows and keeps its words; rows of one doc_id are one document; rows
-with a null doc_id keep all and count for nothing; other columns are ignored; an empty table gives an empty result.
+A window of `width` words is an edge of the de Bruijn graph, from the run of its first width - 1 words to that of its
+last. The graph is far larger than the text, so it is partitioned by minimiser first: consecutive windows of a text
+whose least hashed `anchor`-word gram is the same move as one row, by that gram, and equal windows meet there. Edges of
+a single document are dropped; each other occurrence is sent to a source coordinate, a place in a document with a
+smaller id. Then the graph of the repeated edges is compacted:
+
+* Occurrences whose source places follow one another walk the source's text along one path of the graph. They are
+  joined to walks (document, begin, length, source, place).
+* A node of a source is branching (its in- or out-degree is above one) where some walk enters or leaves. Between two
+  such nodes the path is nonbranching: one edge of the compacted graph, held once by its source coordinates. A join with
+  the sources' branching nodes cuts the walks into occurrences of these paths.
+* The words of each path, once, and of each occurrence are read again at their coordinates and compared by SHA-256.
+  Only a verified span is removed. Windows of spans that differ, where hashes agreed by chance, are decided by their
+  words among all windows of such hashes.
+
+Grams that crowd, as those of a passage in a third of all texts, are dealt to parts: edges with a smaller doc_id in their
+part are decided there, and the few others meet once more, so no task takes in all that hangs on a gram.
+
+Defined results: a null or short text has no windows and keeps its words; rows of one doc_id are one document, but each
+row (doc_id and 64-bit hash of its text) has its own spans; rows with a null doc_id keep all and count for nothing; a
+very long text is one row of any task that reads it; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +36,11 @@ from pyspark.sql import functions as F
 from . import vec
 from .cluster import cut, dealt, small_side
 
+#: Bits by which windows on one gram are told apart before their words are compared.
+EDGE_BITS = 32
+#: A side of numbers is broadcast up to so many.
+BROADCAST_NUMBERS = 2_000_000
+
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each run of width values."""
@@ -37,8 +52,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, text, code): code tells the rows of one doc_id apart."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("code", F.xxhash64("text"))
+
+
 def paths(docs: DataFrame, width: int, anchor: int, text: str, doc_id: str) -> DataFrame:
-    """(gram, doc_id, start, edges array<bigint>): each path's first word and its windows' hashes."""
+    """(gram, doc_id, code, start, edges array<int>): runs of windows with one least gram, by their first word and the windows' hashes."""
+    shift = np.uint64(64 - EDGE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,93 +73,166 @@ def paths(docs: DataFrame, width: int, anchor: int, text: str, doc_id: str) -> D
                 i = np.arange(n - anchor + 1)
                 grams = _least(vec.run_hashes(words, i, i + anchor), width - anchor + 1)
                 first = vec.spread(at[:-1], windows)  # the windows that stay within their text
-                grams, edges = grams[first], vec.run_hashes(words, first, first + width)
+                grams, edges = grams[first], (vec.run_hashes(words, first, first + width) >> shift).astype(np.uint32)
                 doc = np.repeat(np.arange(len(windows)), windows)
                 cuts = np.flatnonzero(np.concatenate(([True], (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1]))))
-                ids = batch.column(0).slice(row, len(windows)).take(pa.array(doc[cuts]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(grams)).astype(np.int32)), pa.array(edges.view(np.int64)))
-                yield pa.record_batch([pa.array(grams[cuts].view(np.int64)), ids, pa.array(first[cuts] - at[doc[cuts]]), lists], ["gram", "doc_id", "start", "edges"])
+                own = pa.array(doc[cuts])
+                ids, codes = (batch.column(j).slice(row, len(windows)).take(own) for j in (0, 2))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(grams)).astype(np.int32)), pa.array(edges.view(np.int32)))
+                yield pa.record_batch([pa.array(grams[cuts].view(np.int64)), ids, codes, pa.array((first[cuts] - at[doc[cuts]]).astype(np.int32)), lists], ["gram", "doc_id", "code", "start", "edges"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "gram long, doc_id long, start long, edges array<long>")
+    return _rows(docs, text, doc_id).where("doc_id IS NOT NULL").mapInArrow(run, "gram long, doc_id long, code long, start int, edges array<int>")
 
 
 def repeated_edges(docs: DataFrame, width: int, anchor: int, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, place): where windows start that also start in a document with a smaller id."""
+    """(doc_id, code, place, s, s_code, s_place): where windows start whose hashes also start at a place of a document s with a smaller id."""
     rows = dealt(paths(docs, width, anchor, text, doc_id), "gram", "doc_id")
     on_gram = Window.partitionBy("gram", "part")
     rows = rows.withColumn("low", F.min("doc_id").over(on_gram)).withColumn("high", F.max("doc_id").over(on_gram)).where("low < high OR crowd IS NOT NULL")
-    edges = rows.where("low < high OR crowd IS NOT NULL").select("gram", "part", "crowd", "doc_id", "start", F.posexplode("edges").alias("i", "edge"))
-    edges = edges.withColumn("least", F.min("doc_id").over(Window.partitionBy("gram", "part", "edge"))).where("least < doc_id OR crowd IS NOT NULL")
-    edges = edges.select("gram", "edge", "doc_id", (F.col("start") + F.col("i")).cast("int").alias("place"), "least")
-    # both branches read one shuffle
-    rest = edges.where("least = doc_id").select("gram", "edge", "doc_id", "place").withColumn("least", F.min("doc_id").over(Window.partitionBy("gram", "edge")))
-    return edges.unionByName(rest.select(*edges.columns)).where("least < doc_id").select("doc_id", "place")
+    edges = rows.select("gram", "part", "crowd", "doc_id", "code", "start", F.posexplode("edges").alias("i", "edge"))
+    edges = edges.select("gram", "part", "crowd", "edge", "doc_id", "code", (F.col("start") + F.col("i")).alias("place"))
 
+    def with_source(rows: DataFrame, *key: str) -> DataFrame:
+        least = Window.partitionBy(*key).orderBy("doc_id", "code", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumns({"s": F.first("doc_id").over(least), "s_code": F.first("code").over(least), "s_place": F.first("place").over(least)})
 
-def repeated_spans(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, spans array<bigint>): begins and ends, one after another, of the spans of words that windows cover which also start in a document with a smaller id."""
-    again = repeated_edges(docs, width, anchor, text, doc_id)
-    places = again.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    edges = with_source(edges, "gram", "part", "edge").where("s < doc_id OR crowd IS NOT NULL")
+    # the least document of a crowded edge in its part meets those of the other parts; both branches read one shuffle
+    rest = with_source(edges.where("s = doc_id").drop("s", "s_code", "s_place"), "gram", "edge")
+    columns = ["doc_id", "code", "place", "s", "s_code", "s_place"]
+    return edges.select(*columns).unionByName(rest.select(*columns)).where("s < doc_id")
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def walks(edges: DataFrame) -> DataFrame:
+    """(doc_id, code, place, n, s, s_code, s_place): n windows from a place on that are those from a place of s on."""
+    ahead = (F.col("s_place") - F.col("place")).alias("ahead")
+    runs = edges.groupBy("doc_id", "code", "s", "s_code", ahead).agg(F.collect_list("place").alias("places"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            values, at = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-            spans = []
-            for a, b in zip(at[:-1], at[1:]):
-                p = np.unique(values[a:b]).astype(np.int64)
-                new = np.flatnonzero(np.diff(p) > width)
-                spans.append(np.stack((p[np.concatenate(([0], new + 1))], p[np.append(new, len(p) - 1)] + width), axis=1).ravel())
-            yield pa.record_batch([batch.column(0), pa.array(spans, pa.list_(pa.int64()))], ["doc_id", "spans"])
+            lists = batch.column(5)
+            values, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((values, owner))
+            values, owner = values[order].astype(np.int64), owner[order]
+            new = np.concatenate(([True], (np.diff(values) > 1) | (np.diff(owner) > 0)))[: len(values)]
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(values))[: len(first)] - 1
+            ids = batch.take(pa.array(owner[first]))
+            place = values[first]
+            yield pa.record_batch([ids.column(0), ids.column(1), pa.array(place), pa.array(values[last] - place + 1), ids.column(2), ids.column(3), pa.array(place + ids.column(4).to_numpy())], ["doc_id", "code", "place", "n", "s", "s_code", "s_place"])
+
+    return runs.mapInArrow(join, "doc_id long, code long, place long, n long, s long, s_code long, s_place long")
+
+
+def nonbranching(found: DataFrame) -> DataFrame:
+    """Walks, cut where their source has a branching node: each row is then one occurrence of a nonbranching path (s, s_code, s_place, n)."""
+    ends = found.select("s", "s_code", F.explode(F.array("s_place", F.col("s_place") + F.col("n"))).alias("node")).distinct()
+    # a source has no more nodes than words; a second key, so that the walks of one source can be split over tasks
+    code = F.xxhash64("s", "s_code").alias("key")
+    nodes = ends.groupBy("s", "s_code").agg(F.sort_array(F.collect_list("node")).alias("nodes")).withColumn("key", code)
+    met = found.withColumn("key", code).join(nodes, ["key", "s", "s_code"])
+    own = F.filter("nodes", lambda x: (x >= F.col("s_place")) & (x <= F.col("s_place") + F.col("n")))
+    parts = met.withColumn("own", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("own") - 2)))
+    a, b = F.get("own", "i"), F.get("own", F.col("i") + 1)
+    return parts.select("doc_id", "code", (F.col("place") + a - F.col("s_place")).alias("place"), (b - a).alias("n"), "s", "s_code", a.alias("s_place"))
+
+
+def _normal(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with one space after each, and where each begins; the last entry is the end."""
+    size = ends - starts + 1
+    at = np.concatenate(([0], np.cumsum(size)))
+    out = np.full(int(at[-1]), 0x20, np.uint8)
+    out[vec.spread(at[:-1], size - 1)] = buf[vec.spread(starts, size - 1)]
+    return out.tobytes(), at
+
+
+def _with_lists(docs: DataFrame, lists: DataFrame, text: str, doc_id: str, how: str) -> DataFrame:
+    """Rows of docs with (doc_id, code, spans array<bigint>); the lists are broadcast if they are few numbers."""
+    lists = cut(lists)
+    weight = lists.agg(F.sum(F.size("spans") + 4)).first()[0] or 0
+    return _rows(docs, text, doc_id).join(small_side(lists, weight, BROADCAST_NUMBERS), ["doc_id", "code"], how)
+
+
+def read_again(docs: DataFrame, spans: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, code, place, n, digest): of the words under each of spans (doc_id, code, place, n), joined by one space."""
+    lists = spans.groupBy("doc_id", "code").agg(F.flatten(F.collect_set(F.array("place", "n"))).alias("spans"))
 
-    return places.mapInArrow(merge, "doc_id long, spans array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, buf, offs in vec.chunks(batch.column(2)):
+                starts, ends, at = vec.word_spans(buf, offs)
+                raw, where = _normal(buf, starts, ends)
+                for i in range(len(offs) - 1):
+                    pairs = batch.column(3)[row + i].values.to_numpy().reshape(-1, 2)
+                    first = np.minimum(at[i] + pairs[:, 0], at[i + 1])
+                    last = np.minimum(first + pairs[:, 1] + width - 1, at[i + 1])
+                    digests = [hashlib.sha256(raw[x:y]).digest()[:16] for x, y in zip(where[first].tolist(), where[last].tolist())]
+                    own = pa.array(np.full(len(pairs), row + i))
+                    yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(digests, pa.binary())], ["doc_id", "code", "place", "n", "digest"])
+
+    rows = _with_lists(docs, lists, text, doc_id, "inner").select("doc_id", "code", "text", "spans")
+    return rows.mapInArrow(run, "doc_id long, code long, place long, n long, digest binary")
+
+
+def decided_by_words(docs: DataFrame, doubtful: DataFrame, width: int, anchor: int, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, code, place, n): windows that repeat, among all those whose hashes are those of windows under doubtful spans."""
+    windows = doubtful.select("doc_id", "code", F.explode(F.sequence(F.col("place").cast("int"), (F.col("place") + F.col("n") - 1).cast("int"))).alias("place")).distinct()
+    every = paths(docs, width, anchor, text, doc_id).select("gram", "doc_id", "code", "start", F.posexplode("edges").alias("i", "edge")).select("gram", "edge", "doc_id", "code", (F.col("start") + F.col("i")).alias("place"))
+    keys = cut(every.join(small_side(windows, windows.count()), ["doc_id", "code", "place"], "left_semi").select("gram", "edge").distinct())
+    places = every.join(small_side(keys, keys.count()), ["gram", "edge"], "left_semi").select("doc_id", "code", F.col("place").cast("long").alias("place"), F.lit(1).cast("long").alias("n"))
+    read = cut(read_again(docs, places, width, text, doc_id).distinct())
+    least = read.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    return read.join(least, "digest").where("doc_id > least").select("doc_id", "code", "place", "n")
+
+
+def repeated_spans(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, code, place, n): verified occurrences of n windows from a place on that also start in a document with a smaller id."""
+    found = cut(nonbranching(cut(walks(repeated_edges(docs, width, anchor, text, doc_id)))))
+    source = ["s", "s_code", "s_place", "n"]
+    once = found.select(*source).distinct().toDF("doc_id", "code", "place", "n")
+    read = cut(read_again(docs, found.select("doc_id", "code", "place", "n").unionByName(once), width, text, doc_id).distinct())
+    code = F.xxhash64("doc_id", "code", "place", "n").alias("key")  # a second key, so that the occurrences of one path can be split over tasks
+    path = read.select(code, *[F.col(x).alias(y) for x, y in zip(("doc_id", "code", "place", "n"), source)], F.col("digest").alias("path"))
+    own = found.join(read, ["doc_id", "code", "place", "n"]).withColumn("key", F.xxhash64(*source))
+    checked = cut(own.join(path, ["key", *source]).select("doc_id", "code", "place", "n", (F.col("digest") == F.col("path")).alias("same")))
+    good, doubtful = checked.where("same").drop("same"), checked.where("NOT same").drop("same")
+    if doubtful.isEmpty():
+        return good
+    return good.unionByName(decided_by_words(docs, doubtful, width, anchor, text, doc_id))
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row; the words that stay are joined by one space."""
-    return _apply(docs, repeated_spans(docs, width, anchor, text, doc_id), text, doc_id, digest=False)
+    return _apply(docs, repeated_spans(docs, width, anchor, text, doc_id), width, text, doc_id, digest=False)
 
 
 def repeat_digest(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row."""
-    return _apply(docs, repeated_spans(docs, width, anchor, text, doc_id), text, doc_id, digest=True)
+    return _apply(docs, repeated_spans(docs, width, anchor, text, doc_id), width, text, doc_id, digest=True)
 
 
-def _apply(docs: DataFrame, spans: DataFrame, text: str, doc_id: str, digest: bool) -> DataFrame:
-    spans = cut(spans)
-    weight = spans.agg(F.sum(F.size("spans") + 4)).first()[0] or 0
-
+def _apply(docs: DataFrame, spans: DataFrame, width: int, text: str, doc_id: str, digest: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, buf, offs in vec.chunks(batch.column(1)):
                 starts, ends, at = vec.word_spans(buf, offs)
                 own = batch.column(2).slice(row, len(offs) - 1)
-                edge = np.zeros(len(starts) + 1, np.int32)
-                places = own.flatten().to_numpy()
-                per = np.nan_to_num(own.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                places = places + np.repeat(at[:-1], per)
-                np.add.at(edge, places[::2], 1)
-                np.add.at(edge, places[1::2], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                n_words = np.diff(at)
-                stay = np.flatnonzero(~gone)
-                doc = np.searchsorted(at, stay, side="right") - 1
-                kept = np.zeros(len(buf) + 1, np.int8)
-                np.add.at(kept, starts[stay], 1)
-                np.add.at(kept, ends[stay], -1)
-                keep = np.cumsum(kept[:-1], dtype=np.int8) > 0
-                more = stay[:-1][doc[:-1] == doc[1:]]  # a word of the same text follows
-                out = buf.copy()
-                keep[ends[more]] = True
-                out[ends[more]] = 0x20
-                total = np.concatenate(([0], np.cumsum(keep)))[offs].tolist()
-                raw = out[keep].tobytes()
-                texts = [raw[a:b] for a, b in zip(total, total[1:])]
+                per = np.nan_to_num(own.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) // 2
+                pairs = own.flatten().to_numpy().reshape(-1, 2)
+                begin, end = np.repeat(at[:-1], per) + pairs[:, 0], np.repeat(at[1:], per)
+                edge = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(edge, np.minimum(begin, end), 1)
+                np.add.at(edge, np.minimum(begin + pairs[:, 1] + width - 1, end), -1)
+                stay = np.flatnonzero(np.cumsum(edge[:-1]) <= 0)
+                raw, where = _normal(buf, starts[stay], ends[stay])
+                to = np.searchsorted(stay, at)
+                texts = [raw[a : max(a, b - 1)] for a, b in zip(where[to[:-1]].tolist(), where[to[1:]].tolist())]
                 texts = [hashlib.sha256(t).hexdigest() for t in texts] if digest else [t.decode() for t in texts]
-                removed = n_words - np.bincount(doc, minlength=len(n_words))
-                yield pa.record_batch([batch.column(0).slice(row, len(n_words)), pa.array(n_words), pa.array(removed), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", name])
+                n_words = np.diff(at)
+                yield pa.record_batch([batch.column(0).slice(row, len(n_words)), pa.array(n_words), pa.array(n_words - np.diff(to)), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", name])
 
     name = "kept_sha256" if digest else "kept_text"
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(small_side(spans, weight, 2_000_000), "doc_id", "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")
+    lists = spans.groupBy("doc_id", "code").agg(F.flatten(F.collect_list(F.array("place", "n"))).alias("spans"))
+    rows = _with_lists(docs, lists, text, doc_id, "left").select("doc_id", "text", "spans")
+    return rows.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")

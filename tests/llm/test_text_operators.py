@@ -99,10 +99,14 @@ def test_chunks_are_cut_by_content():
     assert max(np.diff(exact_dedup.chunk_bounds(np.full(300_000, 97, np.uint8), np.array([0, 300_000])))) <= exact_dedup.LONGEST
 
 
-@pytest.mark.parametrize(("width", "crowd"), [(5, 4096), (13, 4096), (5, 1), (13, 3)])
-def test_repeats_against_brute_force(spark, monkeypatch, width, crowd):
+@pytest.mark.parametrize(("width", "crowd", "bits"), [(5, 4096, 32), (13, 4096, 32), (5, 1, 32), (13, 3, 4), (5, 4096, 3)])
+def test_repeats_against_brute_force(spark, monkeypatch, width, crowd, bits):
+    """With few bits many windows share a hash, so that only their words tell them apart."""
     monkeypatch.setattr(cluster, "CROWD", crowd)
+    monkeypatch.setattr(substring_dedup, "EDGE_BITS", bits)
     rows = odd_documents(seed=5) + [(800, "w1 " * 40, "en", "a"), (801, "w1 " * 30, "en", "a")]
+    rows += [(17, "w5 w6", "en", "a"), (17, f"{rows[20][1]} w1 w2 {rows[30][1]}", "en", "a"), (3, f"{rows[25][1]} other words", "en", "b")]  # other texts of an id
+    rows += [(900, "\t".join(rows[40][1].split()) + "\n" + rows[41][1] + "  " + rows[42][1], None, None)]
     first = {}
     for d, t, *_ in rows:
         w = words(t)
@@ -120,8 +124,25 @@ def test_repeats_against_brute_force(spark, monkeypatch, width, crowd):
     got = [tuple(r) for r in substring_dedup.repeat_digest(frame(spark, rows), width, 3).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(got, key=key) == sorted(want, key=key)
-    texts = {r.doc_id: r.kept_text for r in substring_dedup.remove_repeats(frame(spark, rows), width, 3).collect()}
-    assert sha(texts[801].encode()) == next(x[3] for x in want if x[0] == 801)
+    if bits == 32:
+        texts = {r.doc_id: r.kept_text for r in substring_dedup.remove_repeats(frame(spark, rows), width, 3).collect()}
+        assert sha(texts[801].encode()) == next(x[3] for x in want if x[0] == 801)
+
+
+def test_paths_are_nonbranching(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w), "en", "a"), (2, " ".join(w[:40]), "en", "a"), (3, " ".join(["x", *w[20:], "y"]), "en", "a"), (4, " ".join(w), "en", "a")]
+    edges = substring_dedup.repeated_edges(frame(spark, rows), 5, 3, "text", "doc_id")
+    walks = substring_dedup.walks(edges)
+    got = sorted(tuple(r) for r in walks.select("doc_id", "place", "n", "s", "s_place").collect())
+    assert got == [(2, 0, 36, 1, 0), (3, 1, 36, 1, 20), (4, 0, 56, 1, 0)]
+    cuts = sorted(tuple(r) for r in substring_dedup.nonbranching(walks).select("doc_id", "place", "n", "s_place").collect())
+    # texts enter at 20 and leave at 36, so the source has three paths
+    assert cuts == [(2, 0, 20, 0), (2, 20, 16, 20), (3, 1, 16, 20), (3, 17, 20, 36), (4, 0, 20, 0), (4, 20, 16, 20), (4, 36, 20, 36)]
+
+
+def test_repeats_of_no_rows(spark):
+    assert substring_dedup.repeat_digest(frame(spark, odd_documents()).limit(0)).collect() == []
 
 
 def encoding():
