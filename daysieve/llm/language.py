@@ -1,13 +1,14 @@
 """Language identification by the nearest of several centroids for each language.
 
 A text is the vector of its hashed letter n-grams (one to three bytes within words, A-Z folded), damped counts times
-inverse document frequency, normalised. Each language's sample is clustered by spherical k-means into a few centroids;
+inverse document frequency over all rows that may be learned from, normalised. Each language's sample is clustered by spherical k-means into a few centroids;
 the language of the centroid with the highest cosine is predicted. The score is that cosine's lead over the best
 centroid of another language, as a share from 0 to 1. A text further from its centroid than nearly all of that
 language's sample is marked as rejected; its nearest language is still named.
 
-Defined results: a text that is null or has no letter is `und` with score 0; repeated rows are answered alike; without
-any learned language all are `und`; an empty table gives an empty result; other columns are never read.
+Defined results: a text that is null or has no letter is `und` with score 0; repeated rows are answered alike, and are
+learned from once; without any learned language all are `und`; ties go to the language that sorts first; a very long text
+is counted whole; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from . import bpe, vec
 from .cluster import least_of_each
 
 DIMENSIONS = 2048
-#: At most so many rows of each language are learned from, those of the least hashes, and so many languages.
+#: At most so many rows of each language are learned from, those of the least hashes, and so many in all; one of each language at least.
 SAMPLE_ROWS = 1500
-MOST_LANGUAGES = 200
+SAMPLE_IN_ALL = 20_000
 CENTROIDS = 4
 #: The share of a language's sample that lies within its rejection distance.
 WITHIN = 0.995
@@ -77,7 +78,7 @@ class Centroids:
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, rejected) of each row of counts."""
-        x = _normal(np.log1p(counts) * self.idf)
+        x = _normal(np.log1p(counts) * self.idf)  # logarithms of float32 counts
         cosine = x @ self.centroids.T
         best = np.full((len(x), len(self.names)), -1.0, np.float32)
         for j, k in enumerate(self.language):
@@ -100,13 +101,13 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centroids
 
 
-def train(counts: np.ndarray, languages: list[str], seed: int = 5) -> Centroids | None:
+def train(damped: np.ndarray, languages: list[str], idf: np.ndarray, seed: int = 5) -> Centroids | None:
+    """Centroids of the rows of damped, which are log(1 + count) of each n-gram."""
     if not languages:
         return None
     names = sorted(set(languages))
-    label = np.array([names.index(x) for x in languages])
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _normal(np.log1p(counts) * idf)
+    label = np.searchsorted(names, languages)
+    x = _normal(damped * idf)
     rng = np.random.default_rng(seed)
     centroids, owner, radius = [], [], []
     for k in range(len(names)):
@@ -118,24 +119,51 @@ def train(counts: np.ndarray, languages: list[str], seed: int = 5) -> Centroids
     return Centroids(idf, np.concatenate(centroids).astype(np.float32), np.array(owner), names, np.array(radius))
 
 
-def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Centroids | None:
-    """Centroids from rows with a language that are not held out (crc32 of the id as text mod 5 is 0): those of the sample_rows least hashes of each language."""
+def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
+    """The IDF of each slot over all rows of docs that have a letter; DIMENSIONS sums come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(DIMENSIONS, np.int64), 0
+        for batch in batches:
+            for _, x, has in _counts(batch.column(0)):
+                df += (x[has] > 0).sum(axis=0)
+                n += int(has.sum())
+        yield pa.record_batch([pa.array(np.arange(-1, DIMENSIONS)), pa.array(np.concatenate(([n], df)))], ["slot", "df"])
+
+    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df")).collect()
+    got = {r.slot: r.df for r in sums}
+    df = np.array([got.get(i, 0) for i in range(DIMENSIONS)])
+    return (np.log((1 + got.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
+
+
+def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, in_all: int = SAMPLE_IN_ALL) -> Centroids | None:
+    """Centroids from rows with a language that are not held out (crc32 of the id as text mod 5 is 0): those of the least hashes of each language, at most sample_rows of each and in_all together."""
     from .quality import is_held_out
 
-    known = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL").where(~is_held_out("id"))
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    known = known.where(F.col("lang").isin(names)).distinct().withColumn("code", F.xxhash64("id"))
-    chosen = least_of_each(known, "lang", ["code", "id"], sample_rows).select("id", "lang")
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # sample_rows for each language at most
+    learnable = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL").where(~is_held_out("id"))
+    known = learnable.select("id", "lang").distinct().withColumn("code", F.xxhash64("id"))
+    languages = known.select(F.count_distinct("lang")).first()[0]
+    if not languages:
+        return None
+    chosen = least_of_each(known, "lang", ["code", "id"], max(1, min(sample_rows, in_all // languages))).select("id", "lang")
+    rows = learnable.join(F.broadcast(chosen), ["id", "lang"])  # in_all rows at most, or one of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, x, has in _counts(batch.column(2)):
-                packed = [np.minimum(r, 65535).astype("<u2").tobytes() if ok else None for r, ok in zip(x, has)]
-                yield pa.record_batch([batch.column(0).slice(row, len(x)), batch.column(1).slice(row, len(x)), pa.array(packed, pa.binary())], ["id", "lang", "x"])
-
-    got = sorted({(r.id, r.lang): bytes(r.x) for r in rows.select("id", "lang", "text").mapInArrow(run, "id long, lang string, x binary").where("x IS NOT NULL").collect()}.items())
-    return train(np.stack([np.frombuffer(x, "<u2") for _, x in got]).astype(np.float32), [k[1] for k, _ in got]) if got else None
+                slots = [np.flatnonzero(r).astype("<u2") for r in x]
+                packed = [i.tobytes() if ok else None for i, ok in zip(slots, has)]
+                damped = [np.log1p(r[i]).astype("<f4").tobytes() for r, i in zip(x, slots)]
+                yield pa.record_batch([batch.column(0).slice(row, len(x)), batch.column(1).slice(row, len(x)), pa.array(packed, pa.binary()), pa.array(damped, pa.binary())], ["id", "lang", "slots", "damped"])
+
+    sparse = rows.select("id", "lang", "text").mapInArrow(run, "id long, lang string, slots binary, damped binary").where("slots IS NOT NULL").collect()
+    got = sorted({(r.id, r.lang, bytes(r.slots), bytes(r.damped)) for r in sparse})
+    if not got:
+        return None
+    damped = np.zeros((len(got), DIMENSIONS), np.float32)
+    for i, (_, _, slots, values) in enumerate(got):
+        damped[i, np.frombuffer(slots, "<u2")] = np.frombuffer(values, "<f4")
+    return train(damped, [x[1] for x in got], inverse_frequencies(learnable, "text"))
 
 
 def identify(docs: DataFrame, model: Centroids | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
