@@ -2,14 +2,16 @@
 
 A source's target is its weight's share of the mix, at most `most_copies` times what it has; the excess goes to the
 others by weight (water filling: sources in order of cap by weight, running sums, no loop). The mix is counted in
-blocks of equal tokens. Blocks go to sources by the highest quotients target / (2k + 1), then to each source's shards
-of about `shard_tokens` by the same rule, so every shard has an integer quota and fills it alone: its documents, in an
-order seeded by md5, are laid end to end, at most `most_copies` times, and the first quota * block tokens are taken.
-A hot source is many shards, so no task holds it. Of a document that a quota ends in, only the first words are taken.
-
-Defined results: a null text has size 0 and nothing is taken of it; a null source is a source, after all others;
-repeated rows are documents of their own, ordered among themselves by size; other columns are ignored; an empty table
-gives an empty result; if all sizes are 0, all targets are.
+blocks of equal tokens, BLOCK_TOKENS or so many that there are LEAST_BLOCKS at least. Blocks go to sources by the highest
+quotients target / (2k + 1), then to groups of a source's shards and at last to shards of about `shard_tokens` by the
+same rule, FAN parties at a time, so however many shards a hot source has, no task ranks them all. Every shard has an
+integer quota and fills it alone: its documents, in an order seeded by md5, are laid end to end, at most `most_copies`
+times, and the first quota * block tokens are taken. Of a document that a quota ends in, only the first words are taken.
+
+Defined results: a null text has size 0 and nothing is taken of it; a null source is a source, after all others; a null
+doc_id is an id; repeated rows are documents of their own, ordered among themselves by size and text; a very long text
+may exceed a shard's size, which then holds little else; other columns are ignored; an empty table gives an empty
+result; if all sizes are 0, all targets are.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 from .cluster import cut, small_side
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Tokens of a block.
+#: Tokens of a block, of fewer if the mix has fewer than LEAST_BLOCKS of them.
 BLOCK_TOKENS = 16
+LEAST_BLOCKS = 4096
+#: Shards, or groups of them, that seats are dealt to at a time.
+FAN = 1024
 #: About so many tokens of one source are a shard.
 SHARD_TOKENS = 65_536
 SEED = "mix-1"
@@ -68,38 +73,59 @@ def apportion(parties: DataFrame, by: list[str], weight: str, seats: str, order:
     return parties.alias("p").join(won.alias("q"), on, "left").select("p.*", F.coalesce("q.quota", F.lit(0)).cast("long").alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_copies: int = 2, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of docs."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
-    rows = cut(rows.withColumn("code", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))))
-    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_copies))
+def shard_quotas(shards: DataFrame, most: int, fan: int) -> DataFrame:
+    """shards (source, shard, shard_size, blocks) with quota: each source's blocks go to groups of fan ** level consecutive shards, these groups' to smaller ones, and so on; most is the largest number of shards of a source."""
+    levels = 1
+    while fan**levels < most:
+        levels += 1
+    seats = shards.groupBy("source").agg(F.first("blocks").alias("seats")).select(F.col("source").alias("__source"), F.lit(0).cast("long").alias("__of"), "seats")
+    for level in reversed(range(levels)):
+        group = F.floor(F.col("shard") / fan**level).cast("long")
+        parties = shards.groupBy("source", group.alias("group")).agg(F.sum("shard_size").alias("size")).withColumn("of", F.floor(F.col("group") / fan) if level < levels - 1 else F.lit(0).cast("long"))
+        parties = parties.join(seats, F.col("source").eqNullSafe(F.col("__source")) & (F.col("of") == F.col("__of"))).drop("__source", "__of")
+        quotas = cut(apportion(parties, ["source", "of"], "size", "seats", "group"))
+        seats = quotas.select(F.col("source").alias("__source"), F.col("group").alias("__of"), F.col("quota").alias("seats"))
+    return shards.join(seats, F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__of"))).select(*shards.columns, F.col("seats").alias("quota"))
+
+
+def _laid(docs: DataFrame, keep: list[str], weights: tuple[float, ...], share: float, most_copies: int, block: int, shard_tokens: int, seed: str, fan: int, text: str, doc_id: str, source: str) -> DataFrame:
+    """The columns keep of docs with __doc, __size, __source_size, __target and __taken of each row."""
+    sized = docs.select(*keep, F.col(doc_id).cast("long").alias("__doc"), F.col(source).cast("string").alias("__source"), n_words(F.col(text)).alias("__size"), F.xxhash64(F.col(text).cast("string")).alias("__tie"))
+    sized = sized.withColumn("__code", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("__doc").cast("string"), F.lit(""))).cast("binary")))
+    # without other columns the rows are small: they are written once; with them the texts are counted twice rather than written
+    rows = sized if keep else cut(sized)
+    sources = cut(targets(rows.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), weights, share, most_copies))
     n = sources.count()
     if not n:
-        return rows.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    seats = sources.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
-    seats = cut(apportion(seats, [], "target", "seats", "source").withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_tokens))).select("source", "source_size", "target", "full", F.col("quota").alias("blocks"), "shards"))
-    side = seats.withColumnRenamed("source", "__source")
-    rows = rows.join(small_side(side, n), F.col("source").eqNullSafe(F.col("__source"))).withColumn("shard", F.conv(F.substring("code", 1, 8), 16, 10).cast("long") % F.col("shards"))
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first("full").alias("full"))
-    shards = apportion(shards, ["source"], "shard_size", "blocks", "shard")
+        return rows.select(*keep, "__doc", "__size", F.lit(0).cast("long").alias("__source_size"), F.lit(0.0).alias("__target"), F.lit(0).cast("long").alias("__taken"))
+    total = sources.agg(F.sum("target")).first()[0] or 0.0
+    block = max(1, min(block, int(total / LEAST_BLOCKS)))
+    seats = sources.withColumn("seats", F.lit(round(total / block)).cast("long"))
+    seats = cut(apportion(seats, [], "target", "seats", "source").withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_tokens))).select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("full").alias("__full"), F.col("quota").alias("__blocks"), F.col("shards").alias("__shards")))
+    most = seats.agg(F.max("__shards")).first()[0]
+    rows = rows.join(small_side(seats, n), F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__shard", F.conv(F.substring("__code", 1, 8), 16, 10).cast("long") % F.col("__shards"))
+    shards = cut(rows.groupBy(F.col("__source").alias("source"), F.col("__shard").alias("shard")).agg(F.sum("__size").alias("shard_size"), F.first("__blocks").alias("blocks"), F.first("__full").alias("full")))
+    shards = shard_quotas(shards, most, fan)
     cap = F.col("shard_size") * most_copies
-    shards = cut(shards.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "shard_size", F.when(F.col("full"), cap).otherwise(F.least(F.col("quota") * block, cap)).alias("quota")))
-    rows = rows.drop("__source").join(small_side(shards, shards.count()), F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard")))
-    laid = Window.partitionBy("source", "shard").orderBy("code", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(laid), F.lit(0)))
+    shards = cut(shards.select(F.col("source").alias("__in"), F.col("shard").alias("__part"), F.col("shard_size").alias("__shard_size"), F.when(F.col("full"), cap).otherwise(F.least(F.col("quota") * block, cap)).alias("__quota")))
+    rows = rows.join(small_side(shards, shards.count()), F.col("__source").eqNullSafe(F.col("__in")) & (F.col("__shard") == F.col("__part")))
+    laid = Window.partitionBy("__source", "__shard").orderBy("__code", F.col("__doc").asc_nulls_first(), "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__before", F.coalesce(F.sum("__size").over(laid), F.lit(0)))
     none = F.lit(0).cast("long")
-    taken = sum((F.greatest(none, F.least(F.col("size"), F.col("quota") - c * F.col("shard_size") - F.col("before"))) for c in range(most_copies)), none)
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    taken = sum((F.greatest(none, F.least(F.col("__size"), F.col("__quota") - c * F.col("__shard_size") - F.col("__before"))) for c in range(most_copies)), none)
+    return rows.select(*keep, "__doc", "__size", "__source_size", "__target", taken.alias("__taken"))
+
 
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_copies: int = 2, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED, fan: int = FAN, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row of docs."""
+    rows = _laid(docs, [], weights, share, most_copies, block, shard_tokens, seed, fan, text, doc_id, source)
+    return rows.toDF("doc_id", "size", "source_size", "target", "taken")
 
-def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """The rows of the mix with all columns of docs: a document stands in it as often as it is taken, the last time with its first words, joined by a space, if only those are.
 
-    Rows need a doc_id of their own; those without one are left out.
-    """
-    taken = mix(docs, text=text, doc_id=doc_id, source=source, **how).where("taken > 0").groupBy("doc_id").agg(F.first("size").alias("__size"), F.first("taken").alias("__taken"))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "__doc"), F.col(doc_id).cast("long") == F.col("__doc"))
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_copies: int = 2, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED, fan: int = FAN, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of the mix with all columns of docs: a row stands in it as often as mix() takes it, the last time with its first words, joined by a space, if only those are taken."""
+    rows = _laid(docs, docs.columns, weights, share, most_copies, block, shard_tokens, seed, fan, text, doc_id, source).where("__taken > 0")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")))))
     words = F.col("__taken") - F.col("__copy") * F.col("__size")
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text).cast("string"), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
     return rows.withColumn(text, F.when(words >= F.col("__size"), F.col(text)).otherwise(head)).select(*docs.columns)

@@ -90,9 +90,10 @@ def _mixing_sql() -> str:
               FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         f AS (SELECT *, cap <= rate * w AS filled FROM r),
         g AS (SELECT source, source_size, filled, CASE WHEN filled THEN cap ELSE (SELECT rate FROM f WHERE NOT filled ORDER BY k LIMIT 1) * w END AS target FROM f),
-        seats AS (SELECT round(sum(target) / {mixing.BLOCK_TOKENS})::BIGINT AS n FROM g),
+        size AS (SELECT greatest(1, least({mixing.BLOCK_TOKENS}, floor(sum(target) / {mixing.LEAST_BLOCKS})))::BIGINT AS block FROM g),
+        seats AS (SELECT round(sum(target) / any_value(block))::BIGINT AS n FROM g, size),
         quotients AS (SELECT source, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, source NULLS LAST, j) AS place
-                      FROM (SELECT source, target, unnest(range(0, (target / {mixing.BLOCK_TOKENS})::BIGINT + 40)) AS j FROM g)),
+                      FROM (SELECT source, target, unnest(range(0, (target / block)::BIGINT + 40)) AS j FROM g, size)),
         blocks AS (SELECT source, count(*) FILTER (place <= n) AS blocks FROM quotients, seats GROUP BY source),
         s AS (SELECT g.*, coalesce(blocks, 0) AS blocks, greatest(1, ceil(g.source_size / {mixing.SHARD_TOKENS}))::BIGINT AS shards FROM g LEFT JOIN blocks b ON g.source IS NOT DISTINCT FROM b.source),
         rows AS (SELECT d.*, source_size, target, filled, blocks, ('0x' || substr(code, 1, 8))::BIGINT % shards AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
@@ -100,8 +101,8 @@ def _mixing_sql() -> str:
         shard_quotients AS (SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * j + 1) DESC, shard, j) AS place
                             FROM (SELECT *, unnest(range(0, (blocks * shard_size / source_size)::BIGINT + 40)) AS j FROM shards WHERE shard_size > 0)),
         won AS (SELECT source, shard, count(*) FILTER (place <= blocks) AS quota FROM shard_quotients GROUP BY source, shard),
-        quotas AS (SELECT a.source, a.shard, shard_size, CASE WHEN filled THEN 2 * shard_size ELSE least(coalesce(quota, 0) * {mixing.BLOCK_TOKENS}, 2 * shard_size) END AS quota
-                   FROM shards a LEFT JOIN won b ON a.source IS NOT DISTINCT FROM b.source AND a.shard = b.shard),
+        quotas AS (SELECT a.source, a.shard, shard_size, CASE WHEN filled THEN 2 * shard_size ELSE least(coalesce(quota, 0) * block, 2 * shard_size) END AS quota
+                   FROM size, shards a LEFT JOIN won b ON a.source IS NOT DISTINCT FROM b.source AND a.shard = b.shard),
         laid AS (SELECT r.*, shard_size, quota, coalesce(sum(size) OVER (PARTITION BY r.source, r.shard ORDER BY code, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
                  FROM rows r JOIN quotas q ON r.source IS NOT DISTINCT FROM q.source AND r.shard = q.shard)
         SELECT doc_id, size, source_size, target, (greatest(0, least(size, quota - before)) + greatest(0, least(size, quota - shard_size - before)))::BIGINT AS taken FROM laid"""
