@@ -8,12 +8,14 @@ only one copy of each from a task. Texts with a digest that stands for several c
 
 Defined results: a null text counts as empty, and all empty texts are equal; a null doc_id never stays unless its
 whole group has none (keep_id is then null and kept false); repeated rows of one doc_id are one document, each row
-is answered alike; other columns are ignored; an empty table gives an empty result.
+is answered alike; rows of one doc_id with different texts are in different groups; a very long text is many chunks;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .cluster import without
+from .cluster import cut, small_side
 
 #: A cut falls after about so many bytes (a power of two), and at the latest after LONGEST.
 MEAN_BYTES = 2048
@@ -90,7 +92,7 @@ def unverified(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, n_chunks) of each row of docs; of equal texts the largest doc_id stays."""
-    rows = recipes(docs, text, doc_id)
+    rows = cut(recipes(docs, text, doc_id))
     if bad := [r.digest for r in unverified(docs, text).limit(10_001).collect()]:  # none in practice: 64-bit collisions
         if len(bad) > 10_000:
             raise ValueError("digests do not tell contents apart")
@@ -104,5 +106,17 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows without a doc_id, which can't be named, all do."""
-    return without(docs, exact_groups(docs, text, doc_id).where("NOT kept").select("doc_id"), doc_id)
+    """One row of docs of each text, with all its columns: of the largest doc_id, and of a group without ids any one.
+
+    Rows are named by doc_id and text, so another text of an id stays if it is the last of its own group.
+    """
+    groups = cut(exact_groups(docs, text, doc_id).select("doc_id", "kept", F.col("keep_id").isNull().alias("nameless"), F.unhex("text_sha256").alias("sha")))
+    folded = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    sha = F.unhex(F.sha2(folded.cast("binary"), 256))
+    gone = cut(groups.where("NOT kept AND NOT nameless").select(F.col("doc_id").alias("__gone"), F.col("sha").alias("__sha")).distinct())
+    rows = docs.withColumn("__own", sha)
+    rows = rows.join(small_side(gone, gone.count()), F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__sha")), "left_anti")
+    # only if a row that stays was there twice are rows moved to find its like
+    if not groups.where("kept OR nameless").groupBy("doc_id", "sha").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("__id", F.col(doc_id).cast("long")).dropDuplicates(["__id", "__own"])
+    return rows.select(*docs.columns)
