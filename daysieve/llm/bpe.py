@@ -6,7 +6,9 @@ runs, and each run becomes a function on four states: how much of the run the pi
 it gave its space; one letter; two letters). Such a function fits into one byte, their composition is a table of
 256 x 256 bytes and associative, so a blocked scan gives the state before every run at once, and from it the pieces.
 
-Defined results: a null text counts as empty, no ids; repeated rows are encoded alike; other columns are ignored.
+Defined results: a null text counts as empty, no ids; a null doc_id stays null; repeated rows are encoded alike; a very
+long text is a chunk of its own and a single long piece is merged with a heap; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,8 @@ def scan(functions: np.ndarray, block: int = 128) -> np.ndarray:
 @cache
 def _classes() -> np.ndarray:
     """A class for each code point. The members are asked of the tokenizer library once, with a vocabulary of bytes, so that both agree on the version of Unicode."""
+    import tiktoken
+
     every = [cp for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000]
     text, single = "".join(map(chr, every)), {bytes([b]): b for b in range(256)}
     out = np.full(0x110000, OTHER, np.uint8)

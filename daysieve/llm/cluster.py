@@ -16,9 +16,15 @@ CROWD = 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir, which all executors share; a lost executor costs nothing that is in it."""
+    """df, written to the folder in spark.checkpoint.dir, which all executors share; a lost executor costs nothing that is in it.
+
+    Only a local master, as in tests, gets a folder of its own. With spark.cleaner.referenceTracking.cleanCheckpoints
+    Spark deletes what is no longer referred to.
+    """
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="daysieve-checkpoints-"))
     return df.checkpoint(eager=True)
 

@@ -57,19 +57,63 @@ def test_seats_are_sainte_lague(spark):
         assert got == {i: sum(-j == i for _, j in best) for i in range(n)}
 
 
+@pytest.mark.parametrize("fan", [2, 3, 1024])
+def test_quotas_of_many_shards(spark, fan):
+    rng = np.random.default_rng(3)
+    sizes = {(s, i): int(x) for s, n in (("a", 23), ("b", 1), (None, 4)) for i, x in enumerate(rng.integers(0, 1000, n))}
+    blocks = {"a": 400, "b": 7, None: 0}
+    df = spark.createDataFrame([(s, i, x, blocks[s]) for (s, i), x in sizes.items()], "source string, shard long, shard_size long, blocks long")
+    got = {(r.source, r.shard): r.quota for r in mixing.shard_quotas(df, 23, fan).collect()}
+    assert got.keys() == sizes.keys()
+
+    def seats(parties, n):
+        best = sorted(((w / (2 * k + 1), -i) for i, w in parties.items() if w for k in range(n)), reverse=True)[:n]
+        return {i: sum(-j == i for _, j in best) for i in parties}
+
+    def deal(parties, n, level):  # groups of fan ** level shards
+        if level < 0:
+            return {next(iter(parties)): n}
+        groups = {}
+        for i, w in parties.items():
+            groups.setdefault(i // fan**level, {})[i] = w
+        won = seats({g: sum(p.values()) for g, p in groups.items()}, n)
+        return {i: q for g, p in groups.items() for i, q in deal(p, won[g], level - 1).items()}
+
+    levels = next(n for n in range(1, 9) if fan**n >= 23)
+    for s, n in blocks.items():
+        assert {i: got[s, i] for (x, i) in sizes if x == s} == deal({i: w for (x, i), w in sizes.items() if x == s}, n, levels - 1)
+
+
+def test_small_targets_get_something(spark):
+    rows = [(i, "w " * 10, "en", "abcdefgh"[i % 8]) for i in range(16)]
+    got = {}
+    for r in mixing.mix(frame(spark, rows)).collect():
+        s = "abcdefgh"[r.doc_id % 8]
+        got[s] = (got.get(s, (0, 0))[0] + r.taken, r.target)
+    assert all(abs(n - t) <= 1 for n, t in got.values())
+
+
 def test_mixed_rows_are_what_was_taken(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(5 + i)), "en", "abc"[i % 3]) for i in range(30)]
+    rows += [(3, "another text of three", "en", "b"), (3, "and one more", "en", None), (None, "without an id", "en", "a"), (None, "nor has this one", "en", "c"), rows[5], (50, None, "en", "a"), (51, "", "en", None)]
     df = frame(spark, rows)
-    want = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    taken = sorted((r.doc_id is None, r.doc_id or 0, r.size, r.taken) for r in mixing.mix(df).collect())
+    assert len(taken) == len(rows)
+    want = {}
+    for null, d, _, n in taken:
+        want[None if null else d] = want.get(None if null else d, 0) + n
     got = dict.fromkeys(want, 0)
     out = mixing.mixed(df)
     assert out.columns == df.columns
+    kept = sorted(str(tuple(r)) for r in out.collect())
     for r in out.collect():
         got[r.doc_id] += len(WORD.findall(r.text))
     assert got == want
-    assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert sorted(str(tuple(r)) for r in mixing.mixed(df.orderBy(F.rand(2))).collect()) == kept
+    assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == [] == mixing.mixed(spark.createDataFrame([], SCHEMA)).collect()
     nothing = mixing.mix(frame(spark, [(1, None, "en", None), (2, "", "en", "a")])).collect()
     assert all((r.size, r.taken, r.target) == (0, 0, 0.0) for r in nothing) and len(nothing) == 2
+    assert mixing.mixed(frame(spark, [(1, None, "en", None), (2, "", "en", "a")])).collect() == []
 
 
 def plain_scan(text):
@@ -225,6 +269,97 @@ def test_bradley_terry_orders_pairs():
     assert quality.bradley_terry(x, np.ones(400, int)) is None
 
 
+def test_weights_and_threshold_against_plain_versions():
+    """The loss over all pairs has its least where plain descent finds it, and the cut is the quantile."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    y = (x @ [1.0, -2, 0.5] + rng.normal(size=60) > 0.3).astype(int)
+    r = quality.bradley_terry(x, y, steps=3000)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    pairs = [(a, b) for a in np.flatnonzero(y) for b in np.flatnonzero(y == 0)]
+    w = np.zeros(3)
+    for _ in range(1500):
+        gradient = 1e-3 * w
+        for a, b in pairs:
+            d = z[a] - z[b]
+            gradient = gradient - d / (1 + np.exp(d @ w)) / len(pairs)
+        w = w - 0.5 * gradient
+    assert r.weights @ w / np.linalg.norm(r.weights) / np.linalg.norm(w) > 0.995
+    raw = z @ r.weights
+    assert sum(raw < r.cut) == sum(y == 0)  # its share of label 0 is the sample's
+    other = quality.bradley_terry(x, y, (9000, 1000), steps=3000)
+    weights = np.where(y == 1, 1000 / sum(y == 1), 9000 / sum(y == 0))
+    assert weights[z @ other.weights < other.cut].sum() == pytest.approx(9000, abs=weights.max())
+    assert np.all((r.score(x) >= quality.THRESHOLD) == (raw >= r.cut))
+
+
+def test_features_against_plain_counts():
+    texts = ["One two two TWO three!!", "", None, "a\tb\nc  d", "é? ,, x9"]
+    got = np.concatenate([x for _, x in quality._features(pa.array(texts))])
+    for t, row in zip(texts, got):
+        w = WORD.findall(t or "")
+        n = max(len(w), 1)
+        folded = [fold(x) for x in w]
+        raw = (t or "").encode()
+        assert row[0] == pytest.approx(np.log1p(len(w))) and row[2] == pytest.approx(raw.count(b"\n") / n) and row[3] == (not w)
+        assert row[5] == pytest.approx(sum(a == b for a, b in zip(folded, folded[1:])) / n)
+        assert row[10] == pytest.approx(sum(len(x.encode()) for x in w) / n) and row[12] == pytest.approx(len(set(folded)) / n)
+
+
+def plain_grams(text):
+    """{slot: count} of the n-grams of one to three signs in which a letter follows or ends them."""
+    from daysieve.llm import bpe, vec
+
+    letters = bpe._classes()
+    signs = [ord(fold(c)) if letters[ord(c)] == bpe.LETTER else 0 for c in text]
+    out = {}
+    for i, c in enumerate(signs):
+        b = signs[i - 1] if i else 0
+        a = signs[i - 2] if i > 1 else 0
+        codes = [c] * (c > 0) + [b << 21 | c | 1 << 60] * (c > 0 or b > 0) + [a << 42 | b << 21 | c] * (b > 0)
+        for code in codes:
+            slot = int(vec.mix(np.array([code], np.uint64))[0]) % language.DIMENSIONS
+            out[slot] = out.get(slot, 0) + 1
+    return out
+
+
+def test_language_against_a_plain_version(spark):
+    texts = ["The cat and the dog.", "le chat et le chien!", "Der Hund, die Katze", "un perro y un gato", "the the the", "le le", "zzz qqq", "x", "É"]
+    rows = [(i, t, "en fr de es en fr en de fr".split()[i], "a") for i, t in enumerate(texts)] + [(100 + i, texts[i % 4] * 2 + " " + texts[i % 4 + 1 if i % 8 < 4 else i % 4], "en fr de es".split()[i % 4], "a") for i in range(60)]
+    df = frame(spark, rows)
+    for _, x, has in language._counts(pa.array(texts)):
+        for i, t in enumerate(texts):
+            assert {int(k): int(x[i, k]) for k in np.flatnonzero(x[i])} == plain_grams(t) and has[i]
+    model = language.fit(df, sample_rows=12)
+    import zlib
+
+    learned = [(d, t) for d, t, _, _ in rows if zlib.crc32(str(d).encode()) % 5]
+    df_of = {}
+    for _, t in learned:
+        for k in plain_grams(t):
+            df_of[k] = df_of.get(k, 0) + 1
+    idf = {k: np.log((1 + len(learned)) / (1 + n)) + 1 for k, n in df_of.items()}
+    got = {r.doc_id: r for r in language.identify(df, model).collect()}
+    for d, t, *_ in rows:
+        v = {k: np.log1p(n) * idf.get(k, np.log(1 + len(learned)) + 1) for k, n in plain_grams(t).items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        best = {}
+        for j, c in enumerate(model.centroids):
+            name = model.names[model.language[j]]
+            best[name] = max(best.get(name, -1), sum(x * c[k] for k, x in v.items()) / norm)
+        first = max(sorted(best), key=lambda n: best[n])
+        second = max(0.0, *(x for n, x in best.items() if n != first))
+        assert got[d].lang_pred == first or best[got[d].lang_pred] == pytest.approx(best[first], abs=1e-4)
+        assert got[d].score == pytest.approx(1 - second / best[first], abs=1e-3)
+        assert got[d].rejected == (best[first] < model.radius[model.names.index(first)]) or best[first] == pytest.approx(model.radius[model.names.index(first)], abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 300 // 26)}{chr(97 + i % 26)} " * 20, f"l{i % 300:03}", "a") for i in range(1500)]
+    model = language.fit(frame(spark, rows), in_all=1000)
+    assert len(model.names) == 300 and len(model.centroids) <= 1000
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs, language.fit(docs)).withColumn("held_out", quality.is_held_out()).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
