@@ -11,9 +11,9 @@ smaller id. Then the graph of the repeated edges is compacted:
 * A node of a source is branching (its in- or out-degree is above one) where some walk enters or leaves. Between two
   such nodes the path is nonbranching: one edge of the compacted graph, held once by its source coordinates. A join with
   the sources' branching nodes cuts the walks into occurrences of these paths.
-* The words of each path, once, and of each occurrence are read again at their coordinates and compared by SHA-256.
-  Only a verified span is removed. Windows of spans that differ, where hashes agreed by chance, are decided by their
-  words among all windows of such hashes.
+* The words of each path, once at its source, and of each occurrence are read again at their coordinates and digested
+  by SHA-256. A path is verified if all its digests are one. Windows on other paths, where hashes agreed by chance, are
+  decided by their words among all windows of such hashes. Only then is a span removed.
 
 Grams that crowd, as those of a passage in a third of all texts, are dealt to parts: edges with a smaller doc_id in their
 part are decided there, and the few others meet once more, so no task takes in all that hangs on a gram.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
@@ -125,17 +125,34 @@ def walks(edges: DataFrame) -> DataFrame:
     return runs.mapInArrow(join, "doc_id long, code long, place long, n long, s long, s_code long, s_place long")
 
 
-def nonbranching(found: DataFrame) -> DataFrame:
-    """Walks, cut where their source has a branching node: each row is then one occurrence of a nonbranching path (s, s_code, s_place, n)."""
+def branching(found: DataFrame) -> DataFrame:
+    """(s, s_code, nodes array<bigint>): the nodes of each source where walks enter or leave; there are no more than its words."""
     ends = found.select("s", "s_code", F.explode(F.array("s_place", F.col("s_place") + F.col("n"))).alias("node")).distinct()
-    # a source has no more nodes than words; a second key, so that the walks of one source can be split over tasks
-    code = F.xxhash64("s", "s_code").alias("key")
-    nodes = ends.groupBy("s", "s_code").agg(F.sort_array(F.collect_list("node")).alias("nodes")).withColumn("key", code)
-    met = found.withColumn("key", code).join(nodes, ["key", "s", "s_code"])
-    own = F.filter("nodes", lambda x: (x >= F.col("s_place")) & (x <= F.col("s_place") + F.col("n")))
-    parts = met.withColumn("own", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("own") - 2)))
-    a, b = F.get("own", "i"), F.get("own", F.col("i") + 1)
-    return parts.select("doc_id", "code", (F.col("place") + a - F.col("s_place")).alias("place"), (b - a).alias("n"), "s", "s_code", a.alias("s_place"))
+    return ends.groupBy("s", "s_code").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+
+
+def nonbranching(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Walks with own, the branching nodes of their source from their first to their last: between two of these lies an occurrence of one nonbranching path."""
+    key = F.xxhash64("s", "s_code").alias("key")  # a second key, so that the walks of one source can be split over tasks
+    met = found.select("*", key).join(nodes.select("*", key), ["key", "s", "s_code"]).drop("key")
+    return met.withColumn("own", F.filter("nodes", lambda x: (x >= F.col("s_place")) & (x <= F.col("s_place") + F.col("n")))).drop("nodes")
+
+
+def _pieces(nodes: str, shift: Column) -> Column:
+    """Flat triples (place, windows, path) of the paths between nodes of the source (s, s_code)."""
+    path = lambda a, b: F.xxhash64("s", "s_code", a, b)
+    triple = lambda a, i: F.array(a + shift, F.get(nodes, i + 1) - a, path(a, F.get(nodes, i + 1)))
+    return F.flatten(F.transform(F.slice(nodes, 1, F.size(nodes) - 1), triple))
+
+
+def span_lists(found: DataFrame) -> DataFrame:
+    """(doc_id, code, spans, own): flat triples (place, windows, path) of each row's occurrences of paths, and of those that have it as their source."""
+    nodes = cut(branching(found))
+    none = F.expr("cast(array() as array<bigint>)")
+    spans = nonbranching(found, nodes).select("doc_id", "code", _pieces("own", F.col("place") - F.col("s_place")).alias("spans"), none.alias("own"))
+    own = nodes.select(F.col("s").alias("doc_id"), F.col("s_code").alias("code"), none.alias("spans"), _pieces("nodes", F.lit(0)).alias("own"))
+    both = spans.unionByName(own).groupBy("doc_id", "code")
+    return both.agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("own")).alias("own"))
 
 
 def _normal(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -148,91 +165,121 @@ def _normal(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byte
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, text: str, doc_id: str, how: str) -> DataFrame:
-    """Rows of docs with (doc_id, code, spans array<bigint>); the lists are broadcast if they are few numbers."""
-    lists = cut(lists)
-    weight = lists.agg(F.sum(F.size("spans") + 4)).first()[0] or 0
+    """Rows of docs with (doc_id, code, spans array<bigint>, ...); the lists are broadcast if they are few numbers."""
+    arrays = [f for f in lists.columns if f not in ("doc_id", "code")]
+    weight = lists.agg(F.sum(sum((F.size(c) for c in arrays), F.lit(4)))).first()[0] or 0
     return _rows(docs, text, doc_id).join(small_side(lists, weight, BROADCAST_NUMBERS), ["doc_id", "code"], how)
 
 
+def _flat(lists: pa.ListArray, row: int, docs: int, numbers: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which document, numbers) of each group of so many numbers in the lists of some documents; nulls are empty."""
+    own = lists.slice(row, docs)
+    per = np.nan_to_num(own.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) // numbers
+    return np.repeat(np.arange(docs), per), own.flatten().to_numpy().reshape(-1, numbers)
+
+
 def read_again(docs: DataFrame, spans: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, code, place, n, digest): of the words under each of spans (doc_id, code, place, n), joined by one space."""
-    lists = spans.groupBy("doc_id", "code").agg(F.flatten(F.collect_set(F.array("place", "n"))).alias("spans"))
+    """(doc_id, code, place, digest): of the words of the window at each of spans (doc_id, code, place), joined by one space."""
+    lists = cut(spans.groupBy("doc_id", "code").agg(F.collect_set("place").alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, buf, offs in vec.chunks(batch.column(2)):
                 starts, ends, at = vec.word_spans(buf, offs)
                 raw, where = _normal(buf, starts, ends)
-                for i in range(len(offs) - 1):
-                    pairs = batch.column(3)[row + i].values.to_numpy().reshape(-1, 2)
-                    first = np.minimum(at[i] + pairs[:, 0], at[i + 1])
-                    last = np.minimum(first + pairs[:, 1] + width - 1, at[i + 1])
-                    digests = [hashlib.sha256(raw[x:y]).digest()[:16] for x, y in zip(where[first].tolist(), where[last].tolist())]
-                    own = pa.array(np.full(len(pairs), row + i))
-                    yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(digests, pa.binary())], ["doc_id", "code", "place", "n", "digest"])
+                doc, place = _flat(batch.column(3), row, len(offs) - 1, 1)
+                first = np.minimum(at[doc] + place[:, 0], at[doc + 1])
+                last = np.minimum(first + width, at[doc + 1])
+                digests = [hashlib.sha256(raw[x:y]).digest() for x, y in zip(where[first].tolist(), where[last].tolist())]
+                own = pa.array(doc + row)
+                yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(place[:, 0]), pa.array(digests, pa.binary())], ["doc_id", "code", "place", "digest"])
 
     rows = _with_lists(docs, lists, text, doc_id, "inner").select("doc_id", "code", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, code long, place long, n long, digest binary")
+    return rows.mapInArrow(run, "doc_id long, code long, place long, digest binary")
 
 
 def decided_by_words(docs: DataFrame, doubtful: DataFrame, width: int, anchor: int, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, code, place, n): windows that repeat, among all those whose hashes are those of windows under doubtful spans."""
+    """(doc_id, code, place): windows that repeat, among all those whose hashes are those of windows on doubtful (doc_id, code, place, n)."""
     windows = doubtful.select("doc_id", "code", F.explode(F.sequence(F.col("place").cast("int"), (F.col("place") + F.col("n") - 1).cast("int"))).alias("place")).distinct()
     every = paths(docs, width, anchor, text, doc_id).select("gram", "doc_id", "code", "start", F.posexplode("edges").alias("i", "edge")).select("gram", "edge", "doc_id", "code", (F.col("start") + F.col("i")).alias("place"))
     keys = cut(every.join(small_side(windows, windows.count()), ["doc_id", "code", "place"], "left_semi").select("gram", "edge").distinct())
-    places = every.join(small_side(keys, keys.count()), ["gram", "edge"], "left_semi").select("doc_id", "code", F.col("place").cast("long").alias("place"), F.lit(1).cast("long").alias("n"))
+    places = every.join(small_side(keys, keys.count()), ["gram", "edge"], "left_semi").select("doc_id", "code", F.col("place").cast("long").alias("place"))
     read = cut(read_again(docs, places, width, text, doc_id).distinct())
     least = read.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    return read.join(least, "digest").where("doc_id > least").select("doc_id", "code", "place", "n")
-
-
-def repeated_spans(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, code, place, n): verified occurrences of n windows from a place on that also start in a document with a smaller id."""
-    found = cut(nonbranching(cut(walks(repeated_edges(docs, width, anchor, text, doc_id)))))
-    source = ["s", "s_code", "s_place", "n"]
-    once = found.select(*source).distinct().toDF("doc_id", "code", "place", "n")
-    read = cut(read_again(docs, found.select("doc_id", "code", "place", "n").unionByName(once), width, text, doc_id).distinct())
-    code = F.xxhash64("doc_id", "code", "place", "n").alias("key")  # a second key, so that the occurrences of one path can be split over tasks
-    path = read.select(code, *[F.col(x).alias(y) for x, y in zip(("doc_id", "code", "place", "n"), source)], F.col("digest").alias("path"))
-    own = found.join(read, ["doc_id", "code", "place", "n"]).withColumn("key", F.xxhash64(*source))
-    checked = cut(own.join(path, ["key", *source]).select("doc_id", "code", "place", "n", (F.col("digest") == F.col("path")).alias("same")))
-    good, doubtful = checked.where("same").drop("same"), checked.where("NOT same").drop("same")
-    if doubtful.isEmpty():
-        return good
-    return good.unionByName(decided_by_words(docs, doubtful, width, anchor, text, doc_id))
+    return read.join(least, "digest").where("doc_id > least").select("doc_id", "code", "place")
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row; the words that stay are joined by one space."""
-    return _apply(docs, repeated_spans(docs, width, anchor, text, doc_id), width, text, doc_id, digest=False)
+    found = cut(walks(repeated_edges(docs, width, anchor, text, doc_id)))
+    lists = cut(span_lists(found))
+    # texts aren't written: the digests are taken first, then the texts are cut
+    read = cut(_apply(docs, lists, width, text, doc_id, None))
+    lists = _decided(docs, lists, read, width, anchor, text, doc_id) or lists
+    return _apply(docs, lists, width, text, doc_id, "kept_text").select("doc_id", "n_words", "n_removed", "kept_text")
 
 
 def repeat_digest(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row."""
-    return _apply(docs, repeated_spans(docs, width, anchor, text, doc_id), width, text, doc_id, digest=True)
-
+    found = cut(walks(repeated_edges(docs, width, anchor, text, doc_id)))
+    lists = cut(span_lists(found))
+    read = cut(_apply(docs, lists, width, text, doc_id, "kept_sha256"))
+    if other := _decided(docs, lists, read, width, anchor, text, doc_id):
+        read = _apply(docs, other, width, text, doc_id, "kept_sha256")
+    return read.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _decided(docs: DataFrame, lists: DataFrame, read: DataFrame, width: int, anchor: int, text: str, doc_id: str) -> DataFrame | None:
+    """None if read (paths, digests) verifies all paths, else the lists to be taken in place of lists."""
+    each = read.select(F.explode(F.arrays_zip("paths", "digests")).alias("x")).select(F.col("x.paths").alias("path"), F.col("x.digests").alias("digest"))
+    wrong = cut(each.groupBy("path").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("path"))
+    n = wrong.count()
+    if not n:
+        return None
+    triples = F.transform(F.sequence(F.lit(0), F.size("spans") - 1, F.lit(3)), lambda i: F.struct(F.get("spans", i).alias("place"), F.get("spans", i + 1).alias("n"), F.get("spans", i + 2).alias("path")))
+    spans = lists.where(F.size("spans") > 0).select("doc_id", "code", F.explode(triples).alias("x")).select("doc_id", "code", "x.*")
+    doubtful = spans.join(small_side(wrong, n), "path", "left_semi")
+    again = decided_by_words(docs, doubtful, width, anchor, text, doc_id).withColumns({"n": F.lit(1).cast("long"), "path": F.lit(0).cast("long")})
+    kept = spans.join(small_side(wrong, n), "path", "left_anti").unionByName(again)
+    return cut(kept.groupBy("doc_id", "code").agg(F.flatten(F.collect_list(F.array("place", "n", "path"))).alias("spans")).withColumn("own", F.expr("cast(array() as array<bigint>)")))
+
+
+def _apply(docs: DataFrame, lists: DataFrame, width: int, text: str, doc_id: str, name: str | None) -> DataFrame:
+    """(doc_id, n_words, n_removed, name: the text without the spans or its sha256, paths, digests) of each row of docs, and of all its spans and own paths the digest of their words."""
 
-def _apply(docs: DataFrame, spans: DataFrame, width: int, text: str, doc_id: str, digest: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, buf, offs in vec.chunks(batch.column(1)):
                 starts, ends, at = vec.word_spans(buf, offs)
-                own = batch.column(2).slice(row, len(offs) - 1)
-                per = np.nan_to_num(own.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) // 2
-                pairs = own.flatten().to_numpy().reshape(-1, 2)
-                begin, end = np.repeat(at[:-1], per) + pairs[:, 0], np.repeat(at[1:], per)
-                edge = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(edge, np.minimum(begin, end), 1)
-                np.add.at(edge, np.minimum(begin + pairs[:, 1] + width - 1, end), -1)
-                stay = np.flatnonzero(np.cumsum(edge[:-1]) <= 0)
-                raw, where = _normal(buf, starts[stay], ends[stay])
-                to = np.searchsorted(stay, at)
-                texts = [raw[a : max(a, b - 1)] for a, b in zip(where[to[:-1]].tolist(), where[to[1:]].tolist())]
-                texts = [hashlib.sha256(t).hexdigest() for t in texts] if digest else [t.decode() for t in texts]
-                n_words = np.diff(at)
-                yield pa.record_batch([batch.column(0).slice(row, len(n_words)), pa.array(n_words), pa.array(n_words - np.diff(to)), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", name])
-
-    name = "kept_sha256" if digest else "kept_text"
-    lists = spans.groupBy("doc_id", "code").agg(F.flatten(F.collect_list(F.array("place", "n"))).alias("spans"))
-    rows = _with_lists(docs, lists, text, doc_id, "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")
+                docs = len(offs) - 1
+                doc, spans = _flat(batch.column(2), row, docs, 3)
+                raw, where = _normal(buf, starts, ends)
+                begin = np.minimum(at[doc] + spans[:, 0], at[doc + 1])
+                end = np.minimum(begin + spans[:, 1] + width - 1, at[doc + 1])
+                out = [batch.column(0).slice(row, docs), pa.array(np.diff(at))]
+                if name:
+                    edge = np.zeros(len(starts) + 1, np.int64)
+                    np.add.at(edge, begin, 1)
+                    np.add.at(edge, end, -1)
+                    stay = np.flatnonzero(np.cumsum(edge[:-1]) <= 0)
+                    kept, spot = _normal(buf, starts[stay], ends[stay])
+                    to = np.searchsorted(stay, at)
+                    texts = [kept[a : max(a, b - 1)] for a, b in zip(spot[to[:-1]].tolist(), spot[to[1:]].tolist())]
+                    texts = [hashlib.sha256(t).hexdigest() for t in texts] if name == "kept_sha256" else [t.decode() for t in texts]
+                    out += [pa.array(np.diff(at) - np.diff(to)), pa.array(texts, pa.string())]
+                if name != "kept_text":
+                    more, own = _flat(batch.column(3), row, docs, 3)
+                    first = np.minimum(at[more] + own[:, 0], at[more + 1])
+                    last = np.minimum(first + own[:, 1] + width - 1, at[more + 1])
+                    of = np.concatenate((doc, more))
+                    order = np.argsort(of, kind="stable")
+                    a, b = np.concatenate((begin, first))[order], np.concatenate((end, last))[order]
+                    digests = [hashlib.sha256(raw[x:y]).digest()[:16] for x, y in zip(where[a].tolist(), where[b].tolist())]
+                    bounds = pa.array(np.searchsorted(of[order], np.arange(docs + 1)).astype(np.int32))
+                    out += [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate((spans[:, 2], own[:, 2]))[order])), pa.ListArray.from_arrays(bounds, pa.array(digests, pa.binary()))]
+                yield pa.record_batch(out, names)
+
+    schema = {"doc_id": "long", "n_words": "long"} | ({"n_removed": "long", name: "string"} if name else {}) | ({"paths": "array<long>", "digests": "array<binary>"} if name != "kept_text" else {})
+    names = list(schema)
+    rows = _with_lists(docs, lists, text, doc_id, "left").select("doc_id", "text", "spans", "own")
+    return rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in schema.items()))

@@ -136,9 +136,13 @@ def test_paths_are_nonbranching(spark):
     walks = substring_dedup.walks(edges)
     got = sorted(tuple(r) for r in walks.select("doc_id", "place", "n", "s", "s_place").collect())
     assert got == [(2, 0, 36, 1, 0), (3, 1, 36, 1, 20), (4, 0, 56, 1, 0)]
-    cuts = sorted(tuple(r) for r in substring_dedup.nonbranching(walks).select("doc_id", "place", "n", "s_place").collect())
+    lists = {r.doc_id: (r.spans, r.own) for r in substring_dedup.span_lists(walks).collect()}
+    cuts = {d: list(zip(spans[::3], spans[1::3])) for d, (spans, _) in lists.items() if spans}
     # texts enter at 20 and leave at 36, so the source has three paths
-    assert cuts == [(2, 0, 20, 0), (2, 20, 16, 20), (3, 1, 16, 20), (3, 17, 20, 36), (4, 0, 20, 0), (4, 20, 16, 20), (4, 36, 20, 36)]
+    assert cuts == {2: [(0, 20), (20, 16)], 3: [(1, 16), (17, 20)], 4: [(0, 20), (20, 16), (36, 20)]}
+    own = lists[1][1]
+    assert list(zip(own[::3], own[1::3])) == [(0, 20), (20, 16), (36, 20)]
+    assert own[2::3] == lists[4][0][2::3] and own[2:6:3] == lists[2][0][2::3] and own[5::3] == lists[3][0][2::3]
 
 
 def test_repeats_of_no_rows(spark):
