@@ -66,7 +66,8 @@ def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, weights=html_text.fit(pages))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

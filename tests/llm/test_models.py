@@ -406,6 +406,61 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).collect() == []
 
 
+def test_ordinary_names_keep_their_article():
+    long = "This is a sentence of the article with quite a few words in it. " * 2
+    for within in ('<p class="text-center header-image">%s</p>', '<div class="related-work"><p>%s</p></div>', '<div class="share-price">%s</div>', '<div id="main-header-story">%s</div>', "<section>%s</section>"):
+        assert html_text.main_text(f"<body><nav><a href=x>Home page</a></nav><article><h1>On it</h1><p>{long}</p>{within % long}</article></body>").count("quite a few") == 4, within
+    assert "quite" in html_text.main_text(f'<div id="main-header-story">{long}</div>')
+    assert "quite" in html_text.main_text(f"<form id=aspnet><article><p>{long}</p></article></form>")
+    assert html_text.main_text(f'<article><p>{long}</p></article><section class="comments"><article class="comment"><p>{long}</p></article></section>').count("quite") == 2
+    assert html_text.main_text(f"<head><title>x</title><p>{long}").count("quite") == 2
+    for gone in ('<div class="site-footer">%s</div>', '<ul role="navigation"><li>%s</ul>', '<div class="ad">%s</div>', '<div id="comments"><p>%s</p></div>', "<select><option>%s</select>", '<div hidden>%s</div>', "<template>%s</template>", "<textarea>%s</textarea>"):
+        assert html_text.main_text(f"<article><p>{long}</p></article>{gone % 'Words of another kind here.'}").count("another kind") == 0, gone
+
+
+def test_markup_is_read_as_browsers_do():
+    body = lambda x: html_text.main_text(f"<article>{x}</article>")
+    assert body("one <script src=a.js/>code < 1</script>two") == "one two"
+    assert body("<p>sum <math><mi>x</mi></math> of <svg><text>y</text><path/></svg><object>z</object> <noscript>w</noscript>") == "sum x of y z w"
+    assert body("a<!-->b<!--->c<!-- > -->d</ x>e</>f<?php x?>g") == "abcdefg"
+    assert body('<p title="a > b" data-x=\'<p>\'>in</p><p \' ">out</p>') == "in out"
+    assert body("<div/>one</div><br/>two<p>three<div>four") == "one two three four"
+    assert body("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == "a b c d e f g"
+
+
+def test_cut_decides_where_the_classifier_doubts():
+    long = "<p>This is a sentence of the page, and it has quite a few words in it, as the others have.</p>"
+    page = f'<div>{long}{long}<p><a href="x">See</a> it all in the list of them here</p>{long}<div class="share-price">At 3 it was.</div>{long}</div>'
+    found = html_text.blocks(page)
+    gain, edges = html_text.graph(found, [*html_text.WEIGHTS.values()])
+    keep = html_text.minimum_cut(gain, edges)
+    assert [g > 0 for g in gain].count(False) == 1 and all(keep)
+    alone = html_text.blocks('<nav><p><a href="x">See</a> it</p></nav><p><a href="x">See</a> it</p>')
+    assert not any(html_text.minimum_cut(*html_text.graph(alone, [*html_text.WEIGHTS.values()])))
+
+
+def test_weights_are_fitted(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = html_text.fit(pages, sample_pages=50)
+    assert got == html_text.fit(pages.orderBy(F.rand(1)), sample_pages=50) and len(got) == len(html_text.WEIGHTS)
+    x = np.array([f for r in pages.collect() for f, _ in html_text.weak_labels(html_text.blocks(r.html))])
+    y = np.array([t for r in pages.collect() for _, t in html_text.weak_labels(html_text.blocks(r.html))])
+    loss = lambda w: np.mean(np.where(y == 1, np.log1p(np.exp(-x @ w)) / (y == 1).mean(), np.log1p(np.exp(x @ w)) / (y == 0).mean()))
+    assert loss(np.array(got[: x.shape[1]])) < loss(np.array([*html_text.WEIGHTS.values()][: x.shape[1]]))
+    assert html_text.fit(pages.limit(0)) == [*html_text.WEIGHTS.values()]
+    odd = spark.createDataFrame([(None, None), (1, ""), (1, "<p>x"), (2, None)], "page_id long, html string")
+    assert html_text.fit(odd) == [*html_text.WEIGHTS.values()]
+
+
+def test_pages_take_linear_time():
+    import time
+
+    for page in ("<b>" * 60_000 + "</i>" * 60_000, "<b>x" * 60_000, "<p><b>" * 40_000, "<li><b>" * 40_000, "<a '>" * 60_000, '<a x="' * 60_000, "</p>" * 100_000, "<div>" * 60_000 + "</p></span>" * 60_000, "<article>" + "<p>some text, here. " * 60_000, "<p><a href=x>a</a> b" * 40_000, "<head><p>" * 40_000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 10, page[:20]
+
+
 def test_pages_of_the_data(spark):
     import re
 
