@@ -78,24 +78,54 @@ def stay_words(secs: Column) -> Column:
     return F.when(secs >= 60, F.format_string("停留约 %d 分钟", F.floor(secs / 60 + 0.5).cast("int"))).otherwise("")
 
 
+def distinct_lines(lines: Column, n: int = 10) -> Column:
+    """Lines on one line each and cut, the first of equal ones, none that is empty."""
+    return F.slice(F.array_distinct(F.filter(F.transform(lines, lambda x: cut(collapse(x), 60)), lambda x: x != "")), 1, n)
+
+
+def first_line(c: Column, marks: str) -> Column:
+    """The first line that has a letter or digit, without marks at its start, as an array."""
+    lines = F.filter(F.split(c, r"\r?\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    return F.transform(F.slice(lines, 1, 1), lambda x: F.regexp_replace(x, marks, ""))
+
+
+def markdown_headings(c: Column) -> Column:
+    """Headings of levels 1 to 3, without emphasis and code marks."""
+    heads = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?m)^ {0,3}#{1,3}\s+(.+?)\s*#*\s*$"), F.lit(1))
+    return distinct_lines(F.transform(heads, lambda x: F.regexp_replace(x, r"[*_`]", "")))
+
+
 def markdown_outline(c: Column, n: int = 10) -> Column:
     """Headings of levels 1 to 3, else the first line that has text."""
-    heads = F.regexp_extract_all(c, F.lit(r"(?m)^ {0,3}#{1,3}\s+(.+?)\s*#*\s*$"), F.lit(1))
-    line = F.filter(F.transform(F.split(c, r"\r?\n"), F.trim), lambda x: x != "")
-    found = F.when(F.size(heads) > 0, heads).otherwise(F.slice(line, 1, 1))
-    return F.slice(F.array_distinct(F.transform(found, lambda x: cut(x, 60))), 1, n)
+    heads = markdown_headings(c)
+    return F.when(F.size(heads) > 0, F.slice(heads, 1, n)).otherwise(distinct_lines(first_line(c, r"^[#>\s*-]+")))
 
 
-def csv_columns(c: Column, n: int = 8) -> Column:
-    """The header's columns of a csv or tsv text."""
+def csv_columns(c: Column, n: int = 8, separator: str = ",") -> Column:
+    """The header's columns of a csv or, with another separator, tsv text."""
     head = F.element_at(F.split(c, r"\r?\n", 2), 1)
-    parts = F.split(head, F.when(F.contains(head, F.lit("\t")), F.lit("\t")).otherwise(F.lit(",")))
+    parts = F.split(head, F.lit(separator))
     return F.slice(F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', ""))), lambda x: x != ""), 1, n)
 
 
 def sql_outline(c: Column, n: int = 10) -> Column:
-    """What a SQL text creates, alters or drops."""
-    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?im)^\s*((?:create|alter|drop)\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view|index|function|procedure|schema)\s+(?:if\s+(?:not\s+)?exists\s+)?[\w.\"`]+)"), F.lit(1)), lambda x: collapse(x))), 1, n)
+    """The first comment of a SQL text and what it creates, alters or drops anywhere, else its first line."""
+    comment = F.array_compact(F.array(F.nullif(F.regexp_extract(c, r"(?m)^\s*--+[ \t]*([^\r\n]+)", 1), F.lit(""))))
+    made = F.regexp_extract_all(c, F.lit(r'(?i)\b((?:create|alter|drop)\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view|index|function|procedure|trigger)\s+(?:if\s+(?:not\s+)?exists\s+)?["`\[\w.]+)'), F.lit(1))
+    found = distinct_lines(F.concat(comment, made), n)
+    return F.when(F.size(found) > 0, found).otherwise(distinct_lines(first_line(c, r"^[\s-]+"), n))
+
+
+def notebook_outline(c: Column, n: int = 10) -> Column:
+    """Headings of a notebook's Markdown cells, whose source may be a string or lines; null if it isn't one."""
+    cells = F.from_json(c, "cells array<struct<cell_type: string, source: string>>")["cells"]
+    lines = lambda x: F.coalesce(F.array_join(F.from_json(x["source"], "array<string>"), ""), x["source"])
+    return F.slice(markdown_headings(F.array_join(F.transform(F.filter(cells, lambda x: x["cell_type"] == "markdown"), lines), "\n")), 1, n)
+
+
+def number_words(n: Column) -> Column:
+    """A number, from ten thousand on in ten thousands."""
+    return F.when(n >= 10_000, F.concat(F.format_string("%.1f", n / 10_000), F.lit(" 万"))).otherwise(F.coalesce(n, F.lit(0)).cast("string"))
 
 
 def clean_remote(c: Column) -> Column:

@@ -55,16 +55,32 @@ def utc_offset_label(ts: Column, zone: str) -> Column:
 def to_instant(value: Column) -> Column:
     """Text with seconds, milliseconds or an ISO time as an instant; null if it is none."""
     digits = value.rlike(r"^\s*\d{9,16}(\.\d+)?\s*$")
-    number = F.expr(f"try_cast(trim({_name(value)}) as double)") if _name(value) else F.try_to_number(value, F.lit("9999999999999999"))
+    number = F.trim(value).try_cast("double")
     return F.when(digits, F.timestamp_millis(F.when(number < 1e11, number * 1000).otherwise(number).cast("long"))).otherwise(F.try_to_timestamp(value))
 
 
-def _name(c: Column) -> str:
-    """The name of a plain column, quoted."""
-    text = c._jc.toString() if hasattr(c, "_jc") else ""
-    return f"`{text}`" if text.isidentifier() else ""
-
-
 def duration_minutes(start: Column, end: Column) -> Column:
     """Whole minutes between two instants, rounded, never below 0."""
     return F.greatest(F.lit(0), F.floor((F.unix_millis(end) - F.unix_millis(start)) / 60000 + 0.5)).cast("long")
+
+
+#: Names of days near today.
+NEAR = {0: "今天", 1: "昨天", 2: "前天", -1: "明天"}
+
+
+def relative_day(day: Column, today: Column) -> Column:
+    """The name of a day near today, else empty."""
+    names = F.create_map(*[F.lit(x) for kv in NEAR.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, F.datediff(today, day)), F.lit(""))
+
+
+def date_words(day: Column, today: Column) -> Column:
+    """Month, day and weekday; the year where it isn't today's."""
+    weekday = F.element_at(F.array(*[F.lit(f"周{x}") for x in "一二三四五六日"]), F.weekday(day) + 1)
+    year = F.when(F.year(day) == F.year(today), "").otherwise(F.concat(F.year(day).cast("string"), F.lit("年")))
+    return F.concat(year, F.month(day).cast("string"), F.lit("月"), F.dayofmonth(day).cast("string"), F.lit("日 "), weekday)
+
+
+def duration_words(minutes: Column) -> Column:
+    h, m = F.floor(minutes / 60).cast("string"), (minutes % 60).cast("string")
+    return F.when(F.coalesce(minutes, F.lit(0)) == 0, "").when(minutes < 60, F.concat(m, F.lit(" 分钟"))).when(minutes % 60 == 0, F.concat(h, F.lit(" 小时"))).otherwise(F.concat(h, F.lit(" 小时 "), m, F.lit(" 分钟")))

@@ -31,6 +31,18 @@ def from_commits(commits: DataFrame, **when) -> DataFrame:
     return evidence(commits, F.coalesce("source_type", F.lit("commit")), F.col("hash"), F.col("committed_at"), F.col("message"), path=F.col("repo"), **when)
 
 
+def from_arrivals(rows: DataFrame, **when) -> DataFrame:
+    """rows (project, repo, at, remote): repositories that came, by clone or new."""
+    return evidence(rows, "clone", F.col("repo"), F.col("at"), F.coalesce("remote", F.lit("")), path=F.col("repo"), **when)
+
+
+def from_images(images: DataFrame, **when) -> DataFrame:
+    """images (local_date, id, name, path, ts) of notes; one without a time stands at noon."""
+    at = F.coalesce("ts", F.col("local_date").cast("timestamp") + F.expr("INTERVAL 12 HOURS"))
+    rows = evidence(images.withColumn("project", F.lit("notes")), "image", F.col("id"), at, F.col("name"), "L1", F.col("path"), **when)
+    return rows
+
+
 def from_worktree(rows: DataFrame, now: Column, **when) -> DataFrame:
     """rows (project, path, status, mtime, source_type, outline array); a deleted file is dated now."""
     level = F.when(F.size("outline") > 0, "L1").otherwise("L0")
@@ -68,26 +80,28 @@ def from_sessions(prompts: DataFrame, replies: DataFrame, actions: DataFrame, **
 
 
 def insert_new(stored: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """stored and those rows of new whose keys it lacks; the first of new of a key. What is written once stays."""
+    """stored and those rows of new whose keys it lacks; the first of new of a key. What is written once stays. A null key is a key."""
     if order:
         new = new.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
     else:
         new = new.dropDuplicates(keys)
-    return stored.unionByName(new.join(stored.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    there = stored.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    fresh = new.join(there, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
+    return stored.unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], how: dict[str, str]) -> DataFrame:
     """stored with new merged in by keys. how, by column: new (overwrites), keep (the stored one if there is one), fill (new unless null), max."""
-    a, b = stored.alias("a"), new.alias("b")
+    a, b = stored.withColumn("__there", F.lit(True)).alias("a"), new.withColumn("__there", F.lit(True)).alias("b")
     joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full_outer")
-    there = F.col(f"b.{keys[0]}").isNotNull()
+    there, was = F.col("b.__there").isNotNull(), F.col("a.__there").isNotNull()
     pick = {
         "new": lambda c: F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")),
         "keep": lambda c: F.coalesce(f"a.{c}", f"b.{c}"),
         "fill": lambda c: F.coalesce(f"b.{c}", f"a.{c}"),
         "max": lambda c: F.greatest(f"a.{c}", f"b.{c}"),
     }
-    return joined.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], *[pick[h](c).alias(c) for c, h in how.items()])
+    return joined.select(*[F.when(was, F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in keys], *[pick[h](c).alias(c) for c, h in how.items()])
 
 
 def select_modules(modules: DataFrame, overrides: DataFrame, excluded: tuple[str, ...] = (), project: str = "project") -> DataFrame:

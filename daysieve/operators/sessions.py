@@ -122,12 +122,12 @@ def bursts(items: DataFrame, seconds: float = BURST_SECONDS, least: int = BURST_
     return best.withColumn("burst", (F.col("burst_files") >= least) & (F.col("burst_best") >= F.ceil(F.col("burst_files") * share)))
 
 
-def _top(items: DataFrame, by: list[str], value: Column, n: int, name: str, weight: Column | None = None) -> DataFrame:
+def _top(items: DataFrame, by: list[str], value: Column, n: int | None, name: str, weight: Column | None = None) -> DataFrame:
     """(by, name array, name_all long): the n most frequent values, the first seen before others as frequent."""
     weight = F.lit(1) if weight is None else weight
     counted = items.withColumn("__v", value).where("__v IS NOT NULL AND __v <> ''").groupBy(*by, "__v").agg(F.sum(weight).alias("__n"), F.min(F.struct("ts", "ordinal")).alias("__first"))
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("__n")).alias("n"), F.col("__first").alias("first"), F.col("__v").alias("v"))))
-    return counted.groupBy(*by).agg(F.transform(F.slice(ranked, 1, n), lambda x: x["v"]).alias(name), F.count("*").alias(f"{name}_all"))
+    return counted.groupBy(*by).agg(F.transform(ranked if n is None else F.slice(ranked, 1, n), lambda x: x["v"]).alias(name), F.count("*").alias(f"{name}_all"))
 
 
 def describe(blocks: DataFrame, by: tuple[str, ...] = ("project", "block")) -> DataFrame:
@@ -165,7 +165,7 @@ def describe(blocks: DataFrame, by: tuple[str, ...] = ("project", "block")) -> D
     files = blocks.where(is_file)
     word = F.regexp_replace(F.element_at(F.split(F.trim(F.col("label")), r"\s+"), 1), r"^.*[\\/]", "")
     parent = F.when(dir_name(F.col("label")) != ".", dir_name(F.col("label")))
-    for side in (_top(files, keys, parent, 2, "dirs"), _top(files, keys, ext, 3, "exts"), _top(blocks.where("kind = 'shell'"), keys, word, 3, "words", F.col("repeats")), _top(blocks, keys, F.col("provider"), 1000, "tools")):
+    for side in (_top(files, keys, parent, 2, "dirs"), _top(files, keys, ext, 3, "exts"), _top(blocks.where("kind = 'shell'"), keys, word, 3, "words", F.col("repeats")), _top(blocks, keys, F.col("provider"), None, "tools")):
         rows = rows.join(side, keys, "left")
     return rows.withColumn("title", title()).drop("t_commit", "t_clone", "t_session", "t_prompt", "t_search", "t_shell", "t_outline", "dirs", "dirs_all", "exts", "exts_all", "words", "words_all", "tools_all")
 

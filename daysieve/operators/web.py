@@ -49,11 +49,11 @@ def web_blocks(visits: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame
 
 
 def web_modules(visits: DataFrame, gap_minutes: float = GAP_MINUTES, least: int = LEAST_PAGES) -> DataFrame:
-    """Sessions of at least `least` pages, the others together as one that is not selected."""
+    """Sessions of at least `least` pages, the others of a day together as one that is not selected; its block is the day's number, negative."""
     pages = web_blocks(visits, gap_minutes)
     items = pages.select("block", F.col("first_ts").alias("ts"), "last_ts", "ordinal", F.lit("web").alias("kind"), F.col("title").alias("label"), F.concat(F.lit("web:"), "url").alias("source_id"), "url", "host", "term", "secs", F.lit(None).cast("boolean").alias("created"))
-    size = items.groupBy("block").agg((F.count("*") >= least).alias("whole"))
-    items = items.join(size, "block").withColumn("block", F.when(F.col("whole"), F.col("block")).otherwise(F.lit(-1)))
+    size = items.groupBy("block").agg((F.count("*") >= least).alias("whole"), F.unix_date(F.to_date(F.min("ts"))).alias("day"))
+    items = items.join(size, "block").withColumn("block", F.when(F.col("whole"), F.col("block")).otherwise(-F.col("day").cast("long"))).drop("day")
     order = F.struct("ts", "ordinal")
     rows = items.groupBy("block").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("__last_start"), F.max("last_ts").alias("__last"), F.min("ordinal").alias("ordinal"), F.count("*").alias("items"), *[c.alias(n) for n, c in stats().items()], F.count("term").alias("terms"), F.min_by(F.when(F.col("term").isNotNull(), F.col("term")), F.when(F.col("term").isNotNull(), order)).alias("term"), F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("ts", "ordinal", "source_id"))), lambda x: x["source_id"])).alias("source_ids"))
     rows = rows.join(_top(items, ["block"], F.col("host"), 3, "hosts"), "block", "left")

@@ -18,8 +18,8 @@ def blocks(items: DataFrame, gap_minutes: float = s.GAP_MINUTES) -> DataFrame:
     return s.dedupe(s.split_by_gap(s.complete(items), gap_minutes))
 
 
-def work_modules(items: DataFrame, gap_minutes: float = s.GAP_MINUTES, burst_seconds: float = s.BURST_SECONDS, burst_files: int = s.BURST_FILES, misc_day: Column | None = None) -> DataFrame:
-    """Modules of a timeline: a row for each block that isn't low signal, and one for all that are."""
+def work_modules(items: DataFrame, gap_minutes: float = s.GAP_MINUTES, burst_seconds: float = s.BURST_SECONDS, burst_files: int = s.BURST_FILES, run: Column | None = None) -> DataFrame:
+    """Modules of a timeline: a row for each block that isn't low signal, and one for all those of a run. run tells it by start_ts; by default it is a day."""
     kept = blocks(items, gap_minutes)
     rows = s.describe(kept).join(s.bursts(kept, burst_seconds, burst_files), ["project", "block"], "left")
     no_talk = (F.col("prompts") == 0) & (F.col("commits") == 0) & (F.col("commands") == 0) & (F.col("shell") == 0)
@@ -34,10 +34,10 @@ def work_modules(items: DataFrame, gap_minutes: float = s.GAP_MINUTES, burst_sec
         "selected": F.lit(True),
         "key": s.module_key(F.col("project"), F.col("start_ts")),
     })
-    left = kept.join(rows.where("low").select("project", "block"), ["project", "block"], "left_semi")
+    run = (F.date_format("start_ts", "yyyy-MM-dd") if run is None else run.cast("string")).alias("day")
+    left = kept.join(rows.where("low").select("project", "block", run), ["project", "block"])
     order = F.struct("project", "ts", "ordinal")
-    day = F.coalesce(misc_day.cast("string"), F.lit("")) if misc_day is not None else F.date_format(F.min("ts"), "yyyy-MM-dd")
-    misc = left.groupBy().agg(F.count("*").alias("items"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), *[c.alias(k) for k, c in s.stats().items()], day.alias("day"), F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("source_id")))), lambda x: x["source_id"])).alias("source_ids")).where("items > 0")
+    misc = left.groupBy("day").agg(F.count("*").alias("items"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), *[c.alias(k) for k, c in s.stats().items()], F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("source_id")))), lambda x: x["source_id"])).alias("source_ids"))
     misc = misc.withColumns({"project": F.lit(None).cast("string"), "duration_min": F.lit(0).cast("long"), "key": F.concat(F.lit("misc@"), "day"), "title": F.concat(F.lit("零散文件改动 "), F.col("files").cast("string"), F.lit(" 个")), "category": F.lit("杂项"), "score": F.lit(0.0), "selected": F.lit(False), "burst": F.lit(False), "ordinal": F.lit(0).cast("long"), "tools": F.expr("cast(array() as array<string>)")})
     return whole.withColumn("project", F.col("project").cast("string")).select(*MODULE).unionByName(misc.select(*MODULE))
 

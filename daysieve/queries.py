@@ -126,7 +126,7 @@ def ses05_bursts(spark, d):
     return s.bursts(day.blocks(items(spark, d)), seconds=3600, least=3)
 
 
-@query(_with(ITEMS, BLOCKS, KEPT, STATS) + ", rows AS (SELECT project || '@' || strftime(start_ts, '%Y-%m-%dT%H') AS key, score, start_ts, block, items FROM modules WHERE NOT low UNION ALL SELECT 'misc@' || strftime(min(start_ts), '%Y-%m-%d'), 0, min(start_ts), 0, sum(items)::BIGINT FROM modules WHERE low HAVING count(*) > 0), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start_ts, block) AS n FROM rows) SELECT CASE WHEN n > 1 THEN key || '#' || n ELSE key END AS key, score, items FROM n")
+@query(_with(ITEMS, BLOCKS, KEPT, STATS) + ", rows AS (SELECT project || '@' || strftime(start_ts, '%Y-%m-%dT%H') AS key, score, start_ts, block, items FROM modules WHERE NOT low UNION ALL SELECT 'misc@' || strftime(start_ts, '%Y-%m-%d'), 0, min(start_ts), 0, sum(items)::BIGINT FROM modules WHERE low GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start_ts, block) AS n FROM rows) SELECT CASE WHEN n > 1 THEN key || '#' || n ELSE key END AS key, score, items FROM n")
 def ses13_modules(spark, d):
     """Modules with unique keys; low signal as one (SES-10..13, FLT-10, SORT-01). The gap of bursts is never met here."""
     return day.build_modules(items(spark, d)).select("key", "score", "items")
@@ -146,7 +146,7 @@ def ses06_web_blocks(spark, d):
     return web.web_blocks(visits(spark, d)).select("block", "url", *_us("first_ts", "last_ts"), "visits", "host")
 
 
-@query(_with(ITEMS, WEB) + ", wm AS (SELECT block, count(*) AS pages, count(DISTINCT host) AS sites, min(first_ts) AS f, max(last_ts) AS l FROM wp GROUP BY block), x AS (SELECT block, pages, sites, greatest(0, floor((epoch_ms(l) - epoch_ms(f)) / 60000.0 + 0.5))::BIGINT AS duration_min FROM wm WHERE pages >= 3) SELECT *, floor(2 * sqrt(pages) * least(1 + duration_min / 120.0, 2) * 10 + 0.5) / 10 AS score FROM x UNION ALL SELECT -1, count(DISTINCT url), count(DISTINCT host), 0, 0 FROM wp WHERE block IN (SELECT block FROM wm WHERE pages < 3) HAVING count(*) > 0")
+@query(_with(ITEMS, WEB) + ", wm AS (SELECT block, count(*) AS pages, count(DISTINCT host) AS sites, min(first_ts) AS f, max(last_ts) AS l FROM wp GROUP BY block), x AS (SELECT block, pages, sites, greatest(0, floor((epoch_ms(l) - epoch_ms(f)) / 60000.0 + 0.5))::BIGINT AS duration_min FROM wm WHERE pages >= 3) SELECT *, floor(2 * sqrt(pages) * least(1 + duration_min / 120.0, 2) * 10 + 0.5) / 10 AS score FROM x UNION ALL SELECT -(epoch(f)::BIGINT // 86400), count(DISTINCT url), count(DISTINCT host), 0, 0 FROM wp JOIN (SELECT block, f FROM wm WHERE pages < 3) USING (block) GROUP BY 1")
 def ses06_web_modules(spark, d):
     return web.web_modules(visits(spark, d)).select("block", "pages", "sites", "duration_min", "score")
 

@@ -90,11 +90,9 @@ def in_skipped_directory(path: Column, skip: tuple[str, ...] = ("node_modules",
 
 def with_outlines(files: DataFrame, contents: DataFrame) -> DataFrame:
     """files with outline (array) and outline_kind from contents (path, text), by extension; notebooks, tables, SQL and Markdown are read by expressions."""
-    from ..functions.texts import csv_columns, extension, markdown_outline, sql_outline
+    from ..functions.texts import csv_columns, extension, markdown_outline, notebook_outline, sql_outline
 
     ext, text = extension(base_name(F.col("path"))), F.col("text")
-    cells = F.from_json(text, "cells array<struct<cell_type: string, source: array<string>>>")["cells"]
-    notebook = F.array_join(F.transform(F.filter(cells, lambda c: c["cell_type"] == "markdown"), lambda c: F.array_join(c["source"], "")), "\n")
-    outline = F.when(ext.isin("md", "markdown", "txt", "rst"), markdown_outline(text)).when(ext.isin("csv", "tsv"), csv_columns(text)).when(ext == "sql", sql_outline(text)).when(ext == "ipynb", markdown_outline(notebook))
-    kind = F.when(ext.isin("csv", "tsv"), "columns").when(outline.isNotNull(), "headings")
-    return files.join(contents.select("path", outline.alias("outline"), kind.alias("outline_kind")), "path", "left")
+    outline = F.when(ext.isin("md", "markdown", "txt", "rst"), markdown_outline(text)).when(ext == "csv", csv_columns(text)).when(ext == "tsv", csv_columns(text, separator="\t")).when(ext == "sql", sql_outline(text)).when(ext == "ipynb", notebook_outline(text))
+    kind = F.when(ext.isin("csv", "tsv"), "columns").when(ext == "sql", "statements").when(outline.isNotNull(), "headings")
+    return files.join(contents.select("path", F.when(F.size(outline) > 0, outline).alias("outline"), F.when(F.size(outline) > 0, kind).alias("outline_kind")), "path", "left")
