@@ -38,8 +38,6 @@ from .cluster import cut, dealt, small_side
 
 #: Bits by which windows on one gram are told apart before their words are compared.
 EDGE_BITS = 32
-#: A side of numbers is broadcast up to so many.
-BROADCAST_NUMBERS = 2_000_000
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -165,10 +163,8 @@ def _normal(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byte
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, text: str, doc_id: str, how: str) -> DataFrame:
-    """Rows of docs with (doc_id, code, spans array<bigint>, ...); the lists are broadcast if they are few numbers."""
-    arrays = [f for f in lists.columns if f not in ("doc_id", "code")]
-    weight = lists.agg(F.sum(sum((F.size(c) for c in arrays), F.lit(4)))).first()[0] or 0
-    return _rows(docs, text, doc_id).join(small_side(lists, weight, BROADCAST_NUMBERS), ["doc_id", "code"], how)
+    """Rows of docs with (doc_id, code, spans array<bigint>, ...). Texts and lists are shuffled by row whatever their size, and the lists, which are the smaller, are hashed, so that texts needn't be sorted."""
+    return _rows(docs, text, doc_id).join(lists.hint("shuffle_hash"), ["doc_id", "code"], how)
 
 
 def _flat(lists: pa.ListArray, row: int, docs: int, numbers: int) -> tuple[np.ndarray, np.ndarray]:
