@@ -30,22 +30,25 @@ def complete(items: DataFrame) -> DataFrame:
 def split_by_gap(items: DataFrame, gap_minutes: float = GAP_MINUTES, by: tuple[str, ...] = ("project",), sticky: str = "reply") -> DataFrame:
     """items with block: numbered from 1, anew after more than gap_minutes since the item before, unless it is sticky.
 
-    A project's timeline is worked on by days, so a busy project is many tasks: a day's first item looks at the last
-    item of the day before, and blocks are numbered by running sums over days.
+    A project's timeline is worked on by days, so a busy project is many tasks: gaps within a day are counted there, and
+    one row a day (its first and last item, its blocks) tells where its numbers start.
     """
     day = [*by, "__day"]
-    rows = items.withColumn("__day", F.to_date("ts"))
     in_day = Window.partitionBy(*day).orderBy("ts", "ordinal")
     over_days = Window.partitionBy(*by).orderBy("__day")
-    last = rows.groupBy(*day).agg(F.max("ts").alias("__last")).withColumn("__last_before", F.lag("__last").over(over_days)).drop("__last")
-    rows = _join(rows, last, day)
-    before = F.coalesce(F.lag("ts").over(in_day), F.col("__last_before"))
-    opens = before.isNull() | ((F.col("kind") != sticky) & (F.unix_micros("ts") - F.unix_micros(before) > int(gap_minutes * 60_000_000)))
-    rows = rows.withColumn("__opens", F.coalesce(opens, F.lit(False)).cast("long"))
-    count = rows.groupBy(*day).agg(F.sum("__opens").alias("__count"))
-    start = count.withColumn("__start", F.coalesce(F.sum("__count").over(over_days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__count")
-    rows = _join(rows, start, day)
-    return rows.withColumn("block", F.sum("__opens").over(in_day.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__start")).drop("__day", "__opens", "__last_before", "__start")
+
+    def opens(kind: Column, ts: Column, before: Column, first: bool) -> Column:
+        late = (kind != sticky) & (F.unix_micros(ts) - F.unix_micros(before) > int(gap_minutes * 60_000_000))
+        return F.when(before.isNull(), F.lit(first)).otherwise(F.coalesce(late, F.lit(False))).cast("long")
+
+    rows = items.withColumn("__day", F.to_date("ts"))
+    rows = rows.withColumn("__opens", opens(F.col("kind"), F.col("ts"), F.lag("ts").over(in_day), False))
+    days = rows.groupBy(*day).agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"), F.min_by("kind", F.struct("ts", "ordinal")).alias("__kind"), F.sum("__opens").alias("__more"))
+    days = days.withColumn("__new", opens(F.col("__kind"), F.col("__first"), F.lag("__last").over(over_days), True))
+    start = (F.sum(F.col("__new") + F.col("__more")).over(over_days.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__more")).alias("__start")
+    rows = rows.withColumn("__so_far", F.sum("__opens").over(in_day.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _join(rows, days.select(*day, start), day)
+    return rows.withColumn("block", F.col("__so_far") + F.col("__start")).drop("__day", "__opens", "__so_far", "__start")
 
 
 def _join(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
