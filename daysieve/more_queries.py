@@ -14,7 +14,7 @@ from .operators import extras, state, timeline, turns, web
 from .operators import sessions as s
 from .plans import day, journal, report
 from .queries import BLOCKS, ITEMS, KEPT, STATS, _us, _with, items, table, visits
-from .sources import logs, vcs
+from .sources import assistants, logs, vcs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -558,3 +558,86 @@ def join03_attribute_sessions(spark, d):
     rows = table(spark, d, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("session_id"), F.when(k == 0, "/p").when(k == 1, "/p/sub/x").when(k == 3, "/q/elsewhere").alias("cwd"), F.when(k == 2, F.array(F.lit("/none/a"), F.lit("/p/sub/b"))).otherwise(F.expr("cast(array() as array<string>)")).alias("action_paths"))
     projects = spark.createDataFrame([("/p", "top"), ("/p/sub", "sub")], "root string, project string")
     return a.attribute_sessions(rows, projects).select("session_id", "project")
+
+
+# --- assistants' logs, written from conversations and read again
+
+TALK = "SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, role, md5(text) AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''"
+
+
+def _talk(spark, d) -> DataFrame:
+    return table(spark, d, "conversations").where("role IN ('user', 'assistant')").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("n"), "role", "text", F.lit("2024-01-01T00:00:00Z").alias("at"))
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    return rows.select("session_id", "seq", "role", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+def _json(*pairs):
+    """A JSON object of (name, column)."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in pairs]))
+
+
+@query(TALK)
+def adp01_typed_lines(spark, d):
+    rows = _talk(spark, d)
+    line = _json(("type", F.col("role")), ("sessionId", F.col("file")), ("timestamp", F.col("at")), ("message", F.struct(F.col("role").alias("role"), F.col("text").alias("content"))))
+    return _read(assistants.typed_lines(spark, rows.select("file", line.alias("value"), "n")))
+
+
+@query(TALK)
+def adp02_rollouts(spark, d):
+    rows = _talk(spark, d)
+    part = F.array(F.struct(F.when(F.col("role") == "user", "input_text").otherwise("output_text").alias("type"), F.col("text").alias("text")))
+    line = _json(("type", F.lit("response_item")), ("timestamp", F.col("at")), ("payload", F.struct(F.lit("message").alias("type"), F.col("role").alias("role"), part.alias("content"))))
+    meta = rows.select("file").distinct().select("file", F.lit('{"type": "session_meta", "payload": {"cwd": "/w"}}').alias("value"), F.lit(-1).alias("n"))
+    return _read(assistants.rollout_lines(spark, rows.select("file", line.alias("value"), "n").unionByName(meta)).where("cwd = '/w'"))
+
+
+@query(TALK)
+def adp03_documents(spark, d):
+    message = F.struct("n", F.struct(F.col("at").alias("timestamp"), F.col("role").alias("type"), F.col("text").alias("content")).alias("m"))
+    docs = _talk(spark, d).groupBy("file").agg(F.transform(F.sort_array(F.collect_list(message)), lambda x: x["m"]).alias("messages"))
+    return _read(assistants.message_documents(spark, docs.select("file", _json(("sessionId", F.col("file")), ("messages", F.col("messages"))).alias("value"))))
+
+
+@query(TALK)
+def adp04_three_tables(spark, d):
+    rows = _talk(spark, d).withColumn("id", F.concat_ws("-", "file", F.lpad(F.col("n").cast("string"), 6, "0")))
+    messages = rows.select("id", F.col("file").alias("session_id"), "role", F.col("n").cast("long").alias("created"))
+    parts = rows.select(F.concat("id", F.lit("p")).alias("id"), F.col("id").alias("message_id"), F.lit("text").alias("type"), "text")
+    return _read(assistants.three_tables(rows.select(F.col("file").alias("id"), F.lit("/w").alias("directory")).distinct(), messages, parts))
+
+
+@query(TALK)
+def adp05_bubbles(spark, d):
+    rows = _talk(spark, d)
+    ids = F.transform(F.sort_array(F.collect_list("n")), lambda n: F.struct(n.cast("string").alias("bubbleId")))
+    heads = rows.groupBy("file").agg(ids.alias("b")).select(F.concat(F.lit("composerData:"), "file").alias("key"), _json(("composerId", F.col("file")), ("createdAt", F.lit(1)), ("fullConversationHeadersOnly", F.col("b"))).alias("value"))
+    bubbles = rows.select(F.concat_ws(":", F.lit("bubbleId"), "file", F.col("n").cast("string")).alias("key"), _json(("type", F.when(F.col("role") == "user", 1).otherwise(2)), ("text", F.col("text"))).alias("value"))
+    return _read(assistants.bubble_table(heads.unionByName(bubbles)))
+
+
+@query(TALK)
+def adp10_any_shape(spark, d):
+    message = F.struct("n", F.struct(F.col("role").alias("author"), F.col("text").alias("text")).alias("m"))
+    docs = _talk(spark, d).groupBy("file").agg(F.transform(F.sort_array(F.collect_list(message)), lambda x: x["m"]).alias("messages"))
+    value = _json(("log", F.struct(F.struct(F.col("messages").alias("all")).alias("chat"))))
+    return _read(assistants.generic(spark, docs.select("file", value.alias("value"), F.lit(None).cast("timestamp").alias("mtime"))))
+
+
+@query(TALK)
+def adp12_calls(spark, d):
+    """Messages and, between them, calls, which are actions."""
+    rows = _talk(spark, d)
+    said_ = rows.select("file", _json(("type", F.lit("message")), ("role", F.col("role")), ("content", F.col("text"))).alias("value"), (F.col("n") * 2).alias("n"))
+    calls = rows.select("file", F.lit('{"type": "function_call", "name": "run", "arguments": "{\\"command\\": \\"ls\\"}"}').alias("value"), (F.col("n") * 2 + 1).alias("n"))
+    got = assistants.call_lines(spark, said_.unionByName(calls))
+    kept = got.where("role <> 'action' OR text = 'ls' AND kind = 'command'")
+    return _read(kept.where("role <> 'action'").withColumn("seq", F.ceil(F.col("seq") / 2).cast("long")))
+
+
+@query(TALK)
+def adp13_role_table(spark, d):
+    rows = _talk(spark, d).select(F.col("file").alias("conversation_id"), F.col("n").alias("id"), F.when(F.col("role") == "user", "human").otherwise("bot").alias("sender"), F.col("text").alias("content"))
+    return _read(assistants.role_table(rows))

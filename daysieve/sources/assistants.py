@@ -17,19 +17,28 @@ from ..operators.turns import text_of
 MESSAGES = ["session_id", "seq", "role", "text", "ts", "is_final", "cwd", "kind"]
 _BLOCKS = "array<struct<type: string, text: string, name: string, input: map<string, string>>>"
 _TYPED = f"type string, sessionId string, timestamp string, cwd string, gitBranch string, isSidechain boolean, message struct<role: string, content: string>"  # noqa: F541
-_ROLLOUT = "timestamp string, type string, payload struct<id: string, type: string, role: string, phase: string, cwd: string, name: string, arguments: string, content: array<struct<type: string, text: string>>>"
+_ROLLOUT = "timestamp string, type string, payload struct<id: string, type: string, role: string, phase: string, cwd: string, name: string, arguments: string, input: string, content: array<struct<type: string, text: string>>>"
 _DOCUMENT = "sessionId string, messages array<struct<timestamp: string, type: string, role: string, content: string>>"
 _REQUESTS = "sessionId string, creationDate long, requests array<struct<timestamp: long, message: struct<text: string>, response: array<struct<value: string>>>>"
 _EVENTS = "array<struct<ts: long, type: string, say: string, ask: string, text: string>>"
 
 
-def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | DataFrame, schema: str) -> DataFrame:
+    """Lines of the files at path, or of rows (file, value, n)."""
+    if isinstance(path, DataFrame):
+        rows = path.select(F.from_json("value", schema).alias("r"), "file", F.lit(0).cast("long").alias("__at"), F.col("n").cast("long").alias("__n"))
+        return rows.select("r.*", "file", F.struct("__at", "__n").alias("__order"))
     rows = spark.read.text(path).select(F.from_json("value", schema).alias("r"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__n"))
     return rows.select("r.*", "file", F.struct("__at", "__n").alias("__order"))
 
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r"), F.col("_metadata.file_path").alias("file"))
+def _files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(file, value, mtime) of the files at path, or of rows with these."""
+    return path if isinstance(path, DataFrame) else spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_modification_time").alias("mtime"))
+
+
+def _documents(spark: SparkSession, path: str | DataFrame, schema: str) -> DataFrame:
+    rows = _files(spark, path).select(F.from_json("value", schema).alias("r"), "file")
     return rows.select("r.*", "file") if not schema.startswith("array") else rows
 
 
@@ -58,13 +67,21 @@ def typed_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rollout_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines {timestamp, type, payload}; a payload of phase final_answer is final. A file is a session."""
-    rows = _lines(spark, path, _ROLLOUT).where("type = 'response_item'")
-    call = F.col("payload.type").isin("function_call", "local_shell_call")
-    command = F.coalesce(F.get_json_object("payload.arguments", "$.command"), F.get_json_object("payload.arguments", "$.cmd"))
+    """JSON lines {timestamp, type, payload}; a payload of phase final_answer is final, one of session_meta tells the directory. A file is a session."""
+    from pyspark.sql import Window
+
+    from ..operators.state import command_text
+
+    rows = _lines(spark, path, _ROLLOUT)
+    rows = rows.withColumn("__cwd", F.max(F.when(F.col("type") == "session_meta", F.col("payload.cwd"))).over(Window.partitionBy("file"))).where("type = 'response_item'")
+    call = F.col("payload.type").isin("function_call", "local_shell_call", "custom_tool_call")
+    # three generations of calls: a list of arguments, a text, a patch or command as the whole input
+    given = lambda k: F.get_json_object("payload.arguments", f"$.{k}")
+    listed = F.from_json(F.coalesce(given("command"), given("cmd")), "array<string>")
+    command = F.coalesce(F.when(F.size(listed) > 0, command_text(listed)), given("command"), given("cmd"), F.col("payload.input"))
     role = F.when(call, "action").otherwise(F.col("payload.role"))
     text = F.when(call, command).otherwise(text_of(F.col("payload.content")))
-    return _finish(rows, F.when(role.isin("user", "assistant", "action"), role), text, to_instant(F.col("timestamp")), F.col("file"), F.col("__order"), F.col("payload.phase") == "final_answer", kind=F.when(call, "command"))
+    return _finish(rows, F.when(role.isin("user", "assistant", "action"), role), text, to_instant(F.col("timestamp")), F.col("file"), F.col("__order"), F.col("payload.phase") == "final_answer", cwd=F.col("__cwd"), kind=F.when(call, "command"))
 
 
 def message_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -115,37 +132,6 @@ def role_table(messages: DataFrame, candidates: dict[str, tuple[str, ...]] | Non
     return _finish(messages, F.when(role.isin("user", "human"), "user").when(role.isin("assistant", "ai", "model", "bot"), "assistant"), col("text"), ts, col("session"), col("order"))
 
 
-#: How each registered kind of log is read.
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **dict.fromkeys(("claude-code", "codebuddy", "workbuddy"), typed_lines),
-    "codex": rollout_lines,
-    **dict.fromkeys(("gemini-cli", "qwen-code", "iflow"), message_documents),
-    **dict.fromkeys(("copilot-chat", "antigravity", "trae", "windsurf"), request_documents),
-    **dict.fromkeys(("cline", "roo-code", "kilo-code"), ui_events),
-}
-
-
-def read_sessions(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame | None, dict[str, str]]:
-    """All messages with their provider, and what became of each provider: ok, absent or unknown."""
-    from pyspark.errors import AnalysisException
-
-    found, report = None, {}
-    for provider, path in paths.items():
-        if provider not in READERS:
-            report[provider] = "unknown"
-            continue
-        try:
-            rows = READERS[provider](spark, path).withColumn("provider", F.lit(provider))
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            report[provider] = "absent"
-            continue
-        report[provider] = "ok"
-        found = rows if found is None else found.unionByName(rows)
-    return found, report
-
-
 def history_and_chat(histories: DataFrame, chats: DataFrame) -> DataFrame:
     """Prompt histories (dir, text: `# time` and `+line`) with the first answer to each prompt's first line in chats (dir, text: `#### prompt`, then its answer)."""
     from pyspark.sql import Window
@@ -227,3 +213,105 @@ def any_messages(files: DataFrame, depth: int = 6) -> DataFrame:
     so_far = Window.partitionBy("file").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     rows = found.withColumn("ts", F.coalesce(F.last(to_instant(F.col("at")), ignorenulls=True).over(so_far), F.col("mtime")))
     return _finish(rows, F.col("role"), F.col("said"), F.col("ts"), F.col("file"), F.col("o"))
+
+
+_CALLS = "type string, timestamp string, role string, name string, arguments string, cwd string, sessionId string, content string"
+
+
+def call_lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """JSON lines {type, role, content, name, arguments}: messages and function calls. A file is a session unless lines name one."""
+    rows = _lines(spark, path, _CALLS).where("type IN ('message', 'function_call')")
+    call = F.col("type") == "function_call"
+    given = lambda k: F.get_json_object("arguments", f"$.{k}")
+    file = F.coalesce(given("file_path"), given("path"))
+    value = F.coalesce(file, given("command"), given("query"))
+    blocks = F.from_json("content", "array<struct<type: string, text: string>>")
+    text = F.when(F.col("content").startswith("["), text_of(blocks)).otherwise(F.col("content"))
+    kind = F.when(file.isNotNull(), "file").when(given("command").isNotNull(), "command").otherwise("search")
+    role = F.when(call, "action").when(F.col("role").isin("user", "assistant"), F.col("role"))
+    return _finish(rows, role, F.when(call, value).otherwise(text), to_instant(F.col("timestamp")), F.coalesce("sessionId", "file"), F.col("__order"), cwd=F.col("cwd"), kind=F.when(call, kind))
+
+
+def session_titles(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(session_id, title): the last title that lines {type: ai-title or custom-title, sessionId, title} give, a user's before a model's. Titles count whatever the range."""
+    rows = _lines(spark, path, "type string, sessionId string, title string, customTitle string, aiTitle string").where("type IN ('ai-title', 'custom-title')")
+    title = F.coalesce("customTitle", "aiTitle", "title")
+    order = F.struct((F.col("type") == "custom-title").alias("own"), F.col("__order"))
+    return rows.where(title.isNotNull()).groupBy(F.coalesce("sessionId", "file").alias("session_id")).agg(F.max_by(title, order).alias("title"))
+
+
+def generic(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Messages in JSON files of any shape."""
+    return any_messages(_files(spark, path).withColumnRenamed("value", "text"))
+
+
+def json_trees(spark: SparkSession, path: str) -> DataFrame:
+    """Folders session, message and part of JSON documents below path."""
+    doc = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}", multiLine=True, recursiveFileLookup=True)
+    messages = doc("message", "id string, sessionID string, role string, time struct<created: long>").select("id", F.col("sessionID").alias("session_id"), "role", F.col("time.created").alias("created"))
+    parts = doc("part", "id string, messageID string, type string, text string").withColumnRenamed("messageID", "message_id")
+    return three_tables(doc("session", "id string, directory string"), messages, parts)
+
+
+def exported_bubbles(spark: SparkSession, path: str) -> DataFrame:
+    """A key and value table, exported as Parquet."""
+    return bubble_table(spark.read.parquet(path))
+
+
+def exported_messages(spark: SparkSession, path: str) -> DataFrame:
+    """A table of messages, exported as Parquet."""
+    return role_table(spark.read.parquet(path))
+
+
+def folders_of_history(spark: SparkSession, path: str) -> DataFrame:
+    """Prompt histories and chats beside one another in folders below path."""
+    own = lambda name: _files(spark, f"{path}/*/{name}").select(F.regexp_replace("file", r"/[^/]*$", "").alias("dir"), F.col("value").alias("text"))
+    return history_and_chat(own(".aider.input.history"), own(".aider.chat.history.md"))
+
+
+#: How each registered kind of log is read.
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **dict.fromkeys(("claude-code", "codebuddy"), typed_lines),
+    "workbuddy": call_lines,
+    "zcode": model_io_lines,
+    "opencode": json_trees,
+    "cursor": exported_bubbles,
+    "hermes": exported_messages,
+    "aider": folders_of_history,
+    **dict.fromkeys(("kimi-code", "deepseek", "grok-build", "copilot-cli", "goose", "crush"), generic),
+    "codex": rollout_lines,
+    **dict.fromkeys(("gemini-cli", "qwen-code", "iflow"), message_documents),
+    **dict.fromkeys(("copilot-chat", "antigravity", "trae", "windsurf"), request_documents),
+    **dict.fromkeys(("cline", "roo-code", "kilo-code"), ui_events),
+}
+#: What is tried next where a reader finds no message.
+FALLBACKS: dict[str, tuple] = {"codebuddy": (generic,), "workbuddy": (typed_lines, generic), **dict.fromkeys(("copilot-chat", "antigravity", "trae", "windsurf"), (generic,))}
+
+
+def read_sessions(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame | None, dict[str, str]]:
+    """All messages with their provider, and what became of each provider: ok, empty, absent or unknown."""
+    from pyspark.errors import AnalysisException
+
+    found, report = None, {}
+    for provider, path in paths.items():
+        if provider not in READERS:
+            report[provider] = "unknown"
+            continue
+        try:
+            rows, empty = READERS[provider](spark, path), True
+            for other in (*FALLBACKS.get(provider, ()), None):
+                empty = rows.isEmpty()
+                if not empty or other is None:
+                    break
+                rows = other(spark, path)
+            rows = rows.withColumn("provider", F.lit(provider))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            report[provider] = "absent"
+            continue
+        report[provider] = "empty" if empty else "ok"
+        found = rows if found is None else found.unionByName(rows)
+    return found, report
+
+
