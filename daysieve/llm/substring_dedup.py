@@ -38,6 +38,8 @@ from .cluster import cut, dealt, small_side
 
 #: Bits by which windows on one gram are told apart before their words are compared.
 EDGE_BITS = 32
+#: The spans that are decided by their words are broadcast up to so many numbers.
+FEW_NUMBERS = 2_000_000
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -162,9 +164,14 @@ def _normal(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byte
     return out.tobytes(), at
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, text: str, doc_id: str, how: str) -> DataFrame:
-    """Rows of docs with (doc_id, code, spans array<bigint>, ...). Texts and lists are shuffled by row whatever their size, and the lists, which are the smaller, are hashed, so that texts needn't be sorted."""
-    return _rows(docs, text, doc_id).join(lists.hint("shuffle_hash"), ["doc_id", "code"], how)
+def _with_lists(docs: DataFrame, lists: DataFrame, text: str, doc_id: str, how: str, few: bool = False) -> DataFrame:
+    """Rows of docs with (doc_id, code, spans array<bigint>, ...). Texts and lists are shuffled by row, and the lists, which are the smaller, are hashed, so that texts needn't be sorted; few lists, where they are few numbers, are broadcast."""
+    side = lists.hint("shuffle_hash")
+    if few:
+        arrays = [f for f in lists.columns if f not in ("doc_id", "code")]
+        weight = lists.agg(F.sum(sum((F.size(c) for c in arrays), F.lit(4)))).first()[0] or 0
+        side = F.broadcast(lists) if weight <= FEW_NUMBERS else side
+    return _rows(docs, text, doc_id).join(side, ["doc_id", "code"], how)
 
 
 def _flat(lists: pa.ListArray, row: int, docs: int, numbers: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +197,7 @@ def read_again(docs: DataFrame, spans: DataFrame, width: int, text: str, doc_id:
                 own = pa.array(doc + row)
                 yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(place[:, 0]), pa.array(digests, pa.binary())], ["doc_id", "code", "place", "digest"])
 
-    rows = _with_lists(docs, lists, text, doc_id, "inner").select("doc_id", "code", "text", "spans")
+    rows = _with_lists(docs, lists, text, doc_id, "inner", few=True).select("doc_id", "code", "text", "spans")
     return rows.mapInArrow(run, "doc_id long, code long, place long, digest binary")
 
 
@@ -207,26 +214,28 @@ def decided_by_words(docs: DataFrame, doubtful: DataFrame, width: int, anchor: i
 
 def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row; the words that stay are joined by one space."""
-    found = cut(walks(repeated_edges(docs, width, anchor, text, doc_id)))
-    lists = cut(span_lists(found))
+    lists = cut(span_lists(cut(walks(repeated_edges(docs, width, anchor, text, doc_id)))))
     # texts aren't written: the digests are taken first, then the texts are cut
     read = cut(_apply(docs, lists, width, text, doc_id, None))
-    lists = _decided(docs, lists, read, width, anchor, text, doc_id) or lists
+    if other := _decided(docs, lists, read, width, anchor, text, doc_id):
+        lists = lists.join(other, ["doc_id", "code"], "left_anti").unionByName(other)
     return _apply(docs, lists, width, text, doc_id, "kept_text").select("doc_id", "n_words", "n_removed", "kept_text")
 
 
 def repeat_digest(docs: DataFrame, width: int = 13, anchor: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row."""
-    found = cut(walks(repeated_edges(docs, width, anchor, text, doc_id)))
-    lists = cut(span_lists(found))
+    lists = cut(span_lists(cut(walks(repeated_edges(docs, width, anchor, text, doc_id)))))
     read = cut(_apply(docs, lists, width, text, doc_id, "kept_sha256"))
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     if other := _decided(docs, lists, read, width, anchor, text, doc_id):
-        read = _apply(docs, other, width, text, doc_id, "kept_sha256")
-    return read.select("doc_id", "n_words", "n_removed", "kept_sha256")
+        again = _apply(docs, other, width, text, doc_id, "kept_sha256", few=True)
+        rows = other.select("doc_id", "code")
+        read = read.join(small_side(rows, rows.count()), ["doc_id", "code"], "left_anti").select(*columns).unionByName(again.select(*columns))
+    return read.select(*columns)
 
 
 def _decided(docs: DataFrame, lists: DataFrame, read: DataFrame, width: int, anchor: int, text: str, doc_id: str) -> DataFrame | None:
-    """None if read (paths, digests) verifies all paths, else the lists to be taken in place of lists."""
+    """None if read (paths, digests) verifies all paths, else the new lists of those rows that lie on another path or whose windows there repeat."""
     each = read.select(F.explode(F.arrays_zip("paths", "digests")).alias("x")).select(F.col("x.paths").alias("path"), F.col("x.digests").alias("digest"))
     wrong = cut(each.groupBy("path").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("path"))
     n = wrong.count()
@@ -234,14 +243,17 @@ def _decided(docs: DataFrame, lists: DataFrame, read: DataFrame, width: int, anc
         return None
     triples = F.transform(F.sequence(F.lit(0), F.size("spans") - 1, F.lit(3)), lambda i: F.struct(F.get("spans", i).alias("place"), F.get("spans", i + 1).alias("n"), F.get("spans", i + 2).alias("path")))
     spans = lists.where(F.size("spans") > 0).select("doc_id", "code", F.explode(triples).alias("x")).select("doc_id", "code", "x.*")
-    doubtful = spans.join(small_side(wrong, n), "path", "left_semi")
-    again = decided_by_words(docs, doubtful, width, anchor, text, doc_id).withColumns({"n": F.lit(1).cast("long"), "path": F.lit(0).cast("long")})
-    kept = spans.join(small_side(wrong, n), "path", "left_anti").unionByName(again)
-    return cut(kept.groupBy("doc_id", "code").agg(F.flatten(F.collect_list(F.array("place", "n", "path"))).alias("spans")).withColumn("own", F.expr("cast(array() as array<bigint>)")))
+    doubtful = cut(spans.join(small_side(wrong, n), "path", "left_semi"))
+    again = cut(decided_by_words(docs, doubtful, width, anchor, text, doc_id).withColumns({"n": F.lit(1).cast("long"), "path": F.lit(0).cast("long")}))
+    rows = cut(doubtful.select("doc_id", "code").unionByName(again.select("doc_id", "code")).distinct())
+    kept = spans.join(small_side(wrong, n), "path", "left_anti").join(small_side(rows, rows.count()), ["doc_id", "code"], "left_semi").unionByName(again)
+    new = kept.groupBy("doc_id", "code").agg(F.flatten(F.collect_list(F.array("place", "n", "path"))).alias("spans"))
+    none = F.expr("cast(array() as array<bigint>)")
+    return cut(rows.join(new, ["doc_id", "code"], "left").select("doc_id", "code", F.coalesce("spans", none).alias("spans"), none.alias("own")))
 
 
-def _apply(docs: DataFrame, lists: DataFrame, width: int, text: str, doc_id: str, name: str | None) -> DataFrame:
-    """(doc_id, n_words, n_removed, name: the text without the spans or its sha256, paths, digests) of each row of docs, and of all its spans and own paths the digest of their words."""
+def _apply(docs: DataFrame, lists: DataFrame, width: int, text: str, doc_id: str, name: str | None, few: bool = False) -> DataFrame:
+    """(doc_id, code, n_words, n_removed, name: the text without the spans or its sha256, paths, digests) of each row of docs, with few only of those in lists, and of all its spans and own paths the digest of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +264,7 @@ def _apply(docs: DataFrame, lists: DataFrame, width: int, text: str, doc_id: str
                 raw, where = _normal(buf, starts, ends)
                 begin = np.minimum(at[doc] + spans[:, 0], at[doc + 1])
                 end = np.minimum(begin + spans[:, 1] + width - 1, at[doc + 1])
-                out = [batch.column(0).slice(row, docs), pa.array(np.diff(at))]
+                out = [batch.column(0).slice(row, docs), batch.column(4).slice(row, docs), pa.array(np.diff(at))]
                 if name:
                     edge = np.zeros(len(starts) + 1, np.int64)
                     np.add.at(edge, begin, 1)
@@ -275,7 +287,7 @@ def _apply(docs: DataFrame, lists: DataFrame, width: int, text: str, doc_id: str
                     out += [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate((spans[:, 2], own[:, 2]))[order])), pa.ListArray.from_arrays(bounds, pa.array(digests, pa.binary()))]
                 yield pa.record_batch(out, names)
 
-    schema = {"doc_id": "long", "n_words": "long"} | ({"n_removed": "long", name: "string"} if name else {}) | ({"paths": "array<long>", "digests": "array<binary>"} if name != "kept_text" else {})
+    schema = {"doc_id": "long", "code": "long", "n_words": "long"} | ({"n_removed": "long", name: "string"} if name else {}) | ({"paths": "array<long>", "digests": "array<binary>"} if name != "kept_text" else {})
     names = list(schema)
-    rows = _with_lists(docs, lists, text, doc_id, "left").select("doc_id", "text", "spans", "own")
+    rows = _with_lists(docs, lists, text, doc_id, "inner" if few else "left", few).select("doc_id", "text", "spans", "own", "code")
     return rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in schema.items()))
