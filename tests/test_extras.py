@@ -16,21 +16,33 @@ def archive(**parts):
     return out.getvalue()
 
 
+def space(name, body):
+    """A part's XML with the namespace prefixes that it uses."""
+    own = {"w": outlines.WORD, "s": outlines.SHEET, "p": outlines.SLIDE, "a": outlines.DRAWING, "r": outlines.RELATION, "k": outlines.PACKAGE}
+    return f"<{name} " + " ".join(f'xmlns:{k}="{v[1:-1]}"' for k, v in own.items()) + f">{body}</{name}>"
+
+
 def test_document_outlines(spark):
-    style = '<w:style w:styleId="h9"><w:name w:val="heading 1"/></w:style>'
-    para = lambda s, t: f'<w:p><w:pPr><w:pStyle w:val="{s}"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    style = '<w:style w:styleId="h9"><w:name w:val="heading 1"/></w:style><w:style w:styleId="mine"><w:name w:val="My Head"/><w:basedOn w:val="h9"/></w:style><w:style w:styleId="a"><w:basedOn w:val="b"/></w:style><w:style w:styleId="b"><w:basedOn w:val="a"/></w:style>'
+    para = lambda s, t: f'<w:p><w:pPr><w:pStyle w:val="{s}"/></w:pPr><w:r><w:t>{t[:2]}</w:t></w:r><w:r><w:t>{t[2:]}</w:t></w:r></w:p>'
+    title = lambda kind, t: space("p:sld", f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="body"/></p:nvPr></p:nvSpPr><a:t>no</a:t></p:sp><p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><a:t>{t}</a:t></p:sp>')
+    slides = space("p:presentation", '<p:sldIdLst><p:sldId r:id="r2"/><p:sldId r:id="r1"/></p:sldIdLst>')
+    rels = space("k:Relationships", '<k:Relationship Id="r1" Target="slides/slide1.xml"/><k:Relationship Id="r2" Target="/ppt/slides/slide7.xml"/>')
+    xmp = b'%PDF <x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="r"><dc:title xmlns:dc="http://purl.org/dc/elements/1.1/"><rdf:Alt><rdf:li>From &amp; XMP</rdf:li></rdf:Alt></dc:title></rdf:RDF></x:xmpmeta>'
     files = {
-        "/d/a.docx": archive(word__styles_xml=style, word__document_xml=para("x", "plain") + para("h9", "One &amp; two") + para("Heading2", "Three")),
-        "/d/b.xlsx": archive(xl__workbook_xml='<sheets><sheet name="Plan" sheetId="1"/><sheet name="&lt;Data&gt;" sheetId="2"/></sheets>'),
-        "/d/c.pptx": archive(ppt__slides__slide2_xml='<p:sp><p:ph type="title"/><a:t>Second</a:t></p:sp>', ppt__slides__slide1_xml='<p:sp><p:ph type="ctrTitle"/><a:t>First</a:t></p:sp>'),
-        "/d/d.pdf": b"%PDF /Title (A \\(b\\) \\101)",
+        "/d/a.docx": archive(word__styles_xml=space("w:styles", style), word__document_xml=space("w:document", para("a", "plain") + para("h9", "One &amp; two") + para("Heading2", "Three") + para("mine", "Four") + para("Heading5", "too deep"))),
+        "/d/b.xlsx": archive(xl__workbook_xml=space("s:workbook", '<s:sheets><s:sheet name="Plan" sheetId="1"/><s:sheet name="&lt;Data&gt;" sheetId="2"/></s:sheets>')),
+        "/d/c.pptx": archive(**{"ppt/_rels/presentation.xml.rels": rels}, ppt__presentation_xml=slides, ppt__slides__slide1_xml=title("title", "Second"), ppt__slides__slide7_xml=title("ctrTitle", "First")),
+        "/d/d.pdf": b"%PDF /Title (A (b) \\) \\101\\\n)",
         "/d/e.pdf": b"%PDF /Title <FEFF6F225B57>",
         "/d/f.docx": b"broken",
         "/d/g.txt": b"x",
+        "/d/h.pdf": xmp,
+        "/d/i.docx": archive(word__document_xml=space("w:document", para("x", "only text") + para("y", "more"))),
     }
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")
     got = {r.path: (r.outline_kind, r.outline) for r in outlines.document_outlines(df).collect()}
-    assert got == {"/d/a.docx": ("headings", ["One & two", "Three"]), "/d/b.xlsx": ("sheets", ["Plan", "<Data>"]), "/d/c.pptx": ("slides", ["First", "Second"]), "/d/d.pdf": ("title", ["A (b) A"]), "/d/e.pdf": ("title", ["漢字"]), "/d/f.docx": (None, None)}
+    assert got == {"/d/a.docx": ("headings", ["One & two", "Three", "Four"]), "/d/b.xlsx": ("sheets", ["Plan", "<Data>"]), "/d/c.pptx": ("slides", ["First", "Second"]), "/d/d.pdf": ("title", ["A (b) ) A"]), "/d/e.pdf": ("title", ["漢字"]), "/d/f.docx": (None, None), "/d/h.pdf": ("title", ["From & XMP"]), "/d/i.docx": ("title", ["only text"])}
 
 
 def said(rows):
