@@ -8,21 +8,32 @@ from pyspark.sql import functions as F
 from .texts import extension
 
 # Extensions of code, documents and data.
-CODE = "js mjs cjs jsx ts tsx vue svelte py java kt go rs rb php cs cpp c h swift scala sh ps1 lua dart".split()
-DOCUMENT = "md markdown txt rst adoc docx doc pdf pptx ppt rtf odt tex".split()
-DATA = "sql csv tsv xlsx xls ods json jsonl yaml yml xml".split()
+CODE = [
+    "js", "mjs", "cjs", "jsx", "ts", "tsx", "vue", "svelte", "py", "java", "kt", "go", "rs", "rb", "php", "cs", "cpp", "c", "h", "swift", "scala",
+    "sh", "ps1", "lua", "dart",
+]
+DOCUMENT = [
+    "md", "markdown", "txt", "rst", "adoc", "docx", "doc", "pdf", "pptx", "ppt", "rtf", "odt", "tex",
+]
+DATA = [
+    "sql", "csv", "tsv", "xlsx", "xls", "ods", "json", "jsonl", "yaml", "yml", "xml",
+]
 #: One of these alone is a piece of work.
 DOCUMENT_WORK = [*DOCUMENT, "xlsx", "xls", "ods", "csv"]
 # Extensions of work.
-WORK = """
-js mjs cjs jsx ts tsx vue svelte py ipynb java kt kts go rs rb php cs cpp cc c h hpp swift m mm scala
-sh bash zsh ps1 bat lua pl r dart ex exs clj hs html htm css scss sass less ejs hbs pug astro
-md markdown txt rst adoc org tex docx doc pdf rtf odt pptx ppt key numbers pages
-sql csv tsv xlsx xls ods json jsonl yaml yml toml ini conf cfg properties env-example xml proto graphql gql
-drawio excalidraw fig sketch psd ai svg png jpg jpeg gif webp
-""".split()
+WORK = [
+    "js", "mjs", "cjs", "jsx", "ts", "tsx", "vue", "svelte", "py", "ipynb", "java", "kt", "kts", "go", "rs", "rb", "php", "cs", "cpp", "cc", "c", "h",
+    "hpp", "swift", "m", "mm", "scala", "sh", "bash", "zsh", "ps1", "bat", "lua", "pl", "r", "dart", "ex", "exs", "clj", "hs", "html", "htm", "css",
+    "scss", "sass", "less", "ejs", "hbs", "pug", "astro", "md", "markdown", "txt", "rst", "adoc", "org", "tex", "docx", "doc", "pdf", "rtf", "odt",
+    "pptx", "ppt", "key", "numbers", "pages", "sql", "csv", "tsv", "xlsx", "xls", "ods", "json", "jsonl", "yaml", "yml", "toml", "ini", "conf", "cfg",
+    "properties", "env-example", "xml", "proto", "graphql", "gql", "drawio", "excalidraw", "fig", "sketch", "psd", "ai", "svg", "png", "jpg", "jpeg",
+    "gif", "webp",
+]
 # Names of work without a telling extension.
-WORK_NAMES = "Dockerfile Makefile Justfile Rakefile Gemfile Procfile Brewfile README LICENSE CHANGELOG CONTRIBUTING AGENTS CLAUDE requirements.txt go.mod go.sum Cargo.toml pom.xml build.gradle".split()
+WORK_NAMES = [
+    "Dockerfile", "Makefile", "Justfile", "Rakefile", "Gemfile", "Procfile", "Brewfile", "README", "LICENSE", "CHANGELOG", "CONTRIBUTING", "AGENTS",
+    "CLAUDE", "requirements.txt", "go.mod", "go.sum", "Cargo.toml", "pom.xml", "build.gradle",
+]
 # Names that are noise whatever their extension.
 NOISE = [
     r"^~\$",

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
+# Fixed values below: the patterns that tell titles, headings, statements and remotes are those of the wording they read.
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends; null as empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE + "+", " "))

@@ -14,6 +14,7 @@ from ..functions import names
 from ..functions.texts import base_name, collapse, cut, dir_name, extension, to_title
 from ..functions.times import duration_minutes
 
+# Kinds of items, and below the labels shown to users (categories and titles).
 FILE_KINDS = ["file", "action-file", "worktree"]
 TALK_KINDS = ["prompt", "action-command", "action-search"]
 DEDUPED_KINDS = ["prompt", "action-command", "action-search", "reply", "shell"]
