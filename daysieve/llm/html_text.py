@@ -61,8 +61,8 @@ ADJACENT, SIBLING = 0.6, 0.9
 #: Pages of the sample, those of the least hashes, and how many blocks the prior counts for.
 SAMPLE_PAGES = 2000
 PRIOR_BLOCKS = 400.0
-#: Of a page of the sample at most so many blocks are learned from.
-LABELS_OF_A_PAGE = 200
+#: Of a page of the sample at most so many blocks are learned from, evenly spaced.
+LABELS_OF_A_PAGE = 60
 
 
 def _evidence(tag: str, attributes: str) -> tuple[float, float]:
@@ -345,7 +345,8 @@ def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample_p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                labels = weak_labels(blocks(page or ""))[:LABELS_OF_A_PAGE]
+                labels = weak_labels(blocks(page or ""))
+                labels = labels[:: -(-len(labels) // LABELS_OF_A_PAGE) or 1]
                 yield pa.record_batch([pa.array([i] * len(labels), pa.string()), pa.array([x for x, _ in labels], pa.list_(pa.float64())), pa.array([y for _, y in labels], pa.int32())], ["id", "x", "y"])
 
     got = sorted((r.id, r.y, r.x) for r in rows.mapInArrow(run, "id string, x array<double>, y int").collect())
