@@ -28,7 +28,7 @@ from . import vec
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Distinct pieces that a worker keeps the ids of; beyond, it starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 #: Longer pieces are merged one by one with a heap.
 SHORT_BYTES = 48
 

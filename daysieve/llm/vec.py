@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: The bytes that separate words: space and 0x09 to 0x0D.
 IS_SEP = np.zeros(256, bool)
