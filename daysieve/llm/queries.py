@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, language, licenses, mixing, ngram_join, quality, substring_dedup, word_bpe
+from . import ann, bpe, exact_dedup, html_text, language, licenses, merkle, mixing, ngram_join, quality, substring_dedup, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, weights=html_text.fit(pages))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    folded = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.audit(merkle.build(docs, changed={"text": F.when(tampered, folded).otherwise(F.col("text"))}))
+
+
 def word_bpe_path() -> str:
     import public_tokenizers
 
@@ -81,7 +90,7 @@ def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_substring_dedup, op6_language, op7_mixing, op8_licenses, op9_permutation_index, op10_html_text, op13_word_bpe)
+    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_substring_dedup, op6_language, op7_mixing, op8_licenses, op9_permutation_index, op10_html_text, op12_merkle_manifest, op13_word_bpe)
     return {f.__name__: f for f in found}
 
 
@@ -140,10 +149,46 @@ def _licenses_sql() -> str:
         SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, array_to_string(all_labels, ',') AS labels, weight / (weight + 1)::DOUBLE AS score FROM x"""
 
 
+def _merkle_tree_sql(name: str, levels: int) -> str:
+    """CTEs {name}1, {name}2, ... over {name}0 (tree, i, n, d), a level each while a tree has several nodes, and {name}_runs: the nodes of each run."""
+    steps = [f"{name}{k + 1} AS (SELECT tree, i // 16 AS i, (n + 15) // 16 AS n, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 16, n)" for k in range(levels)]
+    runs = " UNION ALL ".join(f"SELECT {k} AS level, tree, i // 16 AS run, list(d ORDER BY i) AS ds FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 16" for k in range(levels))
+    top = " UNION ALL ".join(f"SELECT tree, d FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return ", ".join([*steps, f"{name}_runs AS ({runs})", f"{name}_top AS ({top})"])
+
+
+def _merkle_steps_sql(name: str, before: str, after: str, levels: int, i: str, tree: str) -> str:
+    """CTEs that fold `now` of the rows of `before` up the levels of a tree and gather the siblings on the way."""
+    out = []
+    for k in range(levels):
+        place = f"({i} // {16**k}) % 16"
+        left, right = f"array_to_string(ds[1:{place}], '')", f"array_to_string(ds[{place} + 2:], '')"
+        out.append(f"{after if k == levels - 1 else f'{after}{k}'} AS (SELECT b.* EXCLUDE (now, proof), CASE WHEN ds IS NULL THEN now ELSE sha256({left} || now || {right}) END AS now, proof || CASE WHEN ds IS NULL THEN '' ELSE {left} || {right} END AS proof FROM {before if k == 0 else f'{after}{k - 1}'} b LEFT JOIN {name}_runs r ON r.level = {k} AND r.tree IS NOT DISTINCT FROM {tree} AND r.run = {i} // {16 ** (k + 1)})")
+    return ", ".join(out)
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """All levels of both trees (up to 16 ** levels rows of a source, and sources), none left out; CRC-32 bit by bit."""
+    value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    row = " || ".join(value(c) for c in merkle.COLUMNS[:-1])
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(id) + 1), lambda p: ascii(id[p])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    return f"""
+        WITH d AS (SELECT doc_id, source, sha256({row} || {value("text")}) AS leaf, sha256({row} || {value("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS lower, doc_id::VARCHAR AS id FROM documents),
+        leaves AS (SELECT doc_id, source AS tree, leaf, CASE WHEN {crc} % 5 = 0 THEN lower ELSE leaf END AS now, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+                   FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+        a0 AS (SELECT tree, i, n, leaf AS d FROM leaves), {_merkle_tree_sql("a", levels)},
+        sources AS (SELECT tree AS source, d AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS j, count(*) OVER () AS n FROM a_top),
+        b0 AS (SELECT 0 AS tree, j AS i, n, subroot AS d FROM sources), {_merkle_tree_sql("b", levels)},
+        s0 AS (SELECT doc_id, leaf, now, i, l.tree, subroot, j, 0 AS top, '' AS proof FROM leaves l JOIN sources s ON l.tree IS NOT DISTINCT FROM s.source),
+        {_merkle_steps_sql("a", "s0", "up", levels, "i", "b.tree")}, {_merkle_steps_sql("b", "up", "whole", levels, "j", "b.top")}
+        SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = d AS verified FROM whole, b_top"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_mixing": _mixing_sql(),
         "op8_licenses": _licenses_sql(),
+        "op12_merkle_manifest": _merkle_sql(),
         "op1_ngram_join": f"""
             WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLD}, {WORD}) AS words FROM documents),
             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
