@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, language, licenses, merkle, mixing, ngram_join, quality, substring_dedup, word_bpe
+from . import ann, bpe, exact_dedup, hard_negatives, html_text, language, licenses, merkle, mixing, ngram_join, quality, substring_dedup, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, weights=html_text.fit(pages))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -90,7 +96,7 @@ def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_substring_dedup, op6_language, op7_mixing, op8_licenses, op9_permutation_index, op10_html_text, op12_merkle_manifest, op13_word_bpe)
+    found = (op1_ngram_join, op2_exact_dedup, op3_byte_bpe, op4_quality, op5_substring_dedup, op6_language, op7_mixing, op8_licenses, op9_permutation_index, op10_html_text, op11_hard_negatives, op12_merkle_manifest, op13_word_bpe)
     return {f.__name__: f for f in found}
 
 
@@ -189,6 +195,15 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": _mixing_sql(),
         "op8_licenses": _licenses_sql(),
         "op12_merkle_manifest": _merkle_sql(),
+        "op11_hard_negatives": """
+            WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                       WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+                  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+            p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+            SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+            WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3""",
         "op1_ngram_join": f"""
             WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLD}, {WORD}) AS words FROM documents),
             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
