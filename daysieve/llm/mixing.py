@@ -2,8 +2,8 @@
 
 A source's target is its weight's share of the mix, at most `most_copies` times what it has; the excess goes to the
 others by weight (water filling: sources in order of cap by weight, running sums, no loop). The mix is counted in
-blocks of equal tokens, BLOCK_TOKENS or so many that there are LEAST_BLOCKS at least. Blocks go to sources by the highest
-quotients target / (2k + 1), then to groups of a source's shards and at last to shards of about `shard_tokens` by the
+blocks of equal tokens, BLOCK_TOKENS or so many that there are LEAST_BLOCKS at least. Sources at their cap are taken
+whole; the blocks of the rest go to the other sources by the highest quotients target / (2k + 1), then to groups of a source's shards and at last to shards of about `shard_tokens` by the
 same rule, FAN parties at a time, so however many shards a hot source has, no task ranks them all. Every shard has an
 integer quota and fills it alone: its documents, in an order seeded by md5, are laid end to end, at most `most_copies`
 times, and the first quota * block tokens are taken. Of a document that a quota ends in, only the first words are taken.
@@ -56,15 +56,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most_cop
 def apportion(parties: DataFrame, by: list[str], weight: str, seats: str, order: str) -> DataFrame:
     """parties with `quota`: within each group of columns by, its `seats` go to the highest weight / (2k + 1); ties to the first in order.
 
-    Rounded shares are a few seats off in sum; only quotients near them are ranked.
+    Of n parties with seats s in all, a divisor of (sum of weights) / (s + n / 2) gives s seats at least, as no share loses
+    more than a half, and one of (sum of weights) / (s - n / 2) gives s at most. Quotients above the second win without
+    being ranked, those below the first lose; what lies between are about two quotients a party, however skewed weights are.
     """
     group = Window.partitionBy(*by)
-    rows = parties.withColumn("__share", F.try_divide(F.col(weight), F.sum(weight).over(group))).withColumn("__round", F.coalesce(F.round(F.col("__share") * F.col(seats)), F.lit(0)).cast("long"))
-    rows = rows.withColumn("__off", F.abs(F.col(seats) - F.sum("__round").over(group)))
-    reach = F.ceil(F.coalesce(F.col("__off") * F.col("__share"), F.lit(0.0))) + 2
-    rows = rows.withColumn("__reach", reach).withColumn("__base", F.greatest(F.lit(0).cast("long"), F.col("__round") - F.col("__reach")))
-    rows = rows.withColumn("__left", F.col(seats) - F.sum("__base").over(group)).where(F.col(weight) > 0)
-    asked = rows.withColumn("__k", F.explode(F.sequence(F.col("__base"), F.col("__round") + F.col("__reach"))))
+    rows = parties.where(F.col(weight) > 0).withColumn("__sum", F.sum(weight).over(group)).withColumn("__half", F.count("*").over(group) / 2)
+    share = lambda of: F.col(weight) * of / F.col("__sum")
+    # a seat more on both sides, as shares are rounded floats
+    rows = rows.withColumn("__base", F.greatest(F.lit(0).cast("long"), F.floor(share(F.col(seats) - F.col("__half")) + 0.5).cast("long") - 1))
+    rows = rows.withColumn("__top", F.ceil(share(F.col(seats) + F.col("__half")) + 0.5).cast("long") + 1)
+    rows = rows.withColumn("__left", F.col(seats) - F.sum("__base").over(group))
+    asked = rows.withColumn("__k", F.explode(F.sequence(F.col("__base"), F.col("__top"))))
     rank = F.row_number().over(group.orderBy((F.col(weight) / (2 * F.col("__k") + 1)).desc(), F.col(order).asc_nulls_last(), "__k"))
     won = asked.withColumn("__won", (rank <= F.col("__left")).cast("long"))
     keys = [*by, order]
@@ -95,13 +98,15 @@ def _laid(docs: DataFrame, keep: list[str], weights: tuple[float, ...], share: f
     # without other columns the rows are small: they are written once; with them the texts are counted twice rather than written
     rows = sized if keep else cut(sized)
     sources = cut(targets(rows.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), weights, share, most_copies))
-    n = sources.count()
+    known = sources.agg(F.count("*").alias("n"), F.sum("target").alias("total"), F.sum(F.when(~F.col("full"), F.col("target"))).alias("open")).first()
+    n = known.n
     if not n:
         return rows.select(*keep, "__doc", "__size", F.lit(0).cast("long").alias("__source_size"), F.lit(0.0).alias("__target"), F.lit(0).cast("long").alias("__taken"))
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    block = max(1, min(block, int(total / LEAST_BLOCKS)))
-    seats = sources.withColumn("seats", F.lit(round(total / block)).cast("long"))
-    seats = cut(apportion(seats, [], "target", "seats", "source").withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_tokens))).select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("full").alias("__full"), F.col("quota").alias("__blocks"), F.col("shards").alias("__shards")))
+    block = max(1, min(block, int((known.total or 0.0) / LEAST_BLOCKS)))
+    # full sources are taken whole; only what the others share is dealt in blocks
+    seats = sources.withColumn("seats", F.lit(round((known.open or 0.0) / block)).cast("long")).withColumn("open", F.when(F.col("full"), 0.0).otherwise(F.col("target")))
+    seats = apportion(seats, [], "open", "seats", "source").withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_tokens)))
+    seats = cut(seats.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("full").alias("__full"), F.col("quota").alias("__blocks"), F.col("shards").alias("__shards")))
     most = seats.agg(F.max("__shards")).first()[0]
     rows = rows.join(small_side(seats, n), F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__shard", F.conv(F.substring("__code", 1, 8), 16, 10).cast("long") % F.col("__shards"))
     shards = cut(rows.groupBy(F.col("__source").alias("source"), F.col("__shard").alias("shard")).agg(F.sum("__size").alias("shard_size"), F.first("__blocks").alias("blocks"), F.first("__full").alias("full")))

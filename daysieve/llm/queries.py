@@ -106,7 +106,7 @@ WORD = r"'[^\x20\x09-\x0D]+'"
 
 
 def _mixing_sql() -> str:
-    """Every quotient that can win a seat is ranked, where the operator ranks those near the rounded shares."""
+    """Every quotient of every party is ranked, as many as there are seats, where the operator ranks those between two divisors."""
     return f"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS code FROM documents),
         t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -117,15 +117,15 @@ def _mixing_sql() -> str:
         f AS (SELECT *, cap <= rate * w AS filled FROM r),
         g AS (SELECT source, source_size, filled, CASE WHEN filled THEN cap ELSE (SELECT rate FROM f WHERE NOT filled ORDER BY k LIMIT 1) * w END AS target FROM f),
         size AS (SELECT greatest(1, least({mixing.BLOCK_TOKENS}, floor(sum(target) / {mixing.LEAST_BLOCKS})))::BIGINT AS block FROM g),
-        seats AS (SELECT round(sum(target) / any_value(block))::BIGINT AS n FROM g, size),
+        seats AS (SELECT round(coalesce(sum(target) FILTER (NOT filled), 0) / any_value(block))::BIGINT AS n FROM g, size),
         quotients AS (SELECT source, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, source NULLS LAST, j) AS place
-                      FROM (SELECT source, target, unnest(range(0, (target / block)::BIGINT + 40)) AS j FROM g, size)),
+                      FROM (SELECT source, target, unnest(range(0, n)) AS j FROM g, seats WHERE NOT filled)),
         blocks AS (SELECT source, count(*) FILTER (place <= n) AS blocks FROM quotients, seats GROUP BY source),
         s AS (SELECT g.*, coalesce(blocks, 0) AS blocks, greatest(1, ceil(g.source_size / {mixing.SHARD_TOKENS}))::BIGINT AS shards FROM g LEFT JOIN blocks b ON g.source IS NOT DISTINCT FROM b.source),
         rows AS (SELECT d.*, source_size, target, filled, blocks, ('0x' || substr(code, 1, 8))::BIGINT % shards AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
         shards AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(blocks) AS blocks, any_value(filled) AS filled, any_value(source_size) AS source_size FROM rows GROUP BY source, shard),
         shard_quotients AS (SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * j + 1) DESC, shard, j) AS place
-                            FROM (SELECT *, unnest(range(0, (blocks * shard_size / source_size)::BIGINT + 40)) AS j FROM shards WHERE shard_size > 0)),
+                            FROM (SELECT *, unnest(range(0, blocks)) AS j FROM shards WHERE shard_size > 0)),
         won AS (SELECT source, shard, count(*) FILTER (place <= blocks) AS quota FROM shard_quotients GROUP BY source, shard),
         quotas AS (SELECT a.source, a.shard, shard_size, CASE WHEN filled THEN 2 * shard_size ELSE least(coalesce(quota, 0) * block, 2 * shard_size) END AS quota
                    FROM size, shards a LEFT JOIN won b ON a.source IS NOT DISTINCT FROM b.source AND a.shard = b.shard),

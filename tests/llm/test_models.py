@@ -1,3 +1,4 @@
+import heapq
 import html
 import itertools
 
@@ -57,6 +58,28 @@ def test_seats_are_sainte_lague(spark):
         assert got == {i: sum(-j == i for _, j in best) for i in range(n)}
 
 
+@pytest.mark.parametrize("weights, seats", [([0.9] + [0.0001] * 1000, 1000), ([1.0] * 1000, 1), ([2.0**-i for i in range(40)] * 25, 777), ([5.0, 0.0, 1e-9], 10_000)])
+def test_seats_of_skewed_weights(spark, weights, seats):
+    """Against a heap of quotients."""
+    df = spark.createDataFrame([(i, w, seats) for i, w in enumerate(weights)], "name int, w double, seats long")
+    got = {r.name: r.quota for r in mixing.apportion(df, [], "w", "seats", "name").collect()}
+    want, heap = dict.fromkeys(range(len(weights)), 0), [(-w, i) for i, w in enumerate(weights) if w]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        _, i = heap[0]
+        want[i] += 1
+        heapq.heapreplace(heap, (-weights[i] / (2 * want[i] + 1), i))
+    assert got == want
+
+
+def test_many_small_sources_beside_a_large_one(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('word ', 60) AS text", "'a' AS source").unionByName(spark.range(2000, 5000).selectExpr("id AS doc_id", "'one two three' AS text", "concat('s', id) AS source"))
+    rows = mixing.mix(docs, weights=(1,)).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.sum("target").alias("target"), F.count("*").alias("n"), F.max("target").alias("most")).collect()
+    got = {r.source_size: r for r in rows}
+    assert abs(got[120_000].taken - got[120_000].most) <= 16 and got[3].taken == 6 * 3000
+    assert sum(r.taken for r in rows) == pytest.approx(1.5 * 129_000, abs=16)
+
+
 @pytest.mark.parametrize("fan", [2, 3, 1024])
 def test_quotas_of_many_shards(spark, fan):
     rng = np.random.default_rng(3)
