@@ -137,3 +137,30 @@ def clean_remote(c: Column) -> Column:
     url = F.regexp_replace(s, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:]+)(?::\d+)?", "$1")
     scp = F.regexp_replace(url, r"^(?:[^/@\s]+@)?([^/:\s]+):(?!//)", "$1/")
     return F.nullif(scp, F.lit(""))
+
+
+def json_objects(text: Column) -> Column:
+    """The outermost {...} of a text, in order, as they stand: braces balance, and those in strings don't count. Quotes outside of objects are no strings; an object that never closes ends the search.
+
+    The text is cut into signs (a brace, a quote, a backslash with what follows) and what lies between, and one pass over
+    these carries the depth, whether a string is open, and where the object began.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r'(?s)\\.|["{}]|[^"{}\\]+|\\'), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("begin"), F.array().cast("array<struct<b:int,e:int>>").alias("found"))
+
+    def step(s: Column, part: Column) -> Column:
+        at = s["at"] + 1
+        # a backslash only binds the next sign within a string
+        sign = F.when(s["quoted"], part).otherwise(F.substring(part, -1, 1))
+        quote = (sign == '"') & (s["depth"] > 0)
+        quoted = s["quoted"] != quote
+        opens, closes = (sign == "{") & ~s["quoted"], (sign == "}") & ~s["quoted"] & (s["depth"] > 0)
+        depth = s["depth"] + opens.cast("int") - closes.cast("int")
+        begin = F.when(opens & (s["depth"] == 0), at).otherwise(s["begin"])
+        found = F.when(closes & (depth == 0), F.array_append(s["found"], F.struct(s["begin"].alias("b"), at.alias("e")))).otherwise(s["found"])
+        return F.struct(at.alias("at"), depth.alias("depth"), quoted.alias("quoted"), begin.alias("begin"), found.alias("found"))
+
+    spans = F.aggregate(parts, start, step, lambda s: s["found"])
+    # an object that begins with the second sign of a pair leaves the backslash out
+    whole = lambda s: F.array_join(F.slice(parts, s["b"], s["e"] - s["b"] + 1), "")
+    return F.transform(spans, lambda s: F.regexp_replace(whole(s), r"^\\+", ""))

@@ -1,0 +1,184 @@
+"""More operators over the star-schema tables, with SQL that gives the same rows: trees of files, rules, objects in texts, boards.
+
+Paths, roots and rules are made of the tables' keys, so that trees, rules and texts grow with the tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import texts
+from .operators import extras, rules, state
+from .queries import table
+from .sources import inventory
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def pick(values: list[str], k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+
+
+# --- trees of files
+
+TOPS = ["work", "node_modules", "Library", "docs", "$Recycle.Bin", ".cache", "System Volume Information", "Code", "OUT"]
+LEAVES = [".git", "a.py", ".svn", "server.pem", ".env", "x.tmp", "README.md", "build.log", "notes"]
+TREE = f"""inv AS (SELECT o_orderkey AS k, o_orderdate AS at_, '/r' || (o_orderkey % 3) || '/' || ([{quoted(TOPS)}])[o_orderkey % {len(TOPS)} + 1] || '/p' || (o_custkey % 97)
+    || CASE WHEN o_orderkey % 5 = 0 THEN '/sub' || (o_custkey % 7) ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN '/a/b/c' ELSE '' END || '/' || ([{quoted(LEAVES)}])[o_custkey % {len(LEAVES)} + 1] AS path FROM orders)"""
+FOLDED = quoted(sorted({x.lower() for x in inventory.SKIP}))
+SCANNED = quoted(dict.fromkeys((*inventory.SKIP, *inventory.SCAN_SKIP)))
+REPOS = f"""dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, '[^/]*$') AS marker FROM inv),
+    found AS (SELECT dir AS path, marker, string_split(dir, '/') AS names FROM dirs WHERE len(string_split(dir, '/')) - 2 <= 4
+        AND len(list_filter(string_split(dir, '/')[3:], lambda x: starts_with(x, '.') OR lower(x) IN ({FOLDED}))) = 0)"""
+
+
+def tree(spark, d) -> DataFrame:
+    """An inventory of what stands for directories of repositories and files."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    path = F.concat(F.lit("/r"), k % 3, F.lit("/"), pick(TOPS, k), F.lit("/p"), c % 97, F.when(k % 5 == 0, F.concat(F.lit("/sub"), c % 7)).otherwise(""), F.when(k % 11 == 0, "/a/b/c").otherwise(""), F.lit("/"), pick(LEAVES, c))
+    at = F.col("o_orderdate")
+    return table(spark, d, "orders").select(path.alias("path"), at.alias("mtime"), F.when(k % 4 == 0, F.timestamp_add("YEAR", F.lit(1), at)).alias("birthtime"), F.timestamp_add("YEAR", F.lit(2), at).alias("ctime"), k.alias("size"), (c % 13).alias("c"))
+
+
+@query(f"WITH {TREE}, {REPOS} SELECT path FROM found WHERE marker = '.git' AND regexp_matches(path, '^/r[01]/')")
+def src01_repositories(spark, d):
+    """Below two roots, four levels deep; also within one another, none below directories that hold no work."""
+    return inventory.repositories(tree(spark, d), ("/r0", "/r1/"))
+
+
+@query(f"WITH {TREE}, {REPOS} SELECT path FROM found WHERE marker = '.svn' ORDER BY names LIMIT 200")
+def src07_working_copies(spark, d):
+    """The first 200 that a walk meets."""
+    return inventory.repositories(tree(spark, d), ("/r0", "/r1", "/r2"), marker=".svn", most=inventory.MOST_REPOSITORIES)
+
+
+@query(f"WITH {TREE}, {REPOS} SELECT '扫描到的 git 仓库超过 20 个，只保留前 20 个 —— 扫描目录（--root）多半开得太大了，指向真正写代码的目录会准得多' AS warning FROM found WHERE marker = '.git' HAVING count(*) > 20")
+def src01_too_many(spark, d):
+    return inventory.too_many(inventory.repositories(tree(spark, d), ("/r0", "/r1", "/r2")), 20)
+
+
+@query(f"""WITH {TREE} SELECT DISTINCT path, lower(regexp_replace(path, '^/([^/]*)/([^/]*)/.*$', '\\2')) IN ({FOLDED}) OR starts_with(split_part(path, '/', 3), '.') AS skipped FROM inv""")
+def src02_skipped(spark, d):
+    """The directory below the root by its name, whatever the case."""
+    return tree(spark, d).select("path", inventory.skips(F.element_at(F.split("path", "/"), 3)).alias("skipped")).distinct()
+
+
+SCAN = f"""{TREE}, scan AS (SELECT path, k AS size, regexp_extract(path, '[^/]*$') AS name, year(at_) AS changed, CASE WHEN k % 4 = 0 THEN year(at_) + 1 END AS born, year(at_) + 2 AS moved, at_, k FROM inv
+        WHERE NOT starts_with(regexp_extract(path, '[^/]*$'), '.') AND len(string_split(path, '/')) - 3 <= 4
+        AND len(list_filter(string_split(path, '/')[3:-2], lambda x: starts_with(x, '.') OR x IN ({SCANNED}))) = 0 AND NOT starts_with(path, '/r2/docs/')),
+    seen AS (SELECT *, CASE WHEN changed <> 1995 AND born IS DISTINCT FROM 1995 AND moved <> 1995 THEN 'other_time' WHEN starts_with(path, '/r1/work/') THEN 'in_repo' WHEN name = 'server.pem' THEN 'sensitive' WHEN name IN ('x.tmp', 'build.log', 'notes') THEN 'noise' ELSE 'hit' END AS outcome FROM scan)"""
+
+
+def _scan(spark, d) -> DataFrame:
+    repos = spark.createDataFrame([("/r1/work",)], "root string")
+    return inventory.classified(tree(spark, d), lambda t: F.year(t) == 1995, ("/r0", "/r1", "/r2"), repos, depth=4, exclude=("/r2/docs",))
+
+
+@query(f"WITH {SCAN} SELECT path, epoch_us(at_ + to_years(CASE WHEN changed = 1995 THEN 0 WHEN born = 1995 THEN 1 ELSE 2 END)) AS mtime_us, size, changed <> 1995 AS created FROM seen WHERE outcome = 'hit'")
+def src13_scan_tree(spark, d):
+    """Files changed or new in 1995: outside repositories and skipped directories, no dotted, sensitive or noise files."""
+    return inventory.hits(_scan(spark, d)).select("path", F.unix_micros("mtime").alias("mtime_us"), "size", "created")
+
+
+@query(f"WITH {SCAN} SELECT count(*) AS scanned, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS dirs, count(*) FILTER (outcome = 'in_repo') AS skipped_in_repo, count(*) FILTER (outcome = 'sensitive') AS skipped_sensitive, count(*) FILTER (outcome = 'noise') AS skipped_noise, count(*) FILTER (outcome = 'hit') >= 30 AS truncated FROM seen")
+def agg11_counters(spark, d):
+    return inventory.counters(_scan(spark, d), 30)
+
+
+@query(f"WITH {TREE} SELECT path, epoch_us(at_) AS mtime_us, k AS size FROM inv WHERE path LIKE '%.py' ORDER BY at_ DESC, path, k LIMIT 80")
+def src22_newest(spark, d):
+    """The 80 files of an ending that changed last."""
+    inv = tree(spark, d).withColumns({"kind": F.lit("file"), "path": F.concat("path", F.format_string("#%010d", "size"))})
+    return inventory.newest(inv.withColumn("path", F.concat(F.substring_index("path", "#", 1), F.lit("\x00"), F.substring_index("path", "#", -1), F.when(F.contains("path", F.lit(".py#")), ".py").otherwise(""))), 80, ".py").select(F.substring_index("path", "\x00", 1).alias("path"), F.unix_micros("mtime").alias("mtime_us"), "size")
+
+
+@query(f"WITH {TREE} SELECT path, k AS size FROM inv WHERE at_ >= TIMESTAMP '1997-06-01'")
+def src26_touched_since(spark, d):
+    return inventory.touched_since(tree(spark, d).withColumn("kind", F.lit("file")), F.lit("1997-06-01").cast("timestamp")).select("path", "size")
+
+
+# --- rules
+
+ROOTS = "roots AS (SELECT DISTINCT '/home/' || c_mktsegment || '/' || lower(c_name) AS root FROM customer)"
+RULES = "rules AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN '/home/' || p_brand WHEN p_partkey % 9 = 1 THEN 'BUILDING/customer#' || lpad((p_partkey % 1000)::VARCHAR, 9, '0') WHEN p_partkey % 9 = 2 THEN right('00' || (p_partkey % 100), 2) ELSE (p_partkey % 5000)::VARCHAR || '1' END AS match, p_name || ' ' || p_partkey AS project, p_partkey AS ordinal FROM part)"
+
+
+def _roots(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select(F.concat(F.lit("/home/"), "c_mktsegment", F.lit("/"), F.lower("c_name")).alias("root")).distinct()
+
+
+def _rules(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    match = F.when(k % 9 == 0, F.concat(F.lit("/home/"), "p_brand")).when(k % 9 == 1, F.concat(F.lit("BUILDING/customer#"), F.lpad((k % 1000).cast("string"), 9, "0"))).when(k % 9 == 2, F.lpad((k % 100).cast("string"), 2, "0")).otherwise(F.concat((k % 5000).cast("string"), F.lit("1")))
+    return table(spark, d, "part").select(match.alias("match"), F.concat_ws(" ", "p_name", k.cast("string")).alias("project"), k.alias("ordinal"))
+
+
+@query(f"WITH {ROOTS}, {RULES} SELECT root, max_by(project, ordinal) AS project FROM roots JOIN rules ON contains(root, match) GROUP BY root")
+def join07_last_rule(spark, d):
+    """Substring rules, one for each part, against the roots of all customers: the last that holds wins."""
+    return rules.last_rule(_roots(spark, d), _rules(spark, d), "root").withColumnRenamed("text", "root")
+
+
+@query(f"""WITH {ROOTS}, {RULES}, m AS (SELECT root, split_part(root, '/', 4) AS name, 'id-' || split_part(root, '/', 3) AS project FROM roots), r AS (SELECT DISTINCT match FROM rules WHERE ordinal % 50 = 0),
+    h AS (SELECT DISTINCT m.project FROM m JOIN r ON contains(m.root, match) OR contains(name, match) OR contains(project, match))
+    SELECT root, name, m.project, h.project IS NOT NULL AS excluded FROM m LEFT JOIN h ON h.project = m.project""")
+def flt11_excluded(spark, d):
+    """Exclusions by name, id and root of a project, which is a market segment here."""
+    modules = _roots(spark, d).withColumns({"name": F.element_at(F.split("root", "/"), 4), "project": F.concat(F.lit("id-"), F.element_at(F.split("root", "/"), 3))})
+    told = _rules(spark, d).where("ordinal % 50 = 0").select(F.col("match").alias("rule"))
+    return rules.excluded(modules, modules.select("project", "root"), told).select("root", "name", "project", "excluded")
+
+
+# --- objects in texts, names of logs, boards
+
+@query(r"""SELECT doc_id, md5('{"t": "' || replace(replace(coalesce(text, ''), '\', '\\'), '"', '\"') || '", "n": {"k": ' || doc_id || '}}') AS first_md5, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS n FROM documents""")
+def aux04_objects(spark, d):
+    """Objects around each document's text, whose quotes are escaped and whose braces don't count; a third of them never close."""
+    inner = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    first = F.concat(F.lit('{"t": "'), inner, F.lit('", "n": {"k": '), F.col("doc_id").cast("string"), F.lit("}}"))
+    said = F.concat(F.lit('calls "it { once: '), F.regexp_replace(first, r"^\{", ""), F.lit(' then {"a": "}"'), F.when(F.col("doc_id") % 3 == 0, "").otherwise("}"))
+    found = texts.json_objects(said)
+    rows = table(spark, d, "documents").select("doc_id", found.alias("o"), F.concat(F.lit("{ once: "), F.regexp_replace(first, r"^\{", "")).alias("whole"), first.alias("first"))
+    same = F.element_at("o", 1) == F.col("whole")
+    return rows.select("doc_id", F.when(same, F.md5(F.col("first").cast("binary"))).alias("first_md5"), F.size("o").alias("n"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN md5('t' || CASE WHEN conv_id % 3 = 1 THEN conv_id + 1 ELSE conv_id END) END AS thread FROM conversations")
+def aux04_thread_ids(spark, d):
+    """Threads of log names: one id, two (the last counts), or another name."""
+    uuid = lambda c: F.regexp_replace(F.md5(F.concat(F.lit("t"), c).cast("binary")), r"^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    i = F.col("conv_id")
+    name = F.concat(F.lit("/logs/rollout-2024-01-09T10-00-00-"), uuid(i), F.when(i % 3 == 1, F.concat(F.lit("_"), uuid(i + 1))).when(i % 3 == 2, "-extra").otherwise(""), F.lit(".jsonl"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.replace(state.thread_id(name), F.lit("-"), F.lit("")).alias("thread"))
+
+
+BOARD = "b AS (SELECT user_id AS board, event_id AS key, epoch_us(ts) AS a, epoch_us(ts) + (event_id % 7 + 1) * 3600000000 AS z FROM events)"
+
+
+@query(f"""WITH {BOARD}, p AS (SELECT x.board, x.key, x.a, x.z, count(*) FILTER (y.a <= x.a AND y.z > x.a) AS open FROM b x JOIN b y ON x.board = y.board GROUP BY ALL)
+    SELECT board, max(open) AS tracks, count(*) AS modules, 0::BIGINT AS overlaps FROM p GROUP BY board""")
+def ses14_tracks(spark, d):
+    """Each user's board of overlapping modules: as many tracks as ever are open at once, and no overlap within a track."""
+    hours = (F.col("event_id") % 7 + 1).cast("int")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("board"), F.col("event_id").alias("key"), F.col("ts").alias("start_ts"), F.timestamp_add("HOUR", hours, F.col("ts")).alias("end_ts"))
+    from pyspark.sql import Window
+
+    laid = extras.tracks(rows).withColumn("before", F.max("end_ts").over(Window.partitionBy("board", "track").orderBy("start_ts", "end_ts", "key").rowsBetween(Window.unboundedPreceding, -1)))
+    return laid.groupBy("board").agg((F.max("track") + 1).cast("long").alias("tracks"), F.count("*").alias("modules"), F.count_if(F.col("before") > F.col("start_ts")).alias("overlaps"))

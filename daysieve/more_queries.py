@@ -400,7 +400,9 @@ def src13_scan(spark, d):
 @query("SELECT count(*) AS scanned, count(*) FILTER (p_partkey % 3 = 1) AS skipped_sensitive, count(*) FILTER (p_partkey % 3 = 2) AS skipped_noise FROM part")
 def agg11_scan_counts(spark, d):
     ends = F.element_at(F.array(F.lit(".py"), F.lit(".pem"), F.lit(".tmp")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return logs.scan_counts(table(spark, d, "part").select(F.concat(F.lit("f"), "p_partkey", ends).alias("path")))
+    none = F.lit(None).cast("timestamp")
+    inv = table(spark, d, "part").select(F.concat(F.lit("f"), "p_partkey", ends).alias("path"), F.current_timestamp().alias("mtime"), none.alias("birthtime"), none.alias("ctime"))
+    return logs.scan_counts(inv, lambda t: t.isNotNull()).select("scanned", "skipped_sensitive", "skipped_noise")
 
 
 # --- titles, words, texts

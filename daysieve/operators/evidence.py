@@ -104,9 +104,9 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], how: dict[str, st
     return joined.select(*[F.when(was, F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in keys], *[pick[h](c).alias(c) for c, h in how.items()])
 
 
-def select_modules(modules: DataFrame, overrides: DataFrame, excluded: tuple[str, ...] = (), project: str = "project") -> DataFrame:
-    """modules (key, selected) after permanent exclusions and then overrides (key, chosen), which win over both."""
-    barred = F.lit(False)
+def select_modules(modules: DataFrame, overrides: DataFrame, excluded: tuple[str, ...] = (), project: str = "project", barred_by: str | None = None) -> DataFrame:
+    """modules (key, selected) after permanent exclusions and then overrides (key, chosen), which win over both. Many rules are a table: operators.rules.excluded() marks modules by a column, named by barred_by."""
+    barred = F.coalesce(F.col(barred_by), F.lit(False)) if barred_by else F.lit(False)
     for rule in excluded:
         barred = barred | (F.contains(F.coalesce(F.col(project).cast("string"), F.lit("")), F.lit(rule)) if rule else F.lit(False))
     joined = modules.join(overrides.select("key", "chosen").dropDuplicates(["key"]), "key", "left")

@@ -58,6 +58,42 @@ def mask_key(c: Column, shown: int = 4) -> Column:
     return F.when(n > 2 * shown, F.concat(F.repeat(F.lit("*"), n - shown), F.substring(c, -shown, shown))).otherwise(F.repeat(F.lit("*"), n))
 
 
-def model_json(c: Column) -> Column:
-    """The JSON between the first and the last brace of a model's answer, as a variant; null if it is none."""
-    return F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+def model_json(c: Column, required: tuple[str, ...] = ()) -> Column:
+    """The JSON between the first and the last brace of a model's answer, as a variant; null if it is none, or lacks one of the required keys."""
+    found = F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+    for key in required:
+        found = F.when(F.try_variant_get(found, f"$.{key}", "variant").isNotNull(), found)
+    return found
+
+
+def tracks(modules: DataFrame, by: str = "board") -> DataFrame:
+    """modules (by, start_ts, end_ts, ...) with track, from 0: none overlaps another of its track, and each board has as few as can be. A module takes the lowest track that is free where it starts; ties go by end and by key, if there is such a column.
+
+    Where nothing of a board lies across an instant, all tracks are free, so stretches between such instants are laid out by themselves.
+    """
+    import heapq
+
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    order = ["start_ts", "__end", *(["key"] if "key" in modules.columns else [])]
+    rows = modules.withColumn("__end", F.greatest("start_ts", F.coalesce("end_ts", "start_ts")))
+    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__new", (F.col("start_ts") >= F.max("__end").over(before)).cast("int"))
+    rows = rows.withColumn("__stretch", F.coalesce(F.sum("__new").over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    out = modules.schema.names
+
+    def laid(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in order])
+        free: list[int] = []
+        busy: list[tuple] = []
+        track = []
+        for start, end in zip(group.column("start_ts").cast(pa.int64()).to_pylist(), group.column("__end").cast(pa.int64()).to_pylist()):
+            while busy and busy[0][0] <= start:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            track.append(heapq.heappop(free) if free else len(busy))
+            heapq.heappush(busy, (end, track[-1]))
+        return group.select(out).append_column("track", pa.array(track, pa.int32()))
+
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in modules.schema.fields)
+    return rows.where("start_ts IS NOT NULL").groupBy(by, "__stretch").applyInArrow(laid, f"{given}, track int")

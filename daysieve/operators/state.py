@@ -86,6 +86,14 @@ def command_text(parts: Column) -> Column:
     return collapse(F.when(F.coalesce(wrapped, F.lit(False)), F.try_element_at(parts, F.lit(-1))).otherwise(F.array_join(parts, " ")))
 
 
+def thread_id(file: Column) -> Column:
+    """The thread that a log named rollout-time-id[_id...].jsonl belongs to, the last id; null for other names."""
+    from ..functions.texts import base_name
+
+    ids = F.regexp_extract(base_name(file), r"(?i)^rollout-\d{4}-\d{2}-\d{2}T[\d-]+-((?:[0-9a-f-]{36}_)*[0-9a-f-]{36})\.jsonl$", 1)
+    return F.nullif(F.element_at(F.split(ids, "_"), -1), F.lit(""))
+
+
 def cached(rows: DataFrame, path: str, taken_at: Column | None = None, seconds: int = 120) -> DataFrame:
     """rows as written at path if that is younger than `seconds`, else written there anew. What is written is complete or not there."""
     spark = rows.sparkSession

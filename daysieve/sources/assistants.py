@@ -288,30 +288,77 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 FALLBACKS: dict[str, tuple] = {"codebuddy": (generic,), "workbuddy": (typed_lines, generic), **dict.fromkeys(("copilot-chat", "antigravity", "trae", "windsurf"), (generic,))}
 
 
-def read_sessions(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame | None, dict[str, str]]:
-    """All messages with their provider, and what became of each provider: ok, empty, absent or unknown."""
-    from pyspark.errors import AnalysisException
+#: Readers of lines and of whole documents, which take contents that were read file by file.
+_OF_LINES = (typed_lines, call_lines, model_io_lines, rollout_lines)
+_OF_DOCUMENTS = (message_documents, request_documents, ui_events, generic)
 
-    found, report = None, {}
-    for provider, path in paths.items():
-        if provider not in READERS:
-            report[provider] = "unknown"
-            continue
-        try:
-            rows, empty = READERS[provider](spark, path), True
-            for other in (*FALLBACKS.get(provider, ()), None):
-                empty = rows.isEmpty()
-                if not empty or other is None:
-                    break
-                rows = other(spark, path)
-            rows = rows.withColumn("provider", F.lit(provider))
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            report[provider] = "absent"
-            continue
-        report[provider] = "empty" if empty else "ok"
-        found = rows if found is None else found.unionByName(rows)
-    return found, report
 
+def _own_folders(spark: SparkSession, reader: Callable, path: str) -> DataFrame | None:
+    """What a reader with folders of its own finds; None where there are none."""
+    from pyspark.errors import AnalysisException
 
+    try:
+        return reader(spark, path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def read_sessions(spark: SparkSession, paths: dict[str, str], depth: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Messages with their provider, and a report (provider, status, files, unread, sessions, error) of each.
+
+    A path is a file or a folder. Each file is opened once, by the task that returns its lines, and what becomes of it
+    is a row as well, so a broken one takes nothing with it: status is ok, empty, absent, unknown, or denied or failed if
+    no file could be read. Where the messages of a reader's fallbacks are asked for is decided by counts in the same
+    plan, so nothing runs until a result is. What was read is kept on disk by persist().
+    """
+    from pyspark import StorageLevel
+
+    from .files import read_contents
+    from .files import report as file_report
+    from .inventory import walk
+
+    every, reports, taken = [], [], {}
+    for provider in (p for p in paths if p in READERS):
+        path, readers = paths[provider], (READERS[provider], *FALLBACKS.get(provider, ()))
+        files = None
+        for choice, reader in enumerate(readers):
+            if reader in _OF_LINES or reader in _OF_DOCUMENTS:
+                if files is None:
+                    found = walk(spark, [path], depth=depth, skip=("node_modules", ".git"), dots=False)
+                    own = spark.createDataFrame([(path.removeprefix("file://"), None)], "path string, mtime timestamp")
+                    listed = found.where("kind = 'file'").select("path", "mtime")
+                    # a root that is a file, or can't be listed, stands for itself
+                    files = listed.unionByName(own.join(listed.limit(1).select(F.lit(1).alias("__any")), how="left").where("__any IS NULL").drop("__any"))
+                whole = reader in _OF_DOCUMENTS
+                if (provider, whole) not in taken:
+                    taken[provider, whole] = read_contents(files, whole, ("mtime",)).persist(StorageLevel.DISK_ONLY)
+                    if not choice:
+                        reports.append(file_report(taken[provider, whole], ()).select(F.lit(provider).alias("provider"), "*"))
+                contents = taken[provider, whole].where("value IS NOT NULL")
+                rows = reader(spark, contents.drop("status", "error"))
+            else:
+                rows = _own_folders(spark, reader, path)
+                if rows is None:
+                    reports.append(spark.createDataFrame([(provider, "absent", 0, 0, 0, None)], "provider string, status string, files bigint, unread bigint, rows bigint, error string"))
+                    continue
+                reports.append(spark.createDataFrame([(provider, "ok", None, None, None, None)], "provider string, status string, files bigint, unread bigint, rows bigint, error string"))
+            every.append(rows.select(*MESSAGES, F.lit(provider).alias("provider"), F.lit(choice).alias("__choice")))
+    messages = None
+    for rows in every:
+        messages = rows if messages is None else messages.unionByName(rows)
+    if messages is None:
+        messages = spark.createDataFrame([], "session_id string, seq bigint, role string, text string, ts timestamp, is_final boolean, cwd string, kind string, provider string, __choice int")
+    # a provider has one row here, of which there are no more than registered readers
+    counts = messages.groupBy("provider", "__choice").agg(F.count_distinct("session_id").alias("sessions"))
+    first = counts.groupBy("provider").agg(F.min("__choice").alias("__choice"), F.min_by("sessions", "__choice").alias("sessions"))
+    known = None
+    for rows in reports:
+        known = rows if known is None else known.unionByName(rows)
+    unknown = spark.createDataFrame([(p, "unknown", 0, 0, 0, None) for p in paths if p not in READERS], "provider string, status string, files bigint, unread bigint, rows bigint, error string")
+    known = unknown if known is None else known.unionByName(unknown)
+    known = known.join(F.broadcast(first.drop("__choice")), "provider", "left")
+    status = F.when((F.col("status") == "ok") & F.col("sessions").isNull(), "empty").otherwise(F.col("status"))
+    report = known.select("provider", status.alias("status"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("unread", F.lit(0)).alias("unread"), F.coalesce("sessions", F.lit(0)).alias("sessions"), "error")
+    return messages.join(F.broadcast(first.drop("sessions")), ["provider", "__choice"]).select(*MESSAGES, "provider"), report

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names
 from ..functions.redact import is_credential_command
 from ..functions.texts import base_name, collapse, cut
+from .inventory import classified, counters, hits, skips
 
 MOST_COMMAND = 300
 CHROMIUM_MS, SAFARI_S = 11_644_473_600_000, 978_307_200
@@ -32,6 +32,11 @@ def collect_shell(commands: DataFrame, holds: Column | None = None) -> DataFrame
     return rows.where(~is_credential_command(F.col("cmd"))).dropDuplicates(["id"])
 
 
+def shell_counts(commands: DataFrame, holds: Column) -> DataFrame:
+    """One row on the commands of a range: total and skipped_credential, those that carry credentials."""
+    return commands.where(holds).agg(F.count("*").alias("total"), F.count_if(is_credential_command(F.col("cmd"))).alias("skipped_credential"))
+
+
 def chromium_visits(visits: DataFrame, urls: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(ts, url, title, secs, term) of visits (url, visit_time, transition, visit_duration) and urls (id, url, title, hidden)."""
     core = F.col("transition").bitwiseAND(F.lit(255))
@@ -60,32 +65,19 @@ def safari_visits(visits: DataFrame, items: DataFrame) -> DataFrame:
     return v.join(items.select("id", "url"), "id").select(F.timestamp_millis(ms).alias("ts"), "url", "title", F.lit(0.0).alias("secs"), F.lit(None).cast("string").alias("term"))
 
 
-def scan_files(inventory: DataFrame, in_range, repos: DataFrame | None = None, everything: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(path, mtime, size, created) of an inventory (path, mtime, birthtime, ctime, size): work files changed or new in a range, outside repositories.
-
-    in_range maps an instant column to a condition. mtime becomes the time that lies in the range; a file that only came then is created.
-    """
-    from ..operators.attribution import outside
-
-    name = base_name(F.col("path"))
-    born, moved = F.coalesce("birthtime", F.lit(None)), F.col("ctime")
-    at = F.when(in_range(F.col("mtime")), F.col("mtime")).when(in_range(born), born).when(in_range(moved), moved)
-    rows = inventory.where(~names.is_sensitive(name) & names.is_work(name, everything, extra)).withColumn("created", ~F.coalesce(in_range(F.col("mtime")), F.lit(False))).withColumn("mtime", at).where("mtime IS NOT NULL")
-    if repos is not None:
-        rows = outside(rows, repos)
-    return rows.select("path", "mtime", "size", "created")
+def scan_files(inventory: DataFrame, in_range, repos: DataFrame | None = None, everything: bool = False, extra: tuple[str, ...] = (), roots: tuple[str, ...] | None = None, depth: int | None = None, most: int | None = None) -> DataFrame:
+    """(path, mtime, size, created) of an inventory (path, mtime, birthtime, ctime, size): work files changed or new in a range, outside repositories and directories that hold no work. With most, no more than so many."""
+    return hits(classified(inventory, in_range, roots, repos, depth, everything=everything, extra=extra), most)
 
 
-def scan_counts(inventory: DataFrame, everything: bool = False) -> DataFrame:
-    """One row: scanned, sensitive and noise files."""
-    name = base_name(F.col("path"))
-    sensitive = names.is_sensitive(name)
-    return inventory.agg(F.count("*").alias("scanned"), F.count_if(sensitive).alias("skipped_sensitive"), F.count_if(~sensitive & ~names.is_work(name, everything)).alias("skipped_noise"))
+def scan_counts(inventory: DataFrame, in_range, repos: DataFrame | None = None, everything: bool = False, roots: tuple[str, ...] | None = None, depth: int | None = None, most: int | None = None) -> DataFrame:
+    """One row about such a scan: scanned, dirs, skipped_in_repo, skipped_sensitive, skipped_noise, truncated."""
+    return counters(classified(inventory, in_range, roots, repos, depth, everything=everything), most)
 
 
-def in_skipped_directory(path: Column, skip: tuple[str, ...] = ("node_modules", "dist", "build", "target", "vendor", "venv", "__pycache__", "library", "appdata", "windows", "program files")) -> Column:
-    """Whether a directory of the path is hidden or one that holds no work."""
-    return F.exists(F.filter(F.split(path, r"[/\\]"), lambda d: d != ""), lambda d: d.startswith(".") | F.lower(d).isin(*skip))
+def in_skipped_directory(path: Column) -> Column:
+    """Whether a directory of the path is hidden or one that the search for repositories leaves out."""
+    return F.exists(F.filter(F.split(F.regexp_extract(path, r"^(.*)[/\\\\][^/\\\\]*$", 1), r"[/\\\\]"), lambda d: d != ""), skips)
 
 
 def with_outlines(files: DataFrame, contents: DataFrame) -> DataFrame:

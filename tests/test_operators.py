@@ -279,6 +279,7 @@ def test_assistant_logs(spark, tmp_path):
     (tmp_path / "ui.json").write_text('[{"ts":1704794400000,"type":"say","say":"text","text":"task"},{"ts":1704794401000,"type":"say","say":"completion_result","text":"ok"},{"ts":1704794402000,"type":"ask","ask":"command","text":"ls"}]')
     p = lambda n: str(tmp_path / n)
     got, report = assistants.read_sessions(spark, {"claude-code": p("typed.jsonl"), "codex": p("rollout.jsonl"), "gemini-cli": p("doc.json"), "copilot-chat": p("req.json"), "cline": p("ui.json"), "qwen-code": p("none.json"), "own": "x"})
+    report = {r.provider: r.status for r in report.collect()}
     assert report == {"claude-code": "ok", "codex": "ok", "gemini-cli": "ok", "copilot-chat": "ok", "cline": "ok", "qwen-code": "absent", "own": "unknown"}
     said = {k: [(r.role, r.text) for r in sorted(got.where(F.col("provider") == k).collect(), key=lambda r: r.seq)] for k in ("claude-code", "codex", "gemini-cli", "copilot-chat", "cline")}
     assert said["claude-code"] == [("user", "fix it"), ("assistant", "done"), ("action", "make")]
