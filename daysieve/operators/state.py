@@ -95,18 +95,11 @@ def thread_id(file: Column) -> Column:
 
 
 def cached(rows: DataFrame, path: str, taken_at: Column | None = None, seconds: int = 120) -> DataFrame:
-    """rows as written at path if that is younger than `seconds`, else written there anew. What is written is complete or not there."""
-    spark = rows.sparkSession
+    """rows as written at path if that is younger than `seconds`, else written there anew, as a version of its own: who reads an older one ends with it."""
+    from ..sinks.tables import snapshot
+
     now = F.current_timestamp() if taken_at is None else taken_at
-    try:
-        stored = spark.read.parquet(path)
-        if not stored.where(F.col("__taken_at") > now - F.make_interval(secs=F.lit(seconds))).isEmpty():
-            return stored.drop("__taken_at")
-    except Exception as e:  # noqa: BLE001  not there yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    rows.withColumn("__taken_at", now).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).drop("__taken_at")
+    return snapshot(rows, path, rows.sparkSession.range(1).select(F.unix_micros(now)).first()[0], seconds)
 
 
 def changed_documents(new: DataFrame, stored: DataFrame, key: str, text: str = "markdown") -> DataFrame:
