@@ -102,12 +102,33 @@ SECTIONS = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY project, blo
     alts AS (SELECT project, block, kind, same, string_agg(source_id, ',' ORDER BY ts, ordinal) FILTER (place BETWEEN 2 AND 5) AS alts FROM placed GROUP BY ALL),
     files AS (SELECT project, block, string_agg(label, '、' ORDER BY k) FILTER (k <= 8) || CASE WHEN count(*) > 8 THEN ' 等 ' || count(*) || ' 个' ELSE '' END AS shown
         FROM (SELECT project, block, label, row_number() OVER (PARTITION BY project, block ORDER BY min((ts, ordinal))) AS k FROM kept WHERE kind = 'file' GROUP BY project, block, label) GROUP BY ALL),
-    lines AS (SELECT project, block, '提交「' || label || '」' AS text, source_id AS ids FROM ranked WHERE kind = 'commit'
-        UNION ALL SELECT project, block, '提问：' || label || CASE WHEN repeats > 1 THEN '（重复 ' || repeats || ' 次）' ELSE '' END, concat_ws(',', source_id, alts) FROM ranked LEFT JOIN alts USING (project, block, kind, same) WHERE kind = 'prompt' AND n <= 12
-        UNION ALL SELECT project, block, '另有 ' || count(*) || ' 条提问', string_agg(source_id, ',' ORDER BY n) FILTER (n <= 18) FROM ranked WHERE kind = 'prompt' AND n > 12 GROUP BY ALL
-        UNION ALL SELECT project, block, '终端里敲了：' || {_SHOWN} || CASE WHEN count(*) > 6 THEN ' 等 ' || count(*) || ' 条' ELSE '' END, {_IDS} FROM ranked WHERE kind = 'shell' GROUP BY ALL
-        UNION ALL SELECT project, block, '联网搜索：' || {_SHOWN.replace("'`' || label || '`'", "'「' || label || '」'")} || CASE WHEN count(*) > 6 THEN ' 等 ' || count(*) || ' 次' ELSE '' END, {_IDS} FROM ranked WHERE kind = 'action-search' GROUP BY ALL
-        UNION ALL SELECT project, block, '改动文件：' || any_value(shown), {_IDS} FROM ranked JOIN files USING (project, block) WHERE kind = 'file' GROUP BY ALL)"""
+    lines AS (SELECT project, block, '提交「' || label || '」' AS text, source_id AS ids, 3 AS part, ts AS o0, ordinal::VARCHAR AS o1, 0 AS o2 FROM ranked WHERE kind = 'commit'
+        UNION ALL SELECT project, block, '提问：' || label || CASE WHEN repeats > 1 THEN '（重复 ' || repeats || ' 次）' ELSE '' END, concat_ws(',', source_id, alts), 4, NULL, '', n - 100 FROM ranked LEFT JOIN alts USING (project, block, kind, same) WHERE kind = 'prompt' AND n <= 12
+        UNION ALL SELECT project, block, '另有 ' || count(*) || ' 条提问', string_agg(source_id, ',' ORDER BY n) FILTER (n <= 18), 4, NULL, '', 9 FROM ranked WHERE kind = 'prompt' AND n > 12 GROUP BY ALL
+        UNION ALL SELECT project, block, '终端里敲了：' || {_SHOWN} || CASE WHEN count(*) > 6 THEN ' 等 ' || count(*) || ' 条' ELSE '' END, {_IDS}, 7, min(ts), '', 0 FROM ranked WHERE kind = 'shell' GROUP BY ALL
+        UNION ALL SELECT project, block, '联网搜索：' || {_SHOWN.replace("'`' || label || '`'", "'「' || label || '」'")} || CASE WHEN count(*) > 6 THEN ' 等 ' || count(*) || ' 次' ELSE '' END, {_IDS}, 8, min(ts), '', 0 FROM ranked WHERE kind = 'action-search' GROUP BY ALL
+        UNION ALL SELECT project, block, '改动文件：' || any_value(shown), {_IDS}, 5, NULL, '', 0 FROM ranked JOIN files USING (project, block) WHERE kind = 'file' GROUP BY ALL)"""
+
+#: The text of each document, from its modules' and facts' lines on.
+DOCUMENTS = r"""st AS (SELECT project, block, min(ts) AS start_ts, max(ts) AS end_ts, list(source_id ORDER BY ts, ordinal) AS ids, count(*) FILTER (kind = 'commit') AS commits, count(*) FILTER (kind = 'prompt') AS prompts,
+        count(*) FILTER (kind = 'shell') AS shell, count(*) FILTER (kind = 'action-search') AS searches, count(DISTINCT regexp_extract(label, '[^/]+$')) FILTER (kind = 'file') AS files FROM kept GROUP BY project, block),
+    m AS (SELECT *, strftime(start_ts, '%Y-%m-%d %H') AS day, project || '@' || block AS key, block % 7 = 0 AS barred,
+        coalesce(nullif(concat_ws(' · ', CASE WHEN commits > 0 THEN commits || ' 提交' END, CASE WHEN prompts > 0 THEN prompts || ' 提问' END, CASE WHEN shell > 0 THEN shell || ' 终端命令' END, CASE WHEN searches > 0 THEN searches || ' 搜索' END, CASE WHEN files > 0 THEN files || ' 文件' END), ''), '无') AS line,
+        strftime(start_ts, '%H:%M') || CASE WHEN floor((epoch_ms(end_ts) - epoch_ms(start_ts)) / 60000.0 + 0.5) > 0 THEN '–' || strftime(end_ts, '%H:%M') ELSE '' END AS hours FROM st),
+    n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY prompts DESC, start_ts, key) AS nth FROM m WHERE NOT barred),
+    e AS (SELECT day, 0 AS sec, nth, 0 AS seq, nth || '. **' || key || '**（' || project || '，' || line || '）' AS text, ids[1:2] AS ids FROM n WHERE nth <= 5
+        UNION ALL SELECT day, 1, nth, 0, chr(10) || '### ' || key || chr(10) || chr(10) || '_' || concat_ws(' ｜ ', project, hours, '类', line) || '_' || chr(10), [] FROM n
+        UNION ALL SELECT day, 1, nth, row_number() OVER (PARTITION BY project, block ORDER BY part, o0 NULLS FIRST, o1, o2), '- ' || text, string_split(l.ids, ',')[1:6] FROM lines l JOIN n USING (project, block)),
+    c AS (SELECT day, sec, nth, seq, unnest(ids) AS sid, generate_subscripts(ids, 1) AS i FROM e),
+    num AS (SELECT day, sid, row_number() OVER (PARTITION BY day ORDER BY min((sec, nth, seq, i))) AS number FROM c GROUP BY day, sid),
+    marks AS (SELECT day, sec, nth, seq, string_agg('[^ev' || number || ']', '' ORDER BY i) AS marks FROM c JOIN num USING (day, sid) GROUP BY ALL),
+    notes AS (SELECT day, string_agg('[^ev' || number || ']: e `' || substr(sid, 3) || '`', chr(10) ORDER BY number) AS notes FROM num GROUP BY day),
+    docs AS (SELECT day, string_agg(text || coalesce(marks, ''), chr(10) ORDER BY nth) FILTER (sec = 0) AS top, string_agg(text || coalesce(marks, ''), chr(10) ORDER BY nth, seq) FILTER (sec = 1) AS body, count(*) FILTER (sec = 0 OR seq > 0) AS facts FROM e LEFT JOIN marks USING (day, sec, nth, seq) GROUP BY day),
+    lefts AS (SELECT day, count(*) FILTER (barred) AS barred FROM m GROUP BY day),
+    written AS (SELECT day, '# ' || day || chr(10) || chr(10) || CASE WHEN body IS NULL THEN '今天没有可写进日记的内容。' || chr(10) ELSE '## 今日重点' || chr(10) || chr(10) || top || chr(10) || chr(10) || '## 明细' || chr(10) || body || chr(10) END
+        || CASE WHEN barred > 0 THEN chr(10) || '> 另有 ' || barred || ' 个模块被排除，未写入本篇。' || chr(10) ELSE '' END
+        || CASE WHEN body IS NULL THEN '' ELSE chr(10) || '---' || chr(10) || chr(10) || notes || chr(10) || chr(10) || '> 由 规则生成：' || facts || ' 条，confirmed ' || facts || '，inferred 0，unverified 0。' || chr(10) END AS markdown
+        FROM lefts LEFT JOIN docs USING (day) LEFT JOIN notes USING (day))"""
 
 
 @query(_with(ITEMS, BLOCKS, KEPT, view="action-search", gap=720) + f", {SECTIONS} SELECT project, block, text, ids FROM lines")
@@ -117,15 +138,16 @@ def out01_sections(spark, d):
     return facts.select("project", "block", "text", F.array_join("source_ids", ",").alias("ids"))
 
 
-@query(_with(ITEMS, BLOCKS, KEPT, STATS, view="action-search", gap=720) + f", {SECTIONS} SELECT m.day, count(*) AS documents, sum(facts)::BIGINT AS facts FROM (SELECT strftime(start_ts, '%Y-%m-%d') AS day, project, block FROM modules) m JOIN (SELECT project, block, count(*) AS facts FROM lines GROUP BY ALL) USING (project, block) GROUP BY ALL")
+@query(_with(ITEMS, BLOCKS, KEPT, view="action-search", gap=45) + f", {SECTIONS}, {DOCUMENTS} SELECT day, length(markdown) AS signs, md5(markdown) AS digest FROM written")
 def out02_markdown(spark, d):
-    """A document for each day: its sections and lines are counted again from the Markdown."""
-    kept = day.blocks(items(spark, d, "action-search"), 720)
-    modules = s.describe(kept).withColumns({"selected": F.lit(True), "day": F.date_format("start_ts", "yyyy-MM-dd"), "key": F.concat_ws("@", "project", "block")})
-    ev = kept.select(F.substring_index("source_id", ":", 1).alias("source_type"), F.substring("source_id", 3, 20).alias("source_ref"), F.col("ts").alias("occurred_at"), F.col("label").alias("excerpt"), F.lit("").alias("path"), F.lit("").alias("path_alias"))
+    """A document for each hour in which modules begin, compared as a whole: highlights, sections, marks, footnotes, counts and what was left out."""
+    every = items(spark, d, "action-search")
+    kept = day.blocks(every, 45).persist()  # modules and facts both come from it
+    named = {"key": F.concat_ws("@", "project", "block"), "title": F.concat_ws("@", "project", "block"), "day": F.date_format("start_ts", "yyyy-MM-dd HH"), "selected": F.col("block") % 7 != 0, "score": F.col("prompts").cast("double"), "category": F.lit("类")}
+    modules = s.describe(kept).withColumns(named)
+    ev = every.select(F.substring_index("source_id", ":", 1).alias("source_type"), F.substring("source_id", 3, 20).alias("source_ref"), F.col("ts").alias("occurred_at"), F.col("label").alias("excerpt"), F.lit("").alias("path"), F.lit("").alias("path_alias"))
     written = report.markdown(modules, report.section_facts(kept), ev, "day")
-    lines = F.split("markdown", "\n")
-    return written.select("day", F.size(F.filter(lines, lambda x: x.startswith("### "))).cast("long").alias("documents"), F.size(F.filter(lines, lambda x: x.rlike(r"^ *- "))).cast("long").alias("facts"))
+    return written.select("day", F.length("markdown").cast("long").alias("signs"), F.md5(F.col("markdown").cast("binary")).alias("digest"))
 
 
 _KINDS = ["commit", "svn-commit", "worktree", "svn-worktree", "session", "session-reply", "session-action", "web", "note", "image", "shell", "clone", "file", "other"]

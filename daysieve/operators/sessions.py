@@ -19,6 +19,8 @@ FILE_KINDS = ["file", "action-file", "worktree"]
 TALK_KINDS = ["prompt", "action-command", "action-search"]
 DEDUPED_KINDS = ["prompt", "action-command", "action-search", "reply", "shell"]
 GAP_MINUTES = 90
+#: Slices of time that a timeline is dealt by.
+SLICE_MINUTES = 60
 BURST_SECONDS, BURST_FILES, BURST_SHARE = 5, 8, 0.8
 OPTIONAL = {"prompt_source_id": "string", "session_title": "string", "provider": "string", "outline": "array<string>", "outline_kind": "string", "created": "boolean", "url": "string", "host": "string", "term": "string", "secs": "double"}
 
@@ -28,11 +30,12 @@ def complete(items: DataFrame) -> DataFrame:
     return items.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in items.columns}).where("ts IS NOT NULL")
 
 
-def split_by_gap(items: DataFrame, gap_minutes: float = GAP_MINUTES, by: tuple[str, ...] = ("project",), sticky: str = "reply") -> DataFrame:
+def split_by_gap(items: DataFrame, gap_minutes: float = GAP_MINUTES, by: tuple[str, ...] = ("project",), sticky: str = "reply", slice_minutes: int = SLICE_MINUTES) -> DataFrame:
     """items with block: numbered from 1, anew after more than gap_minutes since the item before, unless it is sticky.
 
-    A project's timeline is worked on by days, so a busy project is many tasks: gaps within a day are counted there, and
-    one row a day (its first and last item, its blocks) tells where its numbers start.
+    A project's timeline is worked on by slices of time, so a busy project, and a busy day of it, are many tasks: gaps
+    within a slice are counted there, and one row a slice that has items (its first and last one, its blocks) tells where
+    its numbers start. The slices' length changes no result.
     """
     day = [*by, "__day"]
     in_day = Window.partitionBy(*day).orderBy("ts", "ordinal")
@@ -42,7 +45,7 @@ def split_by_gap(items: DataFrame, gap_minutes: float = GAP_MINUTES, by: tuple[s
         late = (kind != sticky) & (F.unix_micros(ts) - F.unix_micros(before) > int(gap_minutes * 60_000_000))
         return F.when(before.isNull(), F.lit(first)).otherwise(F.coalesce(late, F.lit(False))).cast("long")
 
-    rows = items.withColumn("__day", F.to_date("ts"))
+    rows = items.withColumn("__day", F.expr(f"floor(unix_micros(ts) / {slice_minutes * 60_000_000}L)"))
     rows = rows.withColumn("__opens", opens(F.col("kind"), F.col("ts"), F.lag("ts").over(in_day), False))
     days = rows.groupBy(*day).agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"), F.min_by("kind", F.struct("ts", "ordinal")).alias("__kind"), F.sum("__opens").alias("__more"))
     days = days.withColumn("__new", opens(F.col("__kind"), F.col("__first"), F.lag("__last").over(over_days), True))
@@ -83,19 +86,22 @@ def stats() -> dict[str, Column]:
     is_file = F.col("kind").isin(FILE_KINDS)
     web = F.col("kind") == "web"
     name = base_name(F.col("label"))
+    # a block's names are few: as sets they combine before the shuffle, where distinct counts would expand each row
+    distinct = lambda c: F.size(F.collect_set(c)).cast("long")
     return {
         "commits": _count("commit"),
         "clones": _count("clone"),
         "prompts": _count("prompt"),
         "replies": _count("reply"),
-        "files": F.count_distinct(F.when(is_file, name)),
-        "created_files": F.count_distinct(F.when(is_file & F.coalesce("created", F.lit(False)), name)),
+        "files": distinct(F.when(is_file, name)),
+        "created_files": distinct(F.when(is_file & F.coalesce("created", F.lit(False)), name)),
         "commands": _count("action-command"),
         "shell": _count("shell"),
         "searches": _count("action-search"),
-        "pages": F.count_distinct(F.when(web, F.coalesce("url", "source_id"))),
-        "sites": F.count_distinct(F.when(web, F.col("host"))),
-        "secs": F.floor(F.coalesce(F.sum(F.when(web, F.col("secs"))), F.lit(0.0)) + 0.5).cast("long"),
+        "pages": distinct(F.when(web, F.coalesce("url", "source_id"))),
+        "sites": distinct(F.when(web, F.col("host"))),
+        # sums of the same seconds in another order differ by less than a microsecond
+        "secs": F.floor(F.round(F.coalesce(F.sum(F.when(web, F.col("secs"))), F.lit(0.0)), 6) + 0.5).cast("long"),
         "notes": _count("note"),
         "images": _count("image"),
     }
@@ -126,12 +132,17 @@ def bursts(items: DataFrame, seconds: float = BURST_SECONDS, least: int = BURST_
     return best.withColumn("burst", (F.col("burst_files") >= least) & (F.col("burst_best") >= F.ceil(F.col("burst_files") * share)))
 
 
-def _top(items: DataFrame, by: list[str], value: Column, n: int | None, name: str, weight: Column | None = None) -> DataFrame:
-    """(by, name array, name_all long): the n most frequent values, the first seen before others as frequent."""
-    weight = F.lit(1) if weight is None else weight
-    counted = items.withColumn("__v", value).where("__v IS NOT NULL AND __v <> ''").groupBy(*by, "__v").agg(F.sum(weight).alias("__n"), F.min(F.struct("ts", "ordinal")).alias("__first"))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("__n")).alias("n"), F.col("__first").alias("first"), F.col("__v").alias("v"))))
-    return counted.groupBy(*by).agg(F.transform(ranked if n is None else F.slice(ranked, 1, n), lambda x: x["v"]).alias(name), F.count("*").alias(f"{name}_all"))
+def _tops(items: DataFrame, by: list[str], sides: dict[str, tuple[Column, int | None, Column]]) -> DataFrame:
+    """(by, name array, name_all long, ...) for each of sides (value, n, weight): the n most frequent values, the first seen before others as frequent; all of them in one pass. Null where a block has none."""
+    every = F.array(*(F.struct(F.lit(name).alias("side"), value.alias("v"), weight.cast("long").alias("w")) for name, (value, _, weight) in sides.items()))
+    items = items.select(*by, "ts", "ordinal", F.explode(F.filter(every, lambda x: x["v"] != "")).alias("__x")).select(*by, "ts", "ordinal", "__x.*")
+    counted = items.groupBy(*by, "side", "v").agg(F.sum("w").alias("__n"), F.min(F.struct("ts", "ordinal")).alias("__first"))
+    own = {name: F.sort_array(F.collect_list(F.when(F.col("side") == name, F.struct((-F.col("__n")).alias("n"), F.col("__first").alias("first"), "v")))) for name in sides}
+    out = []
+    for name, (_, n, _) in sides.items():
+        values = F.transform(own[name] if n is None else F.slice(own[name], 1, n), lambda x: x["v"])
+        out += [F.when(F.size(own[name]) > 0, values).alias(name), F.nullif(F.size(own[name]), F.lit(0)).cast("long").alias(f"{name}_all")]
+    return counted.groupBy(*by).agg(*out)
 
 
 def describe(blocks: DataFrame, by: tuple[str, ...] = ("project", "block")) -> DataFrame:
@@ -166,11 +177,10 @@ def describe(blocks: DataFrame, by: tuple[str, ...] = ("project", "block")) -> D
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("ts", "ordinal", "source_id"))), lambda x: x["source_id"])).alias("source_ids"),
     )
     rows = rows.withColumn("duration_min", duration_minutes(F.col("start_ts"), F.col("end_ts"))).withColumn("score", score(F.col("duration_min"))).withColumn("category", category())
-    files = blocks.where(is_file)
     word = F.regexp_replace(F.element_at(F.split(F.trim(F.col("label")), r"\s+"), 1), r"^.*[\\/]", "")
     parent = F.when(dir_name(F.col("label")) != ".", dir_name(F.col("label")))
-    for side in (_top(files, keys, parent, 2, "dirs"), _top(files, keys, ext, 3, "exts"), _top(blocks.where("kind = 'shell'"), keys, word, 3, "words", F.col("repeats")), _top(blocks, keys, F.col("provider"), None, "tools")):
-        rows = rows.join(side, keys, "left")
+    sides = {"dirs": (F.when(is_file, parent), 2, F.lit(1)), "exts": (F.when(is_file, ext), 3, F.lit(1)), "words": (F.when(kind == "shell", word), 3, F.col("repeats")), "tools": (F.col("provider"), None, F.lit(1))}
+    rows = rows.join(_tops(blocks, keys, sides), keys, "left")
     return rows.withColumn("title", title()).drop("t_commit", "t_clone", "t_session", "t_prompt", "t_search", "t_shell", "t_outline", "dirs", "dirs_all", "exts", "exts_all", "words", "words_all", "tools_all")
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import to_title
 from ..functions.times import duration_minutes
-from .sessions import _top, score, split_by_gap, stats
+from .sessions import _tops, score, split_by_gap, stats
 
 GAP_MINUTES = 30
 LEAST_PAGES = 3
+#: Visits of all people stand in one timeline, so they are dealt by shorter slices than projects are.
+SLICE_MINUTES = 5
 
 
 def _pages(visits: DataFrame, by: list[str], more: tuple[str, ...] = ()) -> DataFrame:
@@ -45,7 +47,7 @@ def visits_of(visits: DataFrame, pages: DataFrame) -> DataFrame:
 def web_blocks(visits: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
     """(block, url, ...): sessions of visits, each page once in its session."""
     rows = visits.where("ts IS NOT NULL AND url IS NOT NULL").withColumns({"project": F.lit("web"), "kind": F.lit("visit")})
-    return _pages(split_by_gap(rows, gap_minutes), ["block"])
+    return _pages(split_by_gap(rows, gap_minutes, slice_minutes=SLICE_MINUTES), ["block"])
 
 
 def web_modules(visits: DataFrame, gap_minutes: float = GAP_MINUTES, least: int = LEAST_PAGES) -> DataFrame:
@@ -56,7 +58,7 @@ def web_modules(visits: DataFrame, gap_minutes: float = GAP_MINUTES, least: int
     items = items.join(size, "block").withColumn("block", F.when(F.col("whole"), F.col("block")).otherwise(-F.col("day").cast("long"))).drop("day")
     order = F.struct("ts", "ordinal")
     rows = items.groupBy("block").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("__last_start"), F.max("last_ts").alias("__last"), F.min("ordinal").alias("ordinal"), F.count("*").alias("items"), *[c.alias(n) for n, c in stats().items()], F.count("term").alias("terms"), F.min_by(F.when(F.col("term").isNotNull(), F.col("term")), F.when(F.col("term").isNotNull(), order)).alias("term"), F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("ts", "ordinal", "source_id"))), lambda x: x["source_id"])).alias("source_ids"))
-    rows = rows.join(_top(items, ["block"], F.col("host"), 3, "hosts"), "block", "left")
+    rows = rows.join(_tops(items, ["block"], {"hosts": (F.col("host"), 3, F.lit(1))}), "block", "left")
     whole = F.col("block") > 0
     rows = rows.withColumn("end_ts", F.when(whole, F.col("__last")).otherwise(F.col("__last_start")))
     rows = rows.withColumn("duration_min", F.when(whole, duration_minutes(F.col("start_ts"), F.col("end_ts"))).otherwise(F.lit(0).cast("long")))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.texts import base_name, collapse, cut, defuse_markdown, dir_name
 from ..operators.sessions import FILE_KINDS
 from ..operators.timeline import meta, outline_words, page_words, stats_line
-from .journal import footnotes
 
 CAPS = {"prompt": 12, "file": 8, "command": 6, "page": 10}
 IDS, OUTLINED, HIGHLIGHTS = 6, 5, 5
@@ -16,86 +15,89 @@ IDS, OUTLINED, HIGHLIGHTS = 6, 5, 5
 ORDER = ["note", "image", "clone", "commit", "prompt", "files", "command", "shell", "search", "page"]
 
 
-def _line(rows: DataFrame, kind: str, order: list[Column], text: Column, ids: Column, depth: int = 0) -> DataFrame:
-    return rows.select("project", "block", F.struct(F.lit(ORDER.index(kind)).alias("part"), *[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("place"), text.alias("text"), F.array_compact(F.array_distinct(ids)).alias("source_ids"), F.lit(depth).alias("depth"))
+PLACE = "struct<part:int,o0:timestamp,o1:string,o2:int>"
 
 
-def _key(*more: Column) -> list[Column]:
-    """(ts, ordinal, step) of a line within its part."""
-    return [F.col("ts"), F.col("ordinal").cast("string"), *(more or (F.lit(0),))]
+def _line(kind: str, text: Column, ids: Column, o2: Column, depth: int = 0, o0: Column | None = None, o1: Column | None = None) -> Column:
+    """A fact with its place in a section: by part, then by (o0, o1, o2)."""
+    at = F.lit(None).cast("timestamp") if o0 is None else o0
+    place = F.struct(F.lit(ORDER.index(kind)).alias("part"), at.alias("o0"), (F.lit("") if o1 is None else o1).alias("o1"), o2.cast("int").alias("o2"))
+    return F.struct(place.alias("place"), text.alias("text"), F.array_compact(F.array_distinct(ids)).alias("source_ids"), F.lit(depth).alias("depth"))
 
 
-def _ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    w = Window.partitionBy("project", "block").orderBy(*order, "ts", "ordinal")
-    return rows.withColumn("rank", F.row_number().over(w))
-
-
-def _first_ids(rows: DataFrame) -> Column:
-    """The first IDS ids of ranked rows."""
-    few = F.sort_array(F.collect_list(F.when(F.col("rank") <= IDS, F.struct("rank", "source_id"))))
-    return F.transform(few, lambda x: x["source_id"])
-
-
-def _listed(items: DataFrame, kind: str, of: str, head: str, unit: str, form: tuple[str, str]) -> DataFrame:
-    """One line for all items of a kind: the first few, and how many there are."""
-    rows = _ranked(items.where(F.col("kind") == of))
-    shown = F.sort_array(F.collect_list(F.when(F.col("rank") <= CAPS["command"], F.struct("rank", "label"))))
-    got = rows.groupBy("project", "block").agg(shown.alias("shown"), F.count("*").alias("n"), _first_ids(rows).alias("ids"), F.min("ts").alias("ts"))
-    words = F.array_join(F.transform("shown", lambda x: F.concat(F.lit(form[0]), x["label"], F.lit(form[1]))), "、")
-    more = F.when(F.col("n") > CAPS["command"], F.concat(F.lit(" 等 "), F.col("n").cast("string"), F.lit(f" {unit}"))).otherwise("")
-    return _line(got, kind, [F.col("ts"), F.lit(""), F.lit(0)], F.concat(F.lit(head), words, more), F.col("ids"))
-
-
-def _rest(rows: DataFrame, kind: str, cap: int, words: str) -> DataFrame:
-    """A line for the items beyond a cap."""
-    ids = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= cap + IDS, F.struct("rank", "source_id")))), lambda x: x["source_id"])
-    got = rows.where(F.col("rank") > cap).groupBy("project", "block").agg(F.count("*").alias("n"), F.max("ts").alias("ts"), ids.alias("ids"))
-    return _line(got, kind, [F.lit(None).cast("timestamp"), F.lit(""), F.lit(9)], F.concat(F.lit("另有 "), F.col("n").cast("string"), F.lit(f" {words}")), F.col("ids"))
+def _first(of: Column, rank: Column, most: int, value: str, after: int = 0) -> Column:
+    """An aggregate: the values of the rows of a class by rank, after the first ones and up to most."""
+    few = F.sort_array(F.collect_list(F.when(of & (rank > after) & (rank <= most), F.struct(rank.alias("r"), F.col(value).alias("v")))))
+    return F.transform(few, lambda x: x["v"])
 
 
 def section_facts(items: DataFrame, bursts: DataFrame | None = None) -> DataFrame:
-    """(project, block, place, text, source_ids, depth, confidence): the facts of each block of deduplicated items, place gives their order; bursts (project, block, files) are blocks whose files came together."""
-    kind = F.col("kind")
-    parts = []
-    for k, text in (("note", F.col("label")), ("image", F.concat(F.lit("图片："), "label")), ("clone", F.col("label")), ("commit", F.concat(F.lit("提交「"), "label", F.lit("」")))):
-        parts.append(_line(items.where(kind == k), k, _key(), text, F.array("source_id")))
-    asked = _ranked(items.where(kind == "prompt"))
-    few = asked.where(F.col("rank") <= CAPS["prompt"])
+    """(project, block, place, text, source_ids, depth, confidence): the facts of each block of deduplicated items, place gives their order; bursts (project, block, files) are blocks whose files came together.
+
+    Items are dealt by block once; ranks within a block, its lists and its lines all come from that.
+    """
+    kind, cls = F.col("kind"), F.col("__cls")
+    rows = items.repartition("project", "block").withColumn("__cls", F.when(kind.isin(FILE_KINDS), "file").otherwise(kind))
+    block = ["project", "block"]
+    by_time = Window.partitionBy(*block, "__cls").orderBy(F.when(cls == "web", F.col("term").isNull()), "ts", "ordinal")
+    of_label = Window.partitionBy(*block, "__cls", "label").orderBy("ts", "ordinal")
+    outlined = (cls == "file") & (F.coalesce(F.size("outline"), F.lit(0)) > 0)
+    of_outline = Window.partitionBy(*block, "__cls", "label", "__outlined").orderBy("ts", "ordinal")
+    rows = rows.withColumn("__outlined", outlined).withColumns({"__rank": F.row_number().over(by_time), "__new": (F.row_number().over(of_label) == 1).cast("int"), "__shown": F.col("__outlined") & (F.row_number().over(of_outline) == 1)})
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__nth": F.sum("__new").over(so_far), "__outline": F.sum(F.col("__shown").cast("int")).over(so_far)})
+    # a prompt sees the last reply that names it
+    asked = Window.partitionBy(*block, F.when(kind == "reply", F.col("prompt_source_id")).when(kind == "prompt", F.col("source_id")))
+    told = F.when(kind == "reply", F.struct("ts", "ordinal", "label", "source_id"))
+    rows = rows.withColumn("__reply", F.when(kind == "prompt", F.max(told).over(asked)))
+
+    rank = F.col("__rank")
     again = F.when(F.col("repeats") > 1, F.format_string("（重复 %d 次）", F.col("repeats").cast("int"))).otherwise("")
-    rank = [F.lit(None).cast("timestamp"), F.lit("")]
-    parts.append(_line(few, "prompt", [*rank, F.col("rank") * 10 - 1000], F.concat(F.lit("提问："), "label", again), F.concat(F.array("source_id"), F.slice(F.coalesce("alt_source_ids", F.expr("cast(array() as array<string>)")), 1, 4))))
-    told = items.where(kind == "reply").groupBy("project", "block", F.col("prompt_source_id").alias("asked")).agg(F.max_by(F.struct("label", "source_id"), F.struct("ts", "ordinal")).alias("r"))
-    said = few.select("project", "block", F.col("source_id").alias("asked"), "rank").join(told, ["project", "block", "asked"]).select("project", "block", "rank", "r.*")
-    parts.append(_line(said, "prompt", [*rank, F.col("rank") * 10 - 999], F.concat(F.lit("回复："), cut(collapse(F.col("label")), 160)), F.array("source_id"), 1))
-    parts.append(_rest(asked, "prompt", CAPS["prompt"], "条提问"))
-    files = _ranked(items.where(kind.isin(FILE_KINDS)))
-    names = _ranked(files.groupBy("project", "block", "label").agg(F.min(F.struct("ts", "ordinal")).alias("f")).select("project", "block", "label", "f.ts", "f.ordinal"))
-    shown = names.groupBy("project", "block").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= CAPS["file"], F.struct("rank", "label")))), lambda x: x["label"]).alias("shown"), F.count("*").alias("n"))
-    got = files.groupBy("project", "block").agg(_first_ids(files).alias("ids"), F.count_if(F.coalesce("created", F.lit(False))).alias("fresh")).join(shown, ["project", "block"])
-    more = F.when(F.col("n") > CAPS["file"], F.concat(F.lit(" 等 "), F.col("n").cast("string"), F.lit(" 个"))).otherwise("")
-    fresh = F.when(F.col("fresh") > 0, F.concat(F.lit("（其中 "), F.col("fresh").cast("string"), F.lit(" 个是新出现的）"))).otherwise("")
-    words = F.concat(F.lit("改动文件："), F.array_join("shown", "、"), more, fresh)
-    outlined = files.where(F.coalesce(F.size("outline"), F.lit(0)) > 0)
-    if bursts is not None:
-        got = got.join(bursts.select("project", "block", F.col("files").alias("came")), ["project", "block"], "left")
-        words = F.when(F.col("came").isNotNull(), F.concat(F.lit("新增项目 "), "project", F.lit("："), F.col("came").cast("string"), F.lit(" 个文件同时出现（下载 / 解压 / 复制）"))).otherwise(words)
-        outlined = outlined.join(bursts.select("project", "block"), ["project", "block"], "left_anti")
-    parts.append(_line(got, "files", [*rank, F.lit(0)], words, F.col("ids")))
-    once = F.row_number().over(Window.partitionBy("project", "block", "label").orderBy("ts", "ordinal"))
-    outlined = _ranked(outlined.withColumn("once", once).where("once = 1")).where(F.col("rank") <= OUTLINED)
-    parts.append(_line(outlined, "files", [*rank, F.col("rank")], outline_words(4, more=True), F.array("source_id"), 1))
-    parts.append(_listed(items, "command", "action-command", "执行命令：", "条", ("`", "`")))
-    parts.append(_listed(items, "shell", "shell", "终端里敲了：", "条", ("`", "`")))
-    parts.append(_listed(items, "search", "action-search", "联网搜索：", "次", ("「", "」")))
-    pages = _ranked(items.where(kind == "web"), F.col("term").isNull())
-    first = pages.where(F.col("rank") <= CAPS["page"])
+    others = F.slice(F.coalesce("alt_source_ids", F.expr("cast(array() as array<string>)")), 1, 4)
     page = F.when(F.col("term").isNull(), F.concat(F.lit("浏览："), page_words(items, 60))).otherwise(page_words(items))
-    parts.append(_line(first, "page", [*rank, F.col("rank") - 1000], page, F.array("source_id")))
-    parts.append(_rest(pages, "page", CAPS["page"], "个页面"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("confidence", F.when(F.size("source_ids") > 0, "confirmed").otherwise("unverified"))
+    ids = F.array("source_id")
+    alone = lambda k, text: F.when(cls == k, _line(k, text, ids, F.lit(0), o0=F.col("ts"), o1=F.col("ordinal").cast("string")))
+    few = (cls == "prompt") & (rank <= CAPS["prompt"])
+    came = F.col("__came").isNotNull() if bursts is not None else F.lit(False)
+    own = F.array_compact(F.array(
+        alone("note", F.col("label")), alone("image", F.concat(F.lit("图片："), "label")), alone("clone", F.col("label")), alone("commit", F.concat(F.lit("提交「"), "label", F.lit("」"))),
+        F.when(few, _line("prompt", F.concat(F.lit("提问："), "label", again), F.concat(ids, others), rank * 10 - 1000)),
+        F.when(few & F.col("__reply").isNotNull(), _line("prompt", F.concat(F.lit("回复："), cut(collapse(F.col("__reply.label")), 160)), F.array("__reply.source_id"), rank * 10 - 999, 1)),
+        F.when(F.col("__shown") & (F.col("__outline") <= OUTLINED) & ~came, _line("files", outline_words(4, more=True), ids, F.col("__outline"), 1)),
+        F.when((cls == "web") & (rank <= CAPS["page"]), _line("page", page, ids, rank - 1000)),
+    ))
+    if bursts is not None:
+        rows = rows.join(bursts.select(*block, F.col("files").alias("__came")), block, "left")
+    lists = {"command": "action-command", "shell": "shell", "search": "action-search"}
+    wanted = [F.flatten(F.collect_list(own)).alias("own")]
+    for k, of in lists.items():
+        wanted += [_first(cls == of, rank, CAPS["command"], "label").alias(f"{k}_shown"), _first(cls == of, rank, IDS, "source_id").alias(f"{k}_ids"), F.count_if(cls == of).alias(f"{k}_n"), F.min(F.when(cls == of, F.col("ts"))).alias(f"{k}_ts")]
+    for k, of in (("prompt", "prompt"), ("page", "web")):
+        wanted += [F.count_if(cls == of).alias(f"{k}_n"), _first(cls == of, rank, CAPS[k] + IDS, "source_id", CAPS[k]).alias(f"{k}_ids")]
+    is_file = cls == "file"
+    wanted += [_first(is_file & (F.col("__new") == 1), F.col("__nth"), CAPS["file"], "label").alias("file_shown"), F.sum(F.when(is_file, F.col("__new"))).alias("file_n"), _first(is_file, rank, IDS, "source_id").alias("file_ids"), F.count_if(is_file & F.coalesce("created", F.lit(False))).alias("fresh")]
+    wanted += [F.max("__came").alias("came")] if bursts is not None else []
+    whole = rows.groupBy(*block).agg(*wanted)
+
+    said = lambda c: F.col(c).cast("string")
+    more = lambda k, cap, unit: F.when(F.col(f"{k}_n") > cap, F.concat(F.lit(" 等 "), said(f"{k}_n"), F.lit(f" {unit}"))).otherwise("")
+
+    def listed(k: str, head: str, unit: str, a: str, z: str) -> Column:
+        words = F.array_join(F.transform(f"{k}_shown", lambda x: F.concat(F.lit(a), x, F.lit(z))), "、")
+        return F.when(F.col(f"{k}_n") > 0, _line(k, F.concat(F.lit(head), words, more(k, CAPS["command"], unit)), F.col(f"{k}_ids"), F.lit(0), o0=F.col(f"{k}_ts")))
+
+    def rest(k: str, words: str) -> Column:
+        return F.when(F.col(f"{k}_n") > CAPS[k], _line(k, F.concat(F.lit("另有 "), (F.col(f"{k}_n") - CAPS[k]).cast("string"), F.lit(f" {words}")), F.col(f"{k}_ids"), F.lit(9)))
+
+    fresh = F.when(F.col("fresh") > 0, F.concat(F.lit("（其中 "), said("fresh"), F.lit(" 个是新出现的）"))).otherwise("")
+    words = F.concat(F.lit("改动文件："), F.array_join("file_shown", "、"), more("file", CAPS["file"], "个"), fresh)
+    if bursts is not None:
+        words = F.when(F.col("came").isNotNull(), F.concat(F.lit("新增项目 "), "project", F.lit("："), said("came"), F.lit(" 个文件同时出现（下载 / 解压 / 复制）"))).otherwise(words)
+    lines = F.concat("own", F.array_compact(F.array(
+        listed("command", "执行命令：", "条", "`", "`"), listed("shell", "终端里敲了：", "条", "`", "`"), listed("search", "联网搜索：", "次", "「", "」"),
+        rest("prompt", "条提问"), rest("page", "个页面"), F.when(F.col("file_n") > 0, _line("files", words, F.col("file_ids"), F.lit(0))),
+    )))
+    return whole.select(*block, F.inline(lines)).withColumn("confidence", F.when(F.size("source_ids") > 0, "confirmed").otherwise("unverified"))
 
 
 def highlight_facts(modules: DataFrame, run: str, n: int = HIGHLIGHTS) -> DataFrame:
@@ -149,30 +151,46 @@ def markdown(modules: DataFrame, facts: DataFrame, evidence: DataFrame, run: str
     """(run, markdown): a document for each run, with highlights, a section for each selected module, footnotes and counts.
 
     modules (run, project, block, key, title, meta columns), facts of section_facts(), evidence with footnote columns. A
-    document is a run's own group: it is as large as what is read of a day or week, however many runs there are.
+    document is a run's own group: it is as large as what is read of a day or week, however many runs there are. Its
+    sources are numbered where they first appear, and only those that are cited meet the evidence.
     """
-    chosen = modules.where("selected").withColumn("nth", F.row_number().over(Window.partitionBy(run).orderBy(F.desc("score"), "start_ts", "key")))
-    top = highlight_facts(modules, run).select(run, F.struct(F.lit(0).alias("a"), F.col("place").cast("long").alias("b"), F.lit(None).cast(facts.schema["place"].dataType).alias("c")).alias("fact_id"), "text", "source_ids", F.lit(0).alias("depth"), F.lit("confirmed").alias("confidence"), F.concat(F.col("place").cast("string"), F.lit(". ")).alias("lead"))
-    own = facts.join(chosen.select(run, "project", "block", "nth"), ["project", "block"])
-    own = own.select(run, F.struct(F.lit(1).alias("a"), F.col("nth").cast("long").alias("b"), F.col("place").alias("c")).alias("fact_id"), "text", "source_ids", "depth", "confidence", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- ")).alias("lead"))
-    every = top.unionByName(own)
-    notes = footnotes(every, by=(run,))
-    marks = notes.groupBy(run, "fact_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "number"))), lambda x: F.concat(F.lit("[^ev"), x["number"].cast("string"), F.lit("]"))), "").alias("marks"))
-    doubt = F.when(F.col("confidence") == "confirmed", "").otherwise(F.concat(F.lit(" `"), "confidence", F.lit("`"), F.when(F.col("confidence") == "unverified", "（无法关联来源，请确认或删除）").otherwise("")))
-    lines = every.join(marks, [run, "fact_id"], "left").select(run, "fact_id", F.lit(1).alias("step"), F.concat("lead", defuse_markdown(F.col("text")), F.coalesce("marks", F.lit("")), doubt).alias("line"))
-    none = F.lit(None).cast(facts.schema["place"].dataType).alias("c")
-    heads = chosen.select(run, F.struct(F.lit(1).alias("a"), F.col("nth").cast("long").alias("b"), none).alias("fact_id"), F.lit(0).alias("step"), F.concat(F.lit("\n### "), defuse_markdown(F.col("title")), F.lit("\n\n_"), defuse_markdown(meta()), F.lit("_\n")).alias("line"))
+    own = facts.groupBy("project", "block").agg(F.sort_array(F.collect_list(F.struct("place", "text", "source_ids", "depth", "confidence"))).alias("__facts"))
+    nth = F.row_number().over(Window.partitionBy(run, "selected").orderBy(F.desc("score"), "start_ts", "key"))
+    rows = modules.join(own, ["project", "block"], "left").withColumn("nth", nth)
+    none = F.array().cast("array<string>")
+
+    def entry(part: int, lead: Column, text: Column, ids: Column, confidence: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), lead.alias("lead"), text.alias("text"), ids.alias("ids"), confidence.alias("confidence"))
+
+    # what a module gives: itself as a highlight (part 0), its head and its facts (part 1); or that it is left out (part 9)
+    top = entry(0, F.concat(F.col("nth").cast("string"), F.lit(". ")), F.concat(F.lit("**"), "title", F.lit("**（"), F.coalesce("project", F.lit("")), F.lit("，"), stats_line(), F.lit("）")), F.slice("source_ids", 1, 2), F.lit("confirmed"))
+    head = F.concat(F.lit("\n### "), defuse_markdown(F.col("title")), F.lit("\n\n_"), defuse_markdown(meta()), F.lit("_\n"))
+    each = F.transform("__facts", lambda f: entry(1, F.concat(F.repeat(F.lit("  "), f["depth"]), F.lit("- ")), f["text"], F.slice(f["source_ids"], 1, 6), f["confidence"]))
+    given = F.concat(F.array(F.when(F.col("nth") <= HIGHLIGHTS, top), entry(1, head, F.lit(None).cast("string"), none, F.lit(None).cast("string"))), F.coalesce(each, F.array().cast(f"array<struct<part:int,lead:string,text:string,ids:array<string>,confidence:string>>")))  # noqa: F541
+    left = F.array(entry(9, F.lit(""), F.lit(None).cast("string"), none, F.lit(None).cast("string")))
+    rows = rows.select(run, "nth", F.posexplode(F.array_compact(F.when(F.col("selected"), given).otherwise(left))).alias("seq", "e"))
+    rows = rows.select(run, F.struct("e.part", "nth", "seq").alias("at"), "e.lead", "e.text", "e.confidence", F.posexplode_outer("e.ids").alias("i", "source_id"))
     labels = evidence.select(F.concat_ws(":", "source_type", "source_ref").alias("source_id"), footnote_label().alias("label")).dropDuplicates(["source_id"])
-    foot = notes.select(run, "source_id", "number").distinct().join(labels, "source_id", "left").select(run, F.struct(F.lit(2).alias("a"), F.col("number").cast("long").alias("b"), none).alias("fact_id"), F.lit(0).alias("step"), F.concat(F.lit("[^ev"), F.col("number").cast("string"), F.lit("]: "), F.coalesce("label", F.lit("（证据缺失）"))).alias("line"))
-    body = lines.unionByName(heads).unionByName(foot).groupBy(run).agg(F.sort_array(F.collect_list(F.struct("fact_id", "step", "line"))).alias("all"))
-    part = lambda a: F.array_join(F.transform(F.filter("all", lambda x: x["fact_id"]["a"] == a), lambda x: x["line"]), "\n")
-    counts = every.groupBy(run).agg(F.count("*").alias("n"), *[F.count_if(F.col("confidence") == c).alias(c) for c in ("confirmed", "inferred", "unverified")])
-    left = modules.groupBy(run).agg(F.count_if(~F.col("selected")).alias("excluded"))
-    rows = left.join(body, run, "left").join(counts, run, "left")
+    rows = rows.join(labels, "source_id", "left").repartition(run)
+    # sources are numbered by where they come first
+    cited = F.col("source_id").isNotNull()
+    rows = rows.withColumn("first", F.min(F.when(cited, F.struct("at", "i"))).over(Window.partitionBy(run, "source_id")))
+    rows = rows.withColumn("number", F.when(cited, F.dense_rank().over(Window.partitionBy(run, cited).orderBy("first"))))
+    number = F.col("number").cast("string")
+    mark = F.when(cited, F.struct("i", F.concat(F.lit("[^ev"), number, F.lit("]")).alias("mark")))
+    note = F.when(cited & (F.col("first") == F.struct("at", "i")), F.struct("number", F.concat(F.lit("[^ev"), number, F.lit("]: "), F.coalesce("label", F.lit("（证据缺失）"))).alias("note")))
+    entries = rows.groupBy(run, "at").agg(*(F.first(c).alias(c) for c in ("lead", "text", "confidence")), F.array_join(F.transform(F.sort_array(F.collect_list(mark)), lambda x: x["mark"]), "").alias("marks"), F.collect_list(note).alias("notes"))
+    doubt = F.when(F.col("confidence") == "confirmed", "").otherwise(F.concat(F.lit(" `"), "confidence", F.lit("`"), F.when(F.col("confidence") == "unverified", "（无法关联来源，请确认或删除）").otherwise("")))
+    line = F.when(F.col("text").isNull(), F.col("lead")).otherwise(F.concat("lead", defuse_markdown(F.col("text")), "marks", doubt))
+    told = F.col("confidence").isNotNull()
+    of = lambda part: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("at.part") == part, F.struct("at", line.alias("line"))))), lambda x: x["line"]), "\n")
+    notes = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("notes"))), lambda x: x["note"]), "\n")
+    docs = entries.groupBy(run).agg(of(0).alias("top"), of(1).alias("body"), notes.alias("notes"), F.count_if(F.col("at.part") == 9).alias("excluded"), F.count_if(told).alias("n"), *(F.count_if(F.col("confidence") == c).alias(c) for c in ("confirmed", "inferred", "unverified")))
+    some = F.col("body") != ""
     out = F.concat(
         F.lit("# "), F.col(run).cast("string"), F.lit("\n\n"),
-        F.when(F.col("all").isNull(), "今天没有可写进日记的内容。\n").otherwise(F.concat(F.lit("## 今日重点\n\n"), part(0), F.lit("\n\n## 明细\n"), part(1), F.lit("\n"))),
+        F.when(~some, "今天没有可写进日记的内容。\n").otherwise(F.concat(F.lit("## 今日重点\n\n"), "top", F.lit("\n\n## 明细\n"), "body", F.lit("\n"))),
         F.when(F.col("excluded") > 0, F.concat(F.lit("\n> 另有 "), F.col("excluded").cast("string"), F.lit(" 个模块被排除，未写入本篇。\n"))).otherwise(""),
-        F.when(F.col("all").isNotNull(), F.concat(F.lit("\n---\n\n"), part(2), F.format_string("\n\n> 由 规则生成：%d 条，confirmed %d，inferred %d，unverified %d。\n", "n", "confirmed", "inferred", "unverified"))).otherwise(""),
+        F.when(some, F.concat(F.lit("\n---\n\n"), "notes", F.format_string("\n\n> 由 规则生成：%d 条，confirmed %d，inferred %d，unverified %d。\n", "n", "confirmed", "inferred", "unverified"))).otherwise(""),
     )
-    return rows.select(run, out.alias("markdown"))
+    return docs.select(run, out.alias("markdown"))

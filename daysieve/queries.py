@@ -70,7 +70,7 @@ STATS = """stats AS (SELECT project, block, min(ts) AS start_ts, max(ts) AS end_
     count(*) FILTER (kind = 'commit') AS commits, count(*) FILTER (kind = 'prompt') AS prompts, count(*) FILTER (kind = 'shell') AS shell,
     count(DISTINCT CASE WHEN kind = 'file' THEN regexp_extract(label, '[^/]+$') END) AS files,
     count(DISTINCT CASE WHEN kind = 'web' THEN url END) AS pages, count(DISTINCT CASE WHEN kind = 'web' THEN host END) AS sites,
-    floor(coalesce(sum(CASE WHEN kind = 'web' THEN secs END), 0) + 0.5)::BIGINT AS secs,
+    floor(coalesce(sum(CASE WHEN kind = 'web' THEN secs::DECIMAL(18, 6) END), 0) + 0.5)::BIGINT AS secs,
     coalesce(bool_or(kind = 'file' AND (label LIKE '%.md' OR label LIKE '%.csv')), false) AS document_work,
     2 * count(*) FILTER (kind = 'commit') + count(*) FILTER (kind = 'file' AND label LIKE '%.py') AS code, count(*) FILTER (kind = 'file' AND label LIKE '%.md') AS doc, count(*) FILTER (kind = 'file' AND label LIKE '%.csv') AS data,
     count(*) FILTER (kind IN ('file', 'commit')) AS fileish FROM kept GROUP BY project, block),
