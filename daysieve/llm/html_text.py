@@ -13,8 +13,8 @@ least total cost; a block whose terminal outweighs all its edges is decided at o
 Content blocks are joined in page order.
 
 Defined results: a null or empty page gives an empty text; a page without content gives an empty text; unclosed
-elements, comments, scripts and cut-off tags end with the page; stray end tags are skipped; a very long page takes time
-in proportion to its length; repeated rows are answered alike; nulls in page_id and url stay; other columns are ignored;
+elements, comments, scripts and cut-off tags end with the page; stray end tags are skipped; a very long page is
+parsed in time proportional to its length, and its doubtful blocks are cut by blocking flows; repeated rows are answered alike; nulls in page_id and url stay; other columns are ignored;
 an empty table gives an empty result.
 """
 
@@ -282,37 +282,75 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
             near[i] = {}
     rest = [i for i in range(n) if side[i] is None]
     if rest:
-        source, sink = n, n + 1
-        cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest} | {source: {}, sink: {}}
+        spot = {i: k for k, i in enumerate(rest)}
+        reached = _flow([gain[i] for i in rest], [(spot[i], spot[j], w) for i in rest for j, w in near[i].items() if i < j])
         for i in rest:
-            if gain[i] > 0:
-                cap[source][i], cap[i][source] = gain[i], 0.0
-            else:
-                cap[i][sink], cap[sink][i] = -gain[i], 0.0
-        while True:  # shortest augmenting paths
-            came = {source: source}
-            queue = deque([source])
-            while queue and sink not in came:
-                i = queue.popleft()
-                for j, c in cap[i].items():
-                    if c > 1e-12 and j not in came:
-                        came[j] = i
-                        queue.append(j)
-            if sink not in came:
-                break
-            path, j = [], sink
-            while j != source:
-                path.append((came[j], j))
-                j = came[j]
-            flow = min(cap[a][b] for a, b in path)
-            for a, b in path:
-                cap[a][b] -= flow
-                cap[b][a] += flow
-        for i in rest:
-            side[i] = i in came
+            side[i] = reached[spot[i]]
     return [bool(s) for s in side]
 
 
+def _flow(gain: list[float], edges: list[tuple[int, int, float]], least: float = 1e-12) -> list[bool]:
+    """Which nodes a maximum flow leaves within reach of the source, by blocking flows: a round numbers nodes by their distance from supply and saturates all ways on which it grows, to whatever demand they lead, so each demand that is left is farther from supply in the next."""
+    n = len(gain)
+    supply, demand = [max(g, 0.0) for g in gain], [max(-g, 0.0) for g in gain]
+    to, cap, arcs = [], [], [[] for _ in range(n)]
+    for a, b, w in edges:  # arc k ^ 1 is the way back of arc k
+        arcs[a].append(len(to))
+        arcs[b].append(len(to) + 1)
+        to += (b, a)
+        cap += (w, w)
+    while True:
+        level = [-1] * n
+        front = [i for i in range(n) if supply[i] > least]
+        for i in front:
+            level[i] = 0
+        reached, met = [*front], False
+        while front:
+            after = []
+            for i in front:
+                met = met or demand[i] > least
+                for k in arcs[i]:
+                    if cap[k] > least and level[to[k]] < 0:
+                        level[to[k]] = level[i] + 1
+                        after.append(to[k])
+            reached += after
+            front = after
+        if not met:
+            found = [False] * n
+            for i in reached:
+                found[i] = True
+            return found
+        tried = [0] * n
+        for start in [i for i in reached if level[i] == 0]:
+            nodes, way = [start], []
+            while nodes and supply[start] > least:
+                i = nodes[-1]
+                if demand[i] > least:
+                    flow = min(supply[start], demand[i], *(cap[k] for k in way))
+                    supply[start] -= flow
+                    demand[i] -= flow
+                    full = len(way)
+                    for at in range(len(way) - 1, -1, -1):
+                        k = way[at]
+                        cap[k] -= flow
+                        cap[k ^ 1] += flow
+                        if cap[k] <= least:
+                            full = at
+                    del way[full:], nodes[full + 1 :]
+                    continue
+                own = arcs[i]
+                while tried[i] < len(own) and not (cap[own[tried[i]]] > least and level[to[own[tried[i]]]] == level[i] + 1):
+                    tried[i] += 1
+                if tried[i] < len(own):
+                    way.append(own[tried[i]])
+                    nodes.append(to[own[tried[i]]])
+                else:  # no way on from here in this round
+                    level[i] = n + 1
+                    nodes.pop()
+                    if way:
+                        way.pop()
+
+
 def graph(found: list[Block], weights: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
     """What binds each block to content rather than boilerplate, and the smoothness edges."""
     any_inside = any(b.parent.inside == 1 and b.parent.outside < 1 for b in found)

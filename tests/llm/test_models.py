@@ -409,6 +409,29 @@ def test_cuts_are_minimal():
         assert cost(html_text.minimum_cut(gain, edges)) == pytest.approx(least)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_long_pages_of_doubtful_blocks(seed):
+    """A listing of 100,000 blocks in boxes of five, none of which is decided by itself; small graphs against all labellings are above."""
+    import time
+
+    rng = np.random.default_rng(seed)
+    n = 100_000
+    gain = [rng.uniform(-1, 1, n), np.repeat([0.7, -0.7], n // 2), rng.choice([0.5, -0.01], n, p=[0.02, 0.98]), np.sin(np.arange(n) / 500) * 0.8][seed].tolist()
+    edges = [(i - 1, i, 0.6 + 0.9 * (i % 5 > 0)) for i in range(1, n)] + [(i - 5, i, 0.45) for i in range(5, n, 5)]
+    began = time.perf_counter()
+    side = html_text.minimum_cut(gain, edges)
+    assert time.perf_counter() - began < 60 and len(side) == n
+    near = [[] for _ in range(n)]
+    for a, b, w in edges:
+        near[a].append((b, w))
+        near[b].append((a, w))
+    for i in range(0, n, 37):  # no block and no run of equal ones would be cheaper on the other side
+        for run in (range(i, i + 1), range(i - i % 5, i - i % 5 + 5), range(i, min(n, i + 300))):
+            if len({side[j] for j in run}) == 1:
+                out = sum(gain[j] if side[j] else -gain[j] for j in run)
+                assert out + sum(w if side[j] == side[k] else -w for j in run for k, w in near[j] if k not in run) >= -1e-6
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header class="top"><h1>Site</h1></header><nav><a href=x>Home</a></nav>
 <div id="cookie-notice">We use cookies &amp; more. Please accept all of this long sentence now.</div>
 <div class="wrap"><article><h1>Title &lt;1&gt;</h1><p>First <b>bo</b>ld&nbsp;text
