@@ -63,6 +63,24 @@ def clean_prompt(c: Column, noise: tuple[str, ...] = ("<", "Caveat:", "[Request
     return F.when(bad | (t == ""), F.lit(None)).otherwise(cut(t, n))
 
 
+# How a desktop client wraps what was typed, and the heading that the typed text follows.
+WRAPPERS = ("# Files mentioned by the user", "# Response annotations", "## My request:", "## My request for Codex")
+REQUEST = r"(?im)^#{1,3}[ \t]*My request(?: for Codex)?[ \t]*:?[ \t]*$"
+IMAGE = r"(?is)<image\b[^>]*>.*?</image>"
+
+
+def typed_prompt(c: Column, noise: tuple[str, ...] = (), n: int = 400) -> Column:
+    """What was typed of a prompt that a client wrapped in a template: what follows the last request heading; null if there is none, or if it is a harness's or one whole element."""
+    raw = F.trim(F.regexp_replace(F.regexp_replace(c, IMAGE, " "), r"(?i)</?image\b[^>]*>", " "))
+    wrapped = F.lit(False)
+    for w in WRAPPERS:
+        wrapped = wrapped | raw.startswith(w)
+    parts = F.split(raw, REQUEST)
+    inner = F.when(F.size(parts) > 1, F.trim(F.element_at(parts, -1), F.lit(" \t\r\n")))
+    text = F.when(wrapped, inner).otherwise(raw)
+    return F.when(~text.rlike(r"(?is)^<[a-z_]+>.*</[a-z_]+>$"), clean_prompt(text, noise, n))
+
+
 def overlaps(updated: Column, created: Column, start: Column, end: Column) -> Column:
     """Whether a session was touched within [start, end)."""
     within = lambda t: (t >= start) & (t < end)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Days and zones are computed from UTC; the rest lets Spark re-plan by what it sees.
@@ -19,3 +23,13 @@ def session(app: str = "daysieve", **more: str) -> SparkSession:
     for k, v in {**SETTINGS, **more}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: below spark.checkpoint.dir, or a local one under a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
+    return os.path.join(base, f"daysieve-{name}-{uuid.uuid4().hex}")

@@ -140,7 +140,8 @@ class Tree(DataSource):
 def walk(spark: SparkSession, roots: list[str], depth: int = SCAN_DEPTH, skip: tuple[str, ...] = SKIP, fold: bool = True, dots: bool = True, dealt: int = DEALT) -> DataFrame:
     """The inventory of roots; directories in skip (whatever the case, if fold), and with a dot in front if dots, are listed but not entered. Links are not followed."""
     spark.dataSource.register(Tree)
-    given = {"roots": json.dumps([os.path.abspath(r) for r in roots]), "skip": json.dumps(list(skip)), "depth": depth, "dealt": dealt, "fold": str(fold).lower(), "dots": str(dots).lower()}
+    plain = [r.removeprefix("file://") if r.startswith("file:///") else r.removeprefix("file:") for r in roots]
+    given = {"roots": json.dumps([os.path.abspath(r) for r in plain]), "skip": json.dumps(list(skip)), "depth": depth, "dealt": dealt, "fold": str(fold).lower(), "dots": str(dots).lower()}
     return spark.read.format("directory_tree").options(**given).load()
 
 

@@ -57,6 +57,7 @@ def arrivals(repos: DataFrame, holds: Column) -> DataFrame:
 
 LOG_SCHEMA = "_revision long, author string, date string, msg string, paths struct<path: array<struct<_VALUE: string, _action: string, _kind: string>>>"
 STATUS_SCHEMA = "_path string, `wc-status` struct<_item: string, _props: string>"
+INFO_SCHEMA = "_revision string, url string, `relative-url` string, repository struct<root: string>"
 # Subversion's words for a state and their letters.
 STATES = {"modified": "M", "added": "A", "deleted": "D", "missing": "!", "replaced": "R", "conflicted": "C", "unversioned": "?", "obstructed": "~"}
 
@@ -81,5 +82,38 @@ def svn_worktree(entries: DataFrame) -> DataFrame:
     return entries.select(F.coalesce(state, F.when(props.isin("modified", "conflicted"), "M")).alias("status"), F.col("_path").alias("path")).where("status IS NOT NULL")
 
 
+def read_svn_status(spark: SparkSession, path: str) -> DataFrame:
+    """Status entries with file, the export that they stand in."""
+    return spark.read.format("xml").option("rowTag", "entry").schema(STATUS_SCHEMA).load(path).select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def read_svn_info(spark: SparkSession, path: str) -> DataFrame:
+    """(url, relative_url, repo_root, revision, file) of info exports; relative_url is where the working copy lies in its repository, null for the root."""
+    rows = spark.read.format("xml").option("rowTag", "entry").schema(INFO_SCHEMA).load(path)
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    relative = F.nullif(F.regexp_replace(F.trim("relative-url"), r"^\^/*", ""), F.lit(""))
+    return rows.select(blank(F.col("url")).alias("url"), relative.alias("relative_url"), blank(F.col("repository.root")).alias("repo_root"), F.col("_revision").alias("revision"), F.col("_metadata.file_path").alias("file"))
+
+
+def relative_path(repo_path: Column, base: Column) -> Column:
+    """A path of a log entry below the working copy that lies at base in its repository; null for what lies elsewhere and for the working copy itself."""
+    p = F.regexp_replace(repo_path, "/+$", "")
+    own = F.regexp_replace(F.coalesce(base, F.lit("")), "^/+|/+$", "")
+    below = F.when(F.startswith(p, F.concat(F.lit("/"), own, F.lit("/"))), F.substring(p, F.length(own) + 3, F.length(p)))
+    return F.when(own == "", F.nullif(F.regexp_replace(p, "^/+", ""), F.lit(""))).otherwise(below)
+
+
+def relative_status(status: DataFrame, stats: DataFrame) -> DataFrame:
+    """(status, path, mtime) of svn_worktree() rows (status, path, root): paths below root, with what stats (path, mtime, is_dir) knows of them; directories that aren't versioned are left out."""
+    from ..operators.attribution import clean_path
+
+    path, root = clean_path(F.col("path")), clean_path(F.col("root"))
+    rows = status.withColumn("__full", F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", root, F.regexp_replace(path, r"^\./", ""))))
+    known = stats.select(clean_path(F.col("path")).alias("__full"), "mtime", "is_dir")
+    rows = rows.drop("mtime").join(known, "__full", "left").where(~((F.col("status") == "?") & F.coalesce("is_dir", F.lit(False))))
+    inside = F.startswith("__full", F.concat(root, F.lit("/")))
+    return rows.select("status", F.when(inside, F.substring("__full", F.length(root) + 2, F.length("__full"))).otherwise(F.col("path")).alias("path"), "mtime")
+
+
 def working_copy_id(root: Column) -> Column:
     return F.substring(F.sha1(root.cast("binary")), 1, 8)
