@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import redact, texts
 from .operators import extras, rules, state, turns
-from .queries import BLOCKS, ITEMS, _with, items, table
+from .operators import sessions as s
+from .plans import day, flat
+from .queries import BLOCKS, ITEMS, KEPT, _with, items, table
 from .session import shared_folder
 from .sinks import tables
 from .sources import assistants, inventory, vcs
@@ -323,3 +325,81 @@ def src21_read_sessions(spark, d):
     docs.select(F.to_json(F.struct(F.col("s").alias("sessionId"), "messages")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/docs")
     got, _ = assistants.read_sessions(spark, {"claude-code": f"{folder}/lines", "gemini-cli": f"{folder}/docs", "cline": f"{folder}/none"})
     return got.select("provider", F.col("session_id").cast("long").alias("conv_id"), "seq", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# --- the flat view
+
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY at_, path) AS n, count(*) OVER (PARTITION BY project) AS total FROM (SELECT 'p' || (o_custkey % 500) AS project, '/w/p' || (o_custkey % 500) || CASE WHEN o_orderkey % 9 = 0 THEN 'x' ELSE '' END || '/src/f' || o_orderkey || '.py' AS path, o_orderdate AS at_ FROM orders))
+    SELECT project, '改动 ' || total || ' 个文件（不在版本库内，按文件修改时间）' AS text, string_agg('file:' || path, ',' ORDER BY n) FILTER (n <= 6) AS ids, 0 AS depth, epoch_us(min(at_)) AS at_us FROM f GROUP BY project, total
+    UNION ALL SELECT project, CASE WHEN starts_with(path, '/w/' || project || '/') THEN substr(path, length(project) + 5) ELSE regexp_extract(path, '[^/]+$') END, 'file:' || path, 1, epoch_us(at_) FROM f WHERE n <= 15
+    UNION ALL SELECT project, '另有 ' || (total - 15) || ' 个文件（用 --json 看完整列表）', string_agg('file:' || path, ',' ORDER BY n) FILTER (n <= 35), 1, epoch_us(arg_min(at_, n)) FROM f WHERE n > 15 GROUP BY project, total""")
+def out03_flat_files(spark, d):
+    """Files of projects one by one up to a cap, with an overview and what is hidden."""
+    p = F.concat(F.lit("p"), F.col("o_custkey") % 500)
+    path = F.concat(F.lit("/w/"), p, F.when(F.col("o_orderkey") % 9 == 0, "x").otherwise(""), F.lit("/src/f"), "o_orderkey", F.lit(".py"))
+    files = table(spark, d, "orders").select(p.alias("project"), F.concat(F.lit("/w/"), p, F.lit("/")).alias("root"), path.alias("path"), F.col("o_orderdate").alias("mtime"))
+    return _flat(flat.file_facts(files))
+
+
+def _flat(facts: DataFrame) -> DataFrame:
+    return facts.select("project", "text", F.array_join("source_ids", ",").alias("ids"), "depth", F.unix_micros("occurred_at").alias("at_us"))
+
+
+@query(_with(ITEMS) + """, g AS (SELECT url, arg_min(host, (ts, ordinal)) AS host, min(ts) AS f, arg_min(label, (ts, ordinal)) AS title FROM items WHERE kind = 'web' GROUP BY url), t AS (SELECT *, CASE WHEN length(url) % 5 = 0 THEN 'q ' || url END AS term FROM g),
+    r AS (SELECT *, row_number() OVER (ORDER BY term IS NULL, f, url) AS n, count(*) OVER () AS total FROM t)
+    SELECT 'web' AS project, '浏览 ' || total || ' 个页面（' || count(DISTINCT host) || ' 个站点）' AS text, string_agg('web:' || url, ',' ORDER BY n) FILTER (n <= 6) AS ids, 0 AS depth, epoch_us(arg_min(f, n)) AS at_us FROM r GROUP BY total
+    UNION ALL SELECT 'web', CASE WHEN term IS NOT NULL THEN '搜索「' || term || '」' ELSE title || '（' || host || '）' END, 'web:' || url, 1, epoch_us(f) FROM r WHERE n <= 15
+    UNION ALL SELECT 'web', '另有 ' || (total - 15) || ' 个页面', string_agg('web:' || url, ',' ORDER BY n) FILTER (n <= 35), 1, epoch_us(arg_min(f, n)) FROM r WHERE n > 15 GROUP BY total""")
+def out03_flat_pages(spark, d):
+    """Pages that were searched for first."""
+    first = F.struct("ts", "ordinal")
+    pages = items(spark, d).where("kind = 'web'").groupBy("url").agg(F.min_by("host", first).alias("host"), F.min("ts").alias("first_ts"), F.min_by("label", first).alias("title"))
+    return _flat(flat.page_facts(pages.withColumn("term", F.when(F.length("url") % 5 == 0, F.concat(F.lit("q "), "url")))))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, count(*) AS files, sum(l_quantity)::BIGINT AS a, sum(l_linenumber)::BIGINT AS b FROM lineitem GROUP BY 1)
+    SELECT (o_custkey % 20)::VARCHAR AS project, CASE WHEN o_orderkey % 3 = 0 THEN 'SVN r' || o_orderkey ELSE '' END || '提交「' || o_orderpriority || '」' || CASE WHEN files IS NULL THEN '' ELSE '（' || files || ' 个文件' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '，+' || a || ' −' || b END || '）' END AS text,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'svn-commit:' ELSE 'commit:' END || o_orderkey AS ids, 0 AS depth, epoch_us(o_orderdate) AS at_us FROM orders LEFT JOIN l ON k = o_orderkey""")
+def out03_flat_commits(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("files"), F.sum("l_quantity").cast("long").alias("a"), F.sum("l_linenumber").alias("b"))
+    svn = F.col("o_orderkey") % 3 == 0
+    rows = table(spark, d, "orders").join(lines, "o_orderkey", "left")
+    none = F.lit(0).cast("long")
+    rows = rows.select((F.col("o_custkey") % 20).alias("project"), F.when(svn, "svn-commit").otherwise("commit").alias("source_type"), F.col("o_orderkey").cast("string").alias("hash"), F.col("o_orderkey").alias("revision"), F.col("o_orderpriority").alias("message"), F.when(svn, none).otherwise(F.coalesce("a", none)).alias("additions"), F.when(svn, none).otherwise(F.coalesce("b", none)).alias("deletions"), F.coalesce("files", F.expr("cast(array() as array<string>)")).alias("files"), F.col("o_orderdate").alias("committed_at"))
+    return _flat(flat.commit_facts(rows))
+
+
+_SHORT = "CASE WHEN length({0}) > {1} THEN substr({0}, 1, {1}) || '…' ELSE {0} END"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS w FROM conversations),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM m WHERE role = 'user'), r AS (SELECT conv_id, turn - 1 AS turn, turn AS i, w AS reply FROM m WHERE role = 'assistant'),
+    q AS (SELECT p.*, i, reply FROM p LEFT JOIN r USING (conv_id, turn)), s AS (SELECT conv_id, count(*) FILTER (role = 'system') AS acts FROM m GROUP BY 1),
+    o AS (SELECT conv_id, count(*) AS prompts, count(i) AS replies, min(turn) AS first FROM q GROUP BY 1), x AS (SELECT s.conv_id, acts, coalesce(prompts, 0) AS prompts, coalesce(replies, 0) AS replies, first FROM s LEFT JOIN o USING (conv_id))
+    SELECT (conv_id % 7)::VARCHAR AS project, CASE WHEN conv_id % 2 = 0 THEN 'Codex' ELSE 'Claude Code' END || ' 会话' || CASE WHEN conv_id % 3 = 0 THEN '「talk ' || conv_id || '」' ELSE ' `' || substr(conv_id::VARCHAR, 1, 8) || '`' END || '：'
+        || coalesce(nullif(concat_ws('、', CASE WHEN prompts > 0 THEN '提问 ' || prompts || ' 条' END, CASE WHEN replies > 0 THEN '回复 ' || replies || ' 条' END, CASE WHEN acts > 0 THEN '改动 ' || acts || ' 个文件' END, CASE WHEN acts > 0 THEN '执行 ' || acts || ' 条命令' END), ''), '无可提取内容') AS text,
+        coalesce('session:' || conv_id || '#' || first, '') AS ids, 0 AS depth FROM x
+    UNION ALL SELECT (conv_id % 7)::VARCHAR, {_SHORT.format('w', 90)}, 'session:' || conv_id || '#' || turn, 1 FROM q WHERE n <= 12
+    UNION ALL SELECT (conv_id % 7)::VARCHAR, '回复：' || {_SHORT.format('reply', 120)}, 'session-reply:' || conv_id || '#' || i, 2 FROM q WHERE n <= 12 AND i IS NOT NULL
+    UNION ALL SELECT (conv_id % 7)::VARCHAR, '另有 ' || count(*) || ' 条提问', string_agg('session:' || conv_id || '#' || turn, ',' ORDER BY n), 1 FROM q WHERE n > 12 GROUP BY conv_id
+    UNION ALL SELECT (conv_id % 7)::VARCHAR, '改动文件：' || string_agg('f' || turn || '.py', '、' ORDER BY turn) FILTER (k <= 8) || CASE WHEN count(*) > 8 THEN ' 等 ' || count(*) || ' 个' ELSE '' END, string_agg('session-action:' || conv_id || '#' || turn || ':file:/w/f' || turn || '.py', ',' ORDER BY turn) FILTER (k <= 20), 1 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM m WHERE role = 'system') GROUP BY conv_id
+    UNION ALL SELECT (conv_id % 7)::VARCHAR, '执行命令：' || string_agg('`make ' || turn || '`', '、' ORDER BY turn) FILTER (k <= 5) || CASE WHEN count(*) > 5 THEN ' 等 ' || count(*) || ' 条' ELSE '' END, string_agg('session-action:' || conv_id || '#' || turn || ':command:make ' || turn, ',' ORDER BY turn) FILTER (k <= 5), 1 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM m WHERE role = 'system') GROUP BY conv_id""")
+def out03_flat_sessions(spark, d):
+    """Sessions with their prompts, replies and what they did; a system's messages stand for files and commands."""
+    rows = table(spark, d, "conversations").withColumns({"session_id": F.col("conv_id"), "index": F.col("turn"), "ts": F.lit(None).cast("timestamp")})
+    i = F.col("conv_id")
+    sessions = rows.select("session_id", "conv_id").distinct().select((i % 7).alias("project"), "session_id", F.when(i % 2 == 0, "codex").otherwise("claude-code").alias("provider"), F.when(i % 3 == 0, F.concat(F.lit("talk "), i)).alias("title"), F.lit(None).cast("timestamp").alias("first_ts"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    prompts = rows.where("role = 'user'").select("session_id", "index", text, "ts")
+    replies = rows.where("role = 'assistant'").select("session_id", "index", (F.col("index") - 1).alias("prompt_index"), text, "ts")
+    acts = F.explode(F.array(F.struct(F.lit("file").alias("kind"), F.concat(F.lit("/w/f"), "turn", F.lit(".py")).alias("value")), F.struct(F.lit("command").alias("kind"), F.concat(F.lit("make "), "turn").alias("value"))))
+    actions = rows.where("role = 'system'").select("session_id", "index", acts.alias("a")).select("session_id", "index", "a.*")
+    return _flat(flat.session_facts(sessions, prompts, replies, actions)).drop("at_us")
+
+
+@query(_with(ITEMS, BLOCKS, KEPT) + """, st AS (SELECT project, block, min(ts) AS f, max(ts) AS l, count(*) FILTER (kind = 'commit') AS commits, count(*) FILTER (kind = 'prompt') AS prompts, count(DISTINCT regexp_extract(label, '[^/]+$')) FILTER (kind = 'file') AS files, count(DISTINCT url) FILTER (kind = 'web') AS pages FROM kept GROUP BY project, block)
+    SELECT project, block, CASE WHEN block % 5 > 0 THEN '●' ELSE '○' END || ' [类] t' || block || CASE WHEN block % 5 = 0 THEN '  〔永久排除〕' ELSE '' END || chr(10) || '    ' || project || '｜' || strftime(f, '%H:%M') || CASE WHEN floor((epoch_ms(l) - epoch_ms(f)) / 60000.0 + 0.5) > 0 THEN '-' || strftime(l, '%H:%M') ELSE '' END || '｜'
+        || coalesce(nullif(concat_ws('、', CASE WHEN commits > 0 THEN commits || ' 提交' END, CASE WHEN prompts > 0 THEN prompts || ' 提问' END, CASE WHEN files > 0 THEN files || ' 文件' END, CASE WHEN pages > 0 THEN pages || ' 页面' END), ''), '无') || '｜权重 ' || prompts AS line FROM st""")
+def aux01_module_lines(spark, d):
+    rows = s.describe(day.blocks(items(spark, d))).withColumns({"category": F.lit("类"), "title": F.concat(F.lit("t"), "block"), "selected": F.col("block") % 5 > 0, "excluded": F.col("block") % 5 == 0, "score": F.col("prompts").cast("double")})
+    return flat.module_lines(rows).select("project", "block", "line")
