@@ -403,3 +403,22 @@ def out03_flat_sessions(spark, d):
 def aux01_module_lines(spark, d):
     rows = s.describe(day.blocks(items(spark, d))).withColumns({"category": F.lit("类"), "title": F.concat(F.lit("t"), "block"), "selected": F.col("block") % 5 > 0, "excluded": F.col("block") % 5 == 0, "score": F.col("prompts").cast("double")})
     return flat.module_lines(rows).select("project", "block", "line")
+
+
+@query("""WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, 'p' || (o_custkey % 6) AS project, o_orderkey AS k, epoch_us(o_orderdate) AS us, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS tm, o_orderpriority AS w FROM orders WHERE month(o_orderdate) <> 2),
+    r AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY project, tm, k::VARCHAR) AS number, row_number() OVER (PARTITION BY month, project ORDER BY tm, k::VARCHAR) AS i FROM o),
+    s AS (SELECT month, project, '## [[' || upper(project) || ']]' || chr(10) || chr(10) || string_agg('- 提交「' || w || '」[^ev' || number || ']', chr(10) ORDER BY number) || chr(10) AS text FROM n GROUP BY month, project),
+    d AS (SELECT month, string_agg(text, chr(10) ORDER BY project) AS sections FROM s GROUP BY month), f AS (SELECT month, count(*) AS n, string_agg('[^ev' || number || ']: commit `' || substr(k::VARCHAR, 1, 7) || '` — ' || w || '（' || tm || '）', chr(10) ORDER BY number) AS notes FROM n GROUP BY month)
+    SELECT month, md5('# ' || month || chr(10) || chr(10) || CASE WHEN n IS NULL THEN '无可记录活动。' || chr(10) || chr(10) || '已检查的来源：' || chr(10) || '- git 仓库 6 个' || chr(10) || '- 文件扫描 已关闭' || chr(10) || chr(10) || '> 时区 UTC（UTC+00:00），日界 04:00，跨零点的工作会归到前一天。' || chr(10)
+        ELSE sections || chr(10) || '---' || chr(10) || chr(10) || notes || chr(10) || chr(10) || '> 扫描范围：git 仓库 6 个｜文件扫描 已关闭。' || n || ' 条事实：confirmed ' || n || '，inferred 0，unverified 0。时区 UTC（UTC+00:00），日界 04:00，全部时间戳按 UTC 存储。' || chr(10) END) AS digest FROM r LEFT JOIN d USING (month) LEFT JOIN f USING (month)""")
+def out02_flat_markdown(spark, d):
+    """A document of commits for each month, compared as a whole; in February there was nothing."""
+    orders = table(spark, d, "orders").withColumns({"month": F.date_format("o_orderdate", "yyyy-MM"), "project": F.concat(F.lit("p"), F.col("o_custkey") % 6), "hash": F.col("o_orderkey").cast("string")})
+    none = F.lit(0).cast("long")
+    some = orders.where(F.month("o_orderdate") != 2)
+    facts = flat.commit_facts(some.select("project", F.lit("commit").alias("source_type"), "hash", F.lit(None).cast("long").alias("revision"), F.col("o_orderpriority").alias("message"), none.alias("additions"), none.alias("deletions"), F.expr("cast(array() as array<string>)").alias("files"), F.col("o_orderdate").alias("committed_at")))
+    facts = facts.withColumn("month", F.date_format("occurred_at", "yyyy-MM"))
+    projects = orders.select("month").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(5)))).select("month", F.concat(F.lit("p"), "p").alias("project"), F.concat(F.lit("P"), "p").alias("name"), F.col("p").alias("nth"))
+    ev = some.select(F.lit("commit").alias("source_type"), F.col("hash").alias("source_ref"), F.col("o_orderpriority").alias("excerpt"), F.col("o_orderdate").alias("occurred_at"), F.lit("").alias("path"), F.lit("").alias("path_alias"))
+    written = flat.markdown(facts, projects, ev, "month", F.lit("git 仓库 6 个｜文件扫描 已关闭"), F.lit("时区 UTC（UTC+00:00），日界 04:00"))
+    return written.select("month", F.md5(F.col("markdown").cast("binary")).alias("digest"))

@@ -138,3 +138,29 @@ def module_lines(modules: DataFrame, zone: str = "UTC") -> DataFrame:
     first = F.concat(F.when(F.col("selected"), "●").otherwise("○"), F.lit(" ["), "category", F.lit("] "), "title", F.when(tags != "", F.concat(F.lit("  〔"), tags, F.lit("〕"))).otherwise(""))
     second = F.concat(F.lit("    "), F.coalesce(_said("project"), F.lit("")), F.lit("｜"), time, F.lit("｜"), F.coalesce(F.nullif(bits, F.lit("")), F.lit("无")), F.lit("｜权重 "), score)
     return modules.withColumn("line", F.concat_ws("\n", first, second))
+
+
+def markdown(facts: DataFrame, projects: DataFrame, evidence: DataFrame, run: str, checked: Column, zone: Column) -> DataFrame:
+    """(run, markdown): a document for each run (run): its facts (run, project, place, ...) under their projects (run, project, name, nth; all that were looked at) in the order of nth, then footnotes, and what was checked.
+
+    checked and zone are expressions on run: what was looked into, and the words on time zone and day's end.
+    """
+    from .report import cited_lines
+
+    named = projects.select(F.col(run).alias("__run"), F.col("project").cast("string").alias("__project"), "name", "nth")
+    rows = facts.join(named, F.col(run).eqNullSafe(F.col("__run")) & (F.col("project") == F.col("__project")))
+    at = F.struct("nth", F.lit(1).alias("part"), "place", "text")
+    lines = rows.select(run, at.alias("at"), F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- ")).alias("lead"), "text", "confidence", F.slice("source_ids", 1, 6).alias("ids"))
+    heads = named.select("__run", F.col("nth").alias("__nth"), F.concat(F.lit("## [["), "name", F.lit("]]")).alias("heading"))
+    entries, line = cited_lines(lines, evidence, run)
+    by_project = entries.withColumn("line", line).groupBy(run, F.col("at.nth").alias("nth")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("body"), F.flatten(F.collect_list("notes")).alias("notes"), F.count("*").alias("n"), *(F.count_if(F.col("confidence") == c).alias(c) for c in ("confirmed", "inferred", "unverified"))
+    )
+    headed = by_project.join(heads, F.col(run).eqNullSafe(F.col("__run")) & (F.col("nth") == F.col("__nth")))
+    section = F.struct("nth", F.concat("heading", F.lit("\n\n"), "body", F.lit("\n")).alias("text"))
+    docs = headed.groupBy(run).agg(F.array_join(F.transform(F.sort_array(F.collect_list(section)), lambda x: x["text"]), "\n").alias("sections"), F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("notes"))), lambda x: x["note"]), "\n").alias("notes"), *(F.sum(c).alias(c) for c in ("n", "confirmed", "inferred", "unverified")))
+    runs = projects.select(run).distinct().join(docs.withColumnRenamed(run, "__of"), F.col(run).eqNullSafe(F.col("__of")), "left")
+    title = F.concat(F.lit("# "), _said(run), F.lit("\n\n"))
+    full = F.concat("sections", F.lit("\n---\n\n"), "notes", F.lit("\n\n> 扫描范围："), checked, F.lit("。"), _said("n"), F.lit(" 条事实：confirmed "), _said("confirmed"), F.lit("，inferred "), _said("inferred"), F.lit("，unverified "), _said("unverified"), F.lit("。"), zone, F.lit("，全部时间戳按 UTC 存储。\n"))
+    none = F.concat(F.lit("无可记录活动。\n\n已检查的来源：\n- "), F.replace(checked, F.lit("｜"), F.lit("\n- ")), F.lit("\n\n> "), zone, F.lit("，跨零点的工作会归到前一天。\n"))
+    return runs.select(run, F.concat(title, F.when(F.col("n").isNull(), none).otherwise(full)).alias("markdown"))

@@ -147,6 +147,22 @@ def footnote_label(zone_words: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:
     return label.otherwise(text(F.col("source_type"), " `", ref, "`"))
 
 
+def cited_lines(rows: DataFrame, evidence: DataFrame, run: str) -> tuple[DataFrame, Column]:
+    """Entries (run, at, lead, text, confidence, notes) of rows that cite ids, and an expression for an entry's line. Sources are numbered within a run by where they come first in the order of at; notes has (number, note) of those that do so in this entry. An entry without text is its lead."""
+    rows = rows.select(run, "at", "lead", "text", "confidence", F.posexplode_outer("ids").alias("i", "source_id"))
+    labels = evidence.select(F.concat_ws(":", "source_type", "source_ref").alias("source_id"), footnote_label().alias("label")).dropDuplicates(["source_id"])
+    rows = rows.join(labels, "source_id", "left").repartition(run)
+    cited = F.col("source_id").isNotNull()
+    rows = rows.withColumn("first", F.min(F.when(cited, F.struct("at", "i"))).over(Window.partitionBy(run, "source_id")))
+    rows = rows.withColumn("number", F.when(cited, F.dense_rank().over(Window.partitionBy(run, cited).orderBy("first"))))
+    number = F.col("number").cast("string")
+    mark = F.when(cited, F.struct("i", F.concat(F.lit("[^ev"), number, F.lit("]")).alias("mark")))
+    note = F.when(cited & (F.col("first") == F.struct("at", "i")), F.struct("number", F.concat(F.lit("[^ev"), number, F.lit("]: "), F.coalesce("label", F.lit("（证据缺失）"))).alias("note")))
+    entries = rows.groupBy(run, "at").agg(*(F.first(c).alias(c) for c in ("lead", "text", "confidence")), F.array_join(F.transform(F.sort_array(F.collect_list(mark)), lambda x: x["mark"]), "").alias("marks"), F.collect_list(note).alias("notes"))
+    doubt = F.when(F.col("confidence") == "confirmed", "").otherwise(F.concat(F.lit(" `"), "confidence", F.lit("`"), F.when(F.col("confidence") == "unverified", "（无法关联来源，请确认或删除）").otherwise("")))
+    return entries, F.when(F.col("text").isNull(), F.col("lead")).otherwise(F.concat("lead", defuse_markdown(F.col("text")), "marks", doubt))
+
+
 def markdown(modules: DataFrame, facts: DataFrame, evidence: DataFrame, run: str) -> DataFrame:
     """(run, markdown): a document for each run, with highlights, a section for each selected module, footnotes and counts.
 
@@ -169,19 +185,8 @@ def markdown(modules: DataFrame, facts: DataFrame, evidence: DataFrame, run: str
     given = F.concat(F.array(F.when(F.col("nth") <= HIGHLIGHTS, top), entry(1, head, F.lit(None).cast("string"), none, F.lit(None).cast("string"))), F.coalesce(each, F.array().cast(f"array<struct<part:int,lead:string,text:string,ids:array<string>,confidence:string>>")))  # noqa: F541
     left = F.array(entry(9, F.lit(""), F.lit(None).cast("string"), none, F.lit(None).cast("string")))
     rows = rows.select(run, "nth", F.posexplode(F.array_compact(F.when(F.col("selected"), given).otherwise(left))).alias("seq", "e"))
-    rows = rows.select(run, F.struct("e.part", "nth", "seq").alias("at"), "e.lead", "e.text", "e.confidence", F.posexplode_outer("e.ids").alias("i", "source_id"))
-    labels = evidence.select(F.concat_ws(":", "source_type", "source_ref").alias("source_id"), footnote_label().alias("label")).dropDuplicates(["source_id"])
-    rows = rows.join(labels, "source_id", "left").repartition(run)
-    # sources are numbered by where they come first
-    cited = F.col("source_id").isNotNull()
-    rows = rows.withColumn("first", F.min(F.when(cited, F.struct("at", "i"))).over(Window.partitionBy(run, "source_id")))
-    rows = rows.withColumn("number", F.when(cited, F.dense_rank().over(Window.partitionBy(run, cited).orderBy("first"))))
-    number = F.col("number").cast("string")
-    mark = F.when(cited, F.struct("i", F.concat(F.lit("[^ev"), number, F.lit("]")).alias("mark")))
-    note = F.when(cited & (F.col("first") == F.struct("at", "i")), F.struct("number", F.concat(F.lit("[^ev"), number, F.lit("]: "), F.coalesce("label", F.lit("（证据缺失）"))).alias("note")))
-    entries = rows.groupBy(run, "at").agg(*(F.first(c).alias(c) for c in ("lead", "text", "confidence")), F.array_join(F.transform(F.sort_array(F.collect_list(mark)), lambda x: x["mark"]), "").alias("marks"), F.collect_list(note).alias("notes"))
-    doubt = F.when(F.col("confidence") == "confirmed", "").otherwise(F.concat(F.lit(" `"), "confidence", F.lit("`"), F.when(F.col("confidence") == "unverified", "（无法关联来源，请确认或删除）").otherwise("")))
-    line = F.when(F.col("text").isNull(), F.col("lead")).otherwise(F.concat("lead", defuse_markdown(F.col("text")), "marks", doubt))
+    rows = rows.select(run, F.struct("e.part", "nth", "seq").alias("at"), "e.lead", "e.text", "e.confidence", "e.ids")
+    entries, line = cited_lines(rows, evidence, run)
     told = F.col("confidence").isNotNull()
     of = lambda part: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("at.part") == part, F.struct("at", line.alias("line"))))), lambda x: x["line"]), "\n")
     notes = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("notes"))), lambda x: x["note"]), "\n")
