@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import redact, texts
-from .operators import extras, rules, state, turns
+from .operators import extras, rules, state, turns, web
 from .operators import sessions as s
 from .plans import day, flat
 from .queries import BLOCKS, ITEMS, KEPT, _with, items, table
@@ -422,3 +422,27 @@ def out02_flat_markdown(spark, d):
     ev = some.select(F.lit("commit").alias("source_type"), F.col("hash").alias("source_ref"), F.col("o_orderpriority").alias("excerpt"), F.col("o_orderdate").alias("occurred_at"), F.lit("").alias("path"), F.lit("").alias("path_alias"))
     written = flat.markdown(facts, projects, ev, "month", F.lit("git 仓库 6 个｜文件扫描 已关闭"), F.lit("时区 UTC（UTC+00:00），日界 04:00"))
     return written.select("month", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+@query(_with(ITEMS) + """, v AS (SELECT 'h' || (ordinal % 4) AS browser, host AS profile, count(*) AS n FROM items WHERE kind = 'web' AND ordinal % 5 > 0 GROUP BY ALL), p AS (SELECT DISTINCT 'h' || (ordinal % 4) AS browser, host AS profile FROM items)
+    SELECT browser, profile, CASE WHEN profile LIKE 'h3%' THEN 'denied' WHEN profile LIKE 'h5%' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN profile LIKE 'h3%' OR profile LIKE 'h5%' THEN 0 ELSE coalesce(n, 0) END AS count, CASE WHEN profile LIKE 'h3%' THEN 'locked' WHEN profile LIKE 'h5%' THEN 'bad file' END AS error FROM p LEFT JOIN v USING (browser, profile)""")
+def src14_profiles(spark, d):
+    """What became of each browser's profile, with the visits that stay."""
+    rows = items(spark, d).withColumns({"browser": F.concat(F.lit("h"), F.col("ordinal") % 4), "profile": F.col("host")})
+    locked, broken = F.col("profile").startswith("h3"), F.col("profile").startswith("h5")
+    profiles = rows.select("browser", "profile").distinct().withColumns({"readable": ~locked, "error": F.when(locked, "locked").when(broken, "bad file")})
+    return web.profile_report(profiles, rows.where("kind = 'web' AND ordinal % 5 > 0"))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, 'svn:r' || o_orderkey || '@' AS hash, (['added', 'modified', 'deleted', 'unversioned', 'normal', 'conflicted', 'missing'])[o_custkey % 7 + 1] AS item, o_orderkey % 4 = 0 AS dir, CASE WHEN o_orderkey % 3 = 0 THEN '/wc/src/f' WHEN o_orderkey % 3 = 1 THEN './src/f' ELSE 'src/f' END || o_orderkey AS path, epoch_us(o_orderdate) AS us FROM orders)
+    SELECT CASE item WHEN 'added' THEN 'A' WHEN 'modified' THEN 'M' WHEN 'deleted' THEN 'D' WHEN 'unversioned' THEN '?' WHEN 'conflicted' THEN 'C' WHEN 'missing' THEN '!' END AS status, 'src/f' || k AS path, CASE WHEN k % 5 > 0 THEN us END AS us FROM b WHERE item <> 'normal' AND NOT (item = 'unversioned' AND dir AND k % 5 > 0)""")
+def src10_status_entries(spark, d):
+    """Status entries with relative and absolute paths, and what the disk knows of them; directories that aren't versioned are left out."""
+    k = F.col("o_orderkey")
+    item = pick(["added", "modified", "deleted", "unversioned", "normal", "conflicted", "missing"], F.col("o_custkey"))
+    path = F.concat(F.when(k % 3 == 0, "/wc/src/f").when(k % 3 == 1, "./src/f").otherwise("src/f"), k)
+    orders = table(spark, d, "orders")
+    entries = orders.select(path.alias("_path"), F.struct(item.alias("_item"), F.lit("none").alias("_props")).alias("wc-status"))
+    stats = orders.where(k % 5 > 0).select(F.concat(F.lit("/wc/src/f"), k).alias("path"), F.col("o_orderdate").alias("mtime"), (k % 4 == 0).alias("is_dir"))
+    found = vcs.relative_status(vcs.svn_worktree(entries).withColumn("root", F.lit("/wc/")), stats)
+    return found.select("status", "path", F.unix_micros("mtime").alias("us"))

@@ -39,6 +39,15 @@ def group_pages(visits: DataFrame, most: int | None = None) -> DataFrame:
     return pages
 
 
+def profile_report(profiles: DataFrame, visits: DataFrame) -> DataFrame:
+    """(browser, profile, status, count, error) of profiles (browser, profile, readable, error): denied where one can't be opened, failed where reading it gave an error, else ok with the number of its visits that stay."""
+    counts = visits.groupBy("browser", "profile").agg(F.count("*").alias("count"))
+    rows = profiles.join(counts, ["browser", "profile"], "left")
+    status = F.when(~F.coalesce("readable", F.lit(True)), "denied").when(F.col("error").isNotNull(), "failed").otherwise("ok")
+    rows = rows.withColumn("status", status)
+    return rows.select("browser", "profile", "status", F.when(F.col("status") == "ok", F.coalesce("count", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("count"), F.when(F.col("status") != "ok", F.col("error")).alias("error"))
+
+
 def visits_of(visits: DataFrame, pages: DataFrame) -> DataFrame:
     """The visits to pages that were kept."""
     return visits.join(pages.select("url"), "url", "left_semi")
@@ -74,4 +83,4 @@ def last_term(terms: DataFrame, key: str = "url_id", order: str = "rowid") -> Da
     return terms.groupBy(key).agg(F.max_by("term", order).alias("term"))
 
 
-__all__ = ["group_pages", "last_term", "visits_of", "web_blocks", "web_modules"]
+__all__ = ["group_pages", "last_term", "profile_report", "visits_of", "web_blocks", "web_modules"]

@@ -64,6 +64,12 @@ def build_modules(items: DataFrame, visits: DataFrame | None = None, notes: Data
     return s.dedupe_keys(rows)
 
 
+def headline(modules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, first_ts, last_ts, modules, items) of modules, the rest of small things left out: when work began and ended, and how much it was."""
+    rows = modules.where(~F.col("key").startswith("misc@"))
+    return rows.groupBy(*by).agg(F.min("start_ts").alias("first_ts"), F.max("end_ts").alias("last_ts"), F.count("*").alias("modules"), F.sum("items").alias("items"))
+
+
 def ranked(modules: DataFrame) -> DataFrame:
     """Modules in order: by score, the rest of small things last."""
     return modules.orderBy(F.col("key").startswith("misc@"), F.desc("score"), "start_ts", "key")

@@ -390,8 +390,7 @@ def str02_live_sessions(spark, d):
 
 @query(_with(ITEMS, BLOCKS, KEPT, STATS) + " SELECT epoch_us(min(start_ts)) AS first_us, epoch_us(max(end_ts)) AS last_us, count(*) AS modules, sum(items)::BIGINT AS items FROM modules WHERE NOT low")
 def agg12_headline(spark, d):
-    rows = day.work_modules(items(spark, d)).where("NOT key LIKE 'misc@%'")
-    return rows.agg(F.unix_micros(F.min("start_ts")).alias("first_us"), F.unix_micros(F.max("end_ts")).alias("last_us"), F.count("*").alias("modules"), F.sum("items").alias("items"))
+    return day.headline(day.work_modules(items(spark, d))).select(F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "modules", "items")
 
 
 @query("SELECT (event_id % 30)::BIGINT AS local_date, count(*) AS calls, sum(user_id)::BIGINT AS input, sum(floor(value))::BIGINT AS output FROM events WHERE event_type <> 'error' GROUP BY ALL")
