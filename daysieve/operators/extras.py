@@ -66,6 +66,10 @@ def model_json(c: Column, required: tuple[str, ...] = ()) -> Column:
     return found
 
 
+#: Modules of a board that are laid out in one group, about; a longer stretch is a group of its own.
+LAID_TOGETHER = 4096
+
+
 def tracks(modules: DataFrame, by: str = "board") -> DataFrame:
     """modules (by, start_ts, end_ts, ...) with track, from 0: none overlaps another of its track, and each board has as few as can be. A module takes the lowest track that is free where it starts; ties go by end and by key, if there is such a column.
 
@@ -80,7 +84,10 @@ def tracks(modules: DataFrame, by: str = "board") -> DataFrame:
     rows = modules.withColumn("__end", F.greatest("start_ts", F.coalesce("end_ts", "start_ts")))
     before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__new", (F.col("start_ts") >= F.max("__end").over(before)).cast("int"))
-    rows = rows.withColumn("__stretch", F.coalesce(F.sum("__new").over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    # short stretches of a board are laid out together: each goes with the place at which it begins
+    so_far = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.max(F.when(F.col("__new") == 1, F.row_number().over(Window.partitionBy(by).orderBy(*order)))).over(so_far)
+    rows = rows.withColumn("__stretch", F.floor(F.coalesce(begins, F.lit(0)) / LAID_TOGETHER))
     out = modules.schema.names
 
     def laid(group: pa.Table) -> pa.Table:
