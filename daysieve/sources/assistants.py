@@ -192,22 +192,28 @@ _TIMES = ["timestamp", "createdAt", "created_at", "time", "ts", "date", "created
 
 def any_messages(files: DataFrame, depth: int = 6) -> DataFrame:
     """Messages in JSON of any shape: files (file, text, mtime), whole documents or lines. What has a role and a text is a message and is not looked into; up to depth levels are."""
-    spark = files.sparkSession
+    # one chain of rows: found messages pass through the levels below theirs, so the files are read and parsed once
     whole = F.when(~F.contains("text", F.lit("\n{")), F.try_parse_json(F.trim("text")))  # else lines of their own
-    docs = files.select("file", "mtime", whole.alias("v"), F.array(F.lit(0)).alias("o")).where("v IS NOT NULL")
-    lines = files.where(whole.isNull()).select("file", "mtime", F.posexplode(F.split("text", r"\r?\n")).alias("i", "line"))
-    level = docs.unionByName(lines.select("file", "mtime", F.try_parse_json("line").alias("v"), F.array("i").alias("o")).where("v IS NOT NULL"))
+    rows = files.select("file", "mtime", "text", whole.alias("whole"))
+    lines = F.transform(F.split("text", r"\r?\n"), lambda line: F.try_parse_json(line))
+    rows = rows.select("file", "mtime", F.posexplode(F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(lines)).alias("i", "v")).where("v IS NOT NULL")
+    null = F.lit(None).cast("string")
+    rows = rows.select("file", "mtime", "v", F.array("i").alias("o"), null.alias("role"), null.alias("said"), null.alias("at"))
     get = lambda *keys: F.coalesce(*[F.try_variant_get("v", f"$.{k}", "string") for k in keys])
     role = F.lower(get("role", "type", "author", "sender"))
     text = get("content", "text", "message.content", "message")
-    found = None
-    for _ in range(depth):
-        level = level.withColumns({"role": F.when(F.schema_of_variant("v").startswith("OBJECT"), F.when(role.isin(_USER), "user").when(role.isin(_ASSISTANT), "assistant")), "said": F.when(F.schema_of_variant("v").startswith("OBJECT"), text)})
-        hit = F.col("role").isNotNull() & F.coalesce(F.trim("said") != "", F.lit(False))
-        here = level.where(hit).select("file", "mtime", "o", "role", "said", get(*_TIMES).alias("at"))
-        found = here if found is None else found.unionByName(here)
-        nested = level.where(~hit & (F.schema_of_variant("v").startswith("OBJECT") | F.schema_of_variant("v").startswith("ARRAY"))).select("file", "mtime", "v", "o")
-        level = spark.sql("SELECT n.file, n.mtime, e.value AS v, array_append(n.o, e.pos) AS o FROM {n} AS n, LATERAL variant_explode(n.v) AS e", n=nested)
+    for level in range(depth):
+        if level:  # what is found has no v and stays one row
+            rows = rows.sparkSession.sql("SELECT n.file, n.mtime, e.value AS v, IF(n.v IS NULL, n.o, array_append(n.o, e.pos)) AS o, n.role, n.said, n.at FROM {n} AS n, LATERAL variant_explode_outer(n.v) AS e", n=rows)
+            rows = rows.where("role IS NOT NULL OR v IS NOT NULL")
+        shape = F.schema_of_variant("v")
+        rows = rows.withColumn("__shape", F.when(F.col("role").isNull(), F.when(shape.startswith("OBJECT"), "o").when(shape.startswith("ARRAY"), "a")))
+        own = F.col("__shape") == "o"
+        rows = rows.withColumns({"__role": F.when(own, F.when(role.isin(_USER), "user").when(role.isin(_ASSISTANT), "assistant")), "__said": F.when(own, text)})
+        hit = F.col("__role").isNotNull() & F.coalesce(F.trim("__said") != "", F.lit(False))
+        rows = rows.where(F.col("role").isNotNull() | hit | (F.col("__shape").isNotNull() if level < depth - 1 else F.lit(False)))
+        rows = rows.select("file", "mtime", F.when(F.col("role").isNull() & ~hit, F.col("v")).alias("v"), "o", F.coalesce("role", F.when(hit, F.col("__role"))).alias("role"), F.when(hit, F.col("__said")).otherwise(F.col("said")).alias("said"), F.when(hit, get(*_TIMES)).otherwise(F.col("at")).alias("at"))
+    found = rows.where("role IS NOT NULL")
     from pyspark.sql import Window
 
     so_far = Window.partitionBy("file").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
