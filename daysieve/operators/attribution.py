@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import base_name, dir_name, display_name, slug
 
+#: From more rows on, a path's rows are dealt to PARTS.
+CROWD, PARTS = 100_000, 1 << 16
+
 
 def clean_path(path: Column) -> Column:
     """Forward slashes, no slash at the end."""
@@ -26,13 +29,35 @@ def longest_prefix(rows: DataFrame, roots: DataFrame, path: str = "path", root:
     Each distinct path is joined by its ancestors, an equi-join that shuffles like any other and needs no nested loop;
     the distinct paths keep a path of many rows from being joined more than once.
     """
-    paths = rows.where(F.col(path).isNotNull()).select(clean_path(F.col(path)).alias("__path")).distinct()
-    steps = paths.select("__path", F.posexplode(ancestors(F.col("__path"))).alias("__depth", "__root"))
-    known = roots.select(clean_path(F.col(root)).alias("__root"), *take).dropDuplicates(["__root"])
-    hits = steps.join(known, "__root").groupBy("__path").agg(F.min_by(F.struct("__root", *take), "__depth").alias("__hit"))
-    hits = hits.select("__path", F.col("__hit.__root").alias("matched_root"), *[F.col(f"__hit.{c}").alias(c) for c in take])
     clash = [c for c in (*take, "matched_root") if c in rows.columns]
-    return rows.drop(*clash).withColumn("__path", clean_path(F.col(path))).join(hits, "__path", "left").drop("__path")
+    rows = rows.drop(*clash).withColumn("__path", clean_path(F.col(path)))
+    steps = _counted(rows).select("__path", "__n", F.posexplode(ancestors(F.col("__path"))).alias("__depth", "__root"))
+    known = roots.select(clean_path(F.col(root)).alias("__root"), F.lit(True).alias("__holds"), *take).dropDuplicates(["__root"])
+    depth = F.when(F.col("__holds"), F.col("__depth"))
+    hits = steps.join(known, "__root", "left").groupBy("__path").agg(F.min_by(F.struct("__root", *take), depth).alias("__hit"), F.max("__n").alias("__n"))
+    found = _of_paths(rows, hits)
+    return found.select(*[F.col(c) for c in rows.columns if c != "__path"], F.col("__hit.__root").alias("matched_root"), *[F.col(f"__hit.{c}").alias(c) for c in take])
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(__path, __n): the distinct paths with their numbers of rows."""
+    return rows.where("__path IS NOT NULL").groupBy("__path").agg(F.count("*").alias("__n"))
+
+
+def _of_paths(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """rows with the __hit of their __path in hits (__path, __hit, __n rows).
+
+    Paths of more than CROWD rows, of which there are few, are broadcast; their rows, and those without a path, are dealt
+    by their other columns and meet nothing in the join of the rest, so no path's rows are all one task's.
+    """
+    known = hits.select("__path", F.col("__hit").alias("__own"), "__n")
+    many = known.where(F.col("__n") > CROWD).select("__path", F.struct("__own").alias("__many"))  # at most rows / CROWD
+    rest = known.select("__path", F.col("__own").alias("__one"), F.when(F.col("__n") > CROWD, -1).otherwise(0).cast("long").alias("__part"))
+    plain = [f.name for f in rows.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    dealt = rows.join(F.broadcast(many), "__path", "left")
+    part = F.when(F.col("__path").isNull() | F.col("__many").isNotNull(), 1 + F.pmod(F.xxhash64(*plain), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
+    both = dealt.withColumn("__part", part).join(rest, ["__path", "__part"], "left")
+    return both.withColumn("__hit", F.coalesce("__many.__own", "__one")).select(*rows.columns, "__hit")
 
 
 def without_nested(roots: DataFrame, root: str = "root") -> DataFrame:
@@ -61,10 +86,11 @@ def project_dir(rows: DataFrame, roots: DataFrame, path: str = "path", root: str
 
 def marked_root(rows: DataFrame, marked: DataFrame, path: str = "path", most: int = 8) -> DataFrame:
     """rows with marked_root: the nearest of up to `most` directories above that is in marked (dir)."""
-    paths = rows.select(clean_path(F.col(path)).alias("__path")).distinct()
-    steps = paths.select("__path", F.posexplode(F.slice(ancestors(F.col("__path")), 2, most)).alias("__d", "__dir"))
-    hits = steps.join(marked.select(clean_path(F.col("dir")).alias("__dir")).distinct(), "__dir").groupBy("__path").agg(F.min_by("__dir", "__d").alias("marked_root"))
-    return rows.withColumn("__path", clean_path(F.col(path))).join(hits, "__path", "left").drop("__path")
+    rows = rows.withColumn("__path", clean_path(F.col(path)))
+    steps = _counted(rows).select("__path", "__n", F.posexplode_outer(F.slice(ancestors(F.col("__path")), 2, most)).alias("__d", "__dir"))
+    known = marked.select(clean_path(F.col("dir")).alias("__dir")).distinct().withColumn("__holds", F.lit(True))
+    hits = steps.join(known, "__dir", "left").groupBy("__path").agg(F.min_by("__dir", F.when(F.col("__holds"), F.col("__d"))).alias("__hit"), F.max("__n").alias("__n"))
+    return _of_paths(rows, hits).withColumnRenamed("__hit", "marked_root").drop("__path")
 
 
 def attribute_sessions(sessions: DataFrame, projects: DataFrame) -> DataFrame:
