@@ -76,3 +76,26 @@ def test_evidence_is_new_once(spark, tmp_path):
         feed(spark, source, [part], schema)
         run(spark, stream(), out, checkpoint)
     assert sorted((r.source_type, r.source_ref) for r in spark.read.parquet(out).collect()) == [("commit", "a"), ("commit", "b"), ("file", "a")]
+
+
+def test_rows_of_a_batch_are_kept_by_few_calls():
+    import pandas as pd
+
+    calls, chunks = [], []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or ([] if name == "listTimers" else Handle())
+
+        def appendValue(self, value):
+            calls.append("appendValue")
+            chunks.append(value)
+
+    class Timer:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    keeper = live.InOrder(live.Blocks(1, "reply"), 1)
+    keeper.init(Handle())
+    list(keeper.handleInputRows(("a",), iter([pd.DataFrame({"us": range(500), "ordinal": range(500), "kind": ["file", None] * 250})]), Timer()))
+    assert len(calls) < 20 and len(chunks) == 1
