@@ -1,6 +1,7 @@
 import heapq
 import html
 import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -316,6 +317,25 @@ def test_weights_and_threshold_against_plain_versions():
     assert np.all((r.score(x) >= quality.THRESHOLD) == (raw >= r.cut))
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows of each label than were once sampled: the model is that of all rows, and the cut is their quantile. Labels of unknown documents count for nothing."""
+    rng = np.random.default_rng(4)
+    worth = rng.random(14_000)
+    shouted = rng.random((len(worth), 24)) > worth[:, None] * 0.6 + 0.3
+    rows = [(i, " ".join(f"W{k}" * 3 if up else f"w{k}" for up, k in zip(s[: 9 + i % 16], rng.integers(0, 400, 24)))) for i, s in enumerate(shouted)]
+    y = (worth + rng.normal(size=len(worth)) * 0.2 > 0.45).astype(int)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([*enumerate(y.tolist()), *((i, 1) for i in range(20_000, 29_000))], "doc_id long, quality int")
+    ranker = quality.fit(docs, labels)
+    mine = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(len(rows))])
+    x = np.concatenate([x for _, x in quality._features(pa.array([t for _, t in rows]))])[mine]
+    y = y[mine]
+    assert min(np.bincount(y)) > 4000
+    assert abs((ranker.score(x) < quality.THRESHOLD).sum() - (y == 0).sum()) <= 3  # but for equal scores
+    want = quality.bradley_terry(x, y)
+    assert np.allclose(ranker.weights, want.weights, atol=1e-5) and ranker.cut == pytest.approx(want.cut, abs=1e-4) and ranker.slope == pytest.approx(want.slope, rel=1e-3)
+
+
 def test_features_against_plain_counts():
     texts = ["One two two TWO three!!", "", None, "a\tb\nc  d", "é? ,, x9"]
     got = np.concatenate([x for _, x in quality._features(pa.array(texts))])
